@@ -90,9 +90,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     found = mix(docs, **options).where("size > 0")
     copies = found.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    taken = docs.join(copies, same).select(*[docs[c] for c in docs.columns], "_copies")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copy", "_copies")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("source").alias("_from"), size.alias("_words"))
+    same = rows["_doc"].eqNullSafe(copies["_id"]) & rows["_from"].eqNullSafe(copies["_source"]) & (rows["_words"] == copies["_size"])
+    taken = rows.join(copies, same).select("_row", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
+    return taken.select("_row.*")
 
 
 #: op3 in DuckDB's SQL, for the default weights.

@@ -132,12 +132,14 @@ def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """docs with the columns shard and virtual_slot, without moving the texts."""
+    """docs with the columns shard and virtual_slot (in place of such columns, if it has
+    any), without moving the texts."""
     records = stored(measured(docs), "measured")
     heavy = stored(heavy_texts(records, n_shards), "heavy-texts")
     slot_map = stored(first_map(slot_bytes(with_slots(records, heavy)), n_shards), "slot-map")
-    marked = with_slots(docs.withColumn("digest", F.md5(_text())), heavy)
-    return marked.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").select(*docs.columns, "shard", "virtual_slot")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "virtual_slot")]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(_text()).alias("digest"))
+    marked = with_slots(rows, heavy)
+    return marked.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot").select("row.*", "shard", "virtual_slot")
 
 
 #: op4 in DuckDB's SQL: the same slots, and the deal as a fold over them.

@@ -14,6 +14,7 @@ import pyarrow as pa
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_INK = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Words longer than this take a block factor besides the power of their position.
@@ -56,11 +57,10 @@ def lowered(buf: np.ndarray) -> np.ndarray:
 
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of every word."""
-    edge = np.empty(len(buf) + 2, np.int8)
-    edge[0] = edge[-1] = 0
-    edge[1:-1] = ~_SPACE[buf]
-    edge = np.diff(edge)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(buf) + 2, bool)
+    np.take(_INK, buf, out=inside[1:-1])
+    edges = (inside[1:] != inside[:-1]).nonzero()[0]
+    return edges[::2], edges[1::2]
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
