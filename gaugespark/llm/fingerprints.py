@@ -26,66 +26,112 @@ from gaugespark.llm.textarrays import byte_views, mix, span_hashes, spans
 #: Cells in each of a fingerprint's three parts, and words in a paragraph's piece.
 PART, PIECE = 8, 8
 _U = np.uint64
-_SEEDS = mix(np.arange(1, 5, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, 3, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 _FACTORS = mix(np.arange(11, 11 + PIECE, dtype=_U)) | _U(1)
 
 
-def digests(buf: np.ndarray) -> np.ndarray:
-    """The sorted distinct digests of a text's paragraphs; repeats count as others."""
+def paragraphs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each paragraph of a text, in order, and where it begins."""
     start, end = spans(buf)
     if not len(start):
-        return np.zeros(0, _U)
+        return np.zeros(0, _U), np.zeros(0, np.int64)
     line = np.searchsorted(np.flatnonzero(buf == 10), start)
     number = np.arange(len(start))
     opens = np.flatnonzero(np.diff(line, prepend=-1))
     nth = number - np.repeat(opens, np.diff(opens, append=len(start)))
     piece = np.flatnonzero(nth % PIECE == 0)
     value = np.add.reduceat(span_hashes(buf, start, end) * _FACTORS[nth % PIECE], piece)
-    value = np.sort(mix(value + np.diff(piece, append=len(start)).astype(_U)))
-    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    return mix(value + np.diff(piece, append=len(start)).astype(_U)), start[piece]
+
+
+def told_apart(hashes: np.ndarray) -> np.ndarray:
+    """The distinct digests of paragraphs: the second of equal ones is another, and so on."""
+    value = np.sort(hashes)
+    same = value[1:] == value[:-1]
+    if not same.any():
+        return value
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
     repeat = np.arange(len(value)) - np.repeat(first, np.diff(first, append=len(value)))
-    return np.sort(mix(value + repeat.astype(_U) * _U(0x9DDFEA08EB382D69)))
+    return np.where(repeat > 0, mix(value + repeat.astype(_U) * _U(0x9DDFEA08EB382D69)), value)
+
+
+def digests(buf: np.ndarray) -> np.ndarray:
+    """The distinct digests of a text."""
+    return told_apart(paragraphs(buf)[0])
+
+
+def edited_digests(hashes: np.ndarray, begins: np.ndarray, edited: np.ndarray, cut: int) -> np.ndarray:
+    """The distinct digests of a text that is as before up to byte cut.
+
+    hashes and begins are those of the text before; paragraphs from the one that
+    holds the last byte before the cut on are taken anew.
+    """
+    kept = max(0, int(np.searchsorted(begins, cut)) - 1)
+    if not kept:
+        return digests(edited)
+    return told_apart(np.concatenate([hashes[:kept], paragraphs(edited[begins[kept] :])[0]]))
 
 
 def _cells(keys: np.ndarray, part: int, salt: int) -> np.ndarray:
-    """3 x n: the cell of each digest in each part."""
-    spread = mix(keys[None, :] + (_SEEDS[:3, None] ^ _U(salt * 0x5851F42D)))
-    return (spread % _U(part)).astype(np.int64) + (np.arange(3) * part)[:, None]
+    """The cells of all digests in the first part, then in the second and third.
+
+    Digests are well mixed, so a product and three runs of its bits will do.
+    """
+    spread = keys * (_SEEDS[0] + _U(2 * salt))
+    at = (np.concatenate((spread >> _U(43), spread >> _U(22), spread >> _U(1))) & _U(0x1FFFFF)) % _U(part)
+    at[len(keys) : 2 * len(keys)] += _U(part)
+    at[2 * len(keys) :] += _U(2 * part)
+    return at.astype(np.int64)
+
+
+def _thrice(x: np.ndarray) -> np.ndarray:
+    return np.concatenate((x, x, x))
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return mix(keys ^ _SEEDS[3]) >> _U(32)
+    return (keys * _SEEDS[1]) >> _U(32)
 
 
 def sketch(keys: np.ndarray, part: int = PART, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """count, digests and checks of 3 * part cells."""
-    count, body, check = np.zeros(3 * part, np.int64), np.zeros(3 * part, _U), np.zeros(3 * part, _U)
-    if len(keys):
-        at = _cells(keys, part, salt)
-        count += np.bincount(at.ravel(), minlength=3 * part)
-        np.bitwise_xor.at(body, at, np.broadcast_to(keys, at.shape))
-        np.bitwise_xor.at(check, at, np.broadcast_to(_check(keys), at.shape))
-    return count, body, check
+    body, check = np.zeros(3 * part, _U), np.zeros(3 * part, _U)
+    if not len(keys):
+        return np.zeros(3 * part, np.int64), body, check
+    at = _cells(keys, part, salt)
+    np.bitwise_xor.at(body, at, _thrice(keys))
+    np.bitwise_xor.at(check, at, _thrice(_check(keys)))
+    return np.bincount(at, minlength=3 * part), body, check
 
 
 def peeled(left: tuple, right: tuple, part: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
     """Digests only in left and only in right; None if cells remain."""
     count, body, check = left[0] - right[0], left[1] ^ right[1], left[2] ^ right[2]
-    ours, theirs = [], []
+    cells = len(count)
+    if np.abs(count).sum() > 3 * cells:
+        return None  # more digests than cells
+    ours, theirs, peels = [], [], 0
     while True:
-        pure = np.flatnonzero(np.abs(count) == 1)
-        pure = pure[_check(body[pure]) == check[pure]]
+        pure = (np.abs(count) == 1).nonzero()[0]
+        keys = body[pure]
+        right_check = _check(keys) == check[pure]
+        pure, keys = pure[right_check], keys[right_check]
         if not len(pure):
             break
-        keys, first = np.unique(body[pure], return_index=True)
-        sign = count[pure[first]]
+        # a digest may be alone in two or three of its cells
+        order = keys.argsort()
+        keys = keys[order]
+        alone = np.empty(len(keys), bool)
+        alone[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=alone[1:])
+        keys, sign = keys[alone], count[pure[order[alone]]]
         ours.append(keys[sign > 0])
         theirs.append(keys[sign < 0])
         at = _cells(keys, part, salt)
-        np.subtract.at(count, at, np.broadcast_to(sign, at.shape))
-        np.bitwise_xor.at(body, at, np.broadcast_to(keys, at.shape))
-        np.bitwise_xor.at(check, at, np.broadcast_to(_check(keys), at.shape))
-        if sum(map(len, ours)) + sum(map(len, theirs)) > 4 * len(count):
+        count = count - np.bincount(at, _thrice(sign), cells).astype(np.int64)
+        np.bitwise_xor.at(body, at, _thrice(keys))
+        np.bitwise_xor.at(check, at, _thrice(_check(keys)))
+        peels += len(keys)
+        if peels > cells:
             return None
     if count.any() or body.any() or check.any():
         return None
@@ -100,7 +146,7 @@ def difference(left: np.ndarray, right: np.ndarray, sketches: tuple | None = Non
     each time half as large again and with other cells.
     """
     got = peeled(*(sketches or (sketch(left), sketch(right))), PART)
-    part, salt = max(PART, (len(left) + len(right)) // 2 + 8), 1
+    part, salt = (len(left) + len(right)) * 3 // 5 + PART, 1
     while got is None:
         got = peeled(sketch(left, part, salt), sketch(right, part, salt), part, salt)
         part, salt = part + part // 2, salt + 1
@@ -125,17 +171,18 @@ def fingerprint_text(buf: np.ndarray) -> str:
     return written(sketch(digests(buf)))
 
 
-def edited_text(buf: np.ndarray, following: np.ndarray) -> tuple[int, np.ndarray]:
-    """n_chars, and the text with its last third replaced by the next text's beginning."""
+def edited_text(buf: np.ndarray, following: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """n_chars, the text with its last third replaced by the next text's beginning, and
+    the byte from which it differs."""
     chars = np.flatnonzero((buf & 0xC0) != 0x80)
     third = len(chars) // 3
     cut = chars[len(chars) - third] if third else len(buf)
     if not third:
-        return len(chars), buf
+        return len(chars), buf, len(buf)
     # a character has at most four bytes
     head = following[: 4 * third + 4]
     begins = np.flatnonzero((head & 0xC0) != 0x80)
-    return len(chars), np.concatenate([buf[:cut], head[: begins[third]] if len(begins) > third else following])
+    return len(chars), np.concatenate([buf[:cut], head[: begins[third]] if len(begins) > third else following]), int(cut)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -186,12 +233,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             ids, buckets, ghosts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for doc_id, bucket, ghost, view in zip(ids, buckets, ghosts, byte_views(batch.column(1))):
                 buf = view.copy() if view is not None else np.zeros(0, np.uint8)
-                keys = digests(buf)
-                now = (doc_id, bucket, ghost, buf, keys, sketch(keys))
+                hashes, begins = paragraphs(buf)
+                keys = told_apart(hashes)
+                now = (doc_id, bucket, ghost, buf, keys, sketch(keys), hashes, begins)
                 if last is not None and last[1] == bucket and not last[2]:
-                    before_id, _, _, text, own, cells = last
-                    n_chars, edited = edited_text(text, buf)
-                    changed = digests(edited)
+                    before_id, _, _, text, own, cells, *known = last
+                    n_chars, edited, cut = edited_text(text, buf)
+                    changed = edited_digests(*known, edited, cut)
                     edited_cells = sketch(changed)
                     out.append((before_id, n_chars, hashlib.sha256(edited.tobytes()).hexdigest(), written(cells), written(edited_cells), likeness(own, changed, (cells, edited_cells)), likeness(own, keys, (cells, now[5]))))
                 last = now

@@ -13,12 +13,14 @@ Who meets under a key is then told apart without pairing everybody:
 
 1. every member is compared with the key's smallest document (linear);
 2. the links found give components; keys that hold one component are done;
-3. elsewhere each member outside the key's main component is compared with the
-   member of every other component whose signature is nearest (linear);
-4. what still spans components is compared in full.
+   elsewhere each member outside the key's main component is compared with a
+   second centre, drawn by hash from that component (linear);
+3. members that are still outside are queries, held against all members of
+   their keys in blocks of bounded size, which give only links.
 
 Each comparison is on whole shingle sets, so a link is never a guess, and no
-pair under a key of two components stays untested.
+pair under a key of two components stays untested, unless their signatures are
+too far apart.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ CHUNKS, SYMBOLS, BITS = 9, 6, 10
 HASHES = CHUNKS * SYMBOLS
 #: Pairs whose signatures differ in more symbols are not compared: at a
 #: similarity of 0.8 the mean is 10.8 and the standard deviation 2.9.
-FARTHEST = 28
+FARTHEST = 24
+#: Documents in a block of queries, and of those they are held against.
+BLOCK = 256
 _HIGH = sum(1 << (BITS * j + BITS - 1) for j in range(SYMBOLS))
 _LOW = sum(((1 << (BITS - 1)) - 1) << (BITS * j) for j in range(SYMBOLS))
 _COLUMNS = [f"sig{i}" for i in range(CHUNKS)]
@@ -165,21 +169,69 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
-def _across(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame | None:
-    """Untested pairs (a, b, far, comp) near enough under keys that span components.
-
-    a is outside the key's main component, b in another component than a.
-    """
-    named = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, comp, main) of the keys that span components; main is the key's largest."""
+    named = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("kinds > 1")
-    open_keys = stored(named.join(main.select("key", "main"), "key"), "open-keys")
-    if open_keys.isEmpty():
-        return None
-    signed = open_keys.join(reps, "id")
-    left, right = signed.where("comp <> main").alias("x"), signed.alias("y")
-    met = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (_distance("x", "y") <= FARTHEST))
-    return met.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), _distance("x", "y").alias("far"), F.col("y.comp").alias("comp")).distinct()
+    return stored(named.join(main.select("key", "main"), "key"), "open-keys")
+
+
+def _second_centres(spanning: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): each document outside its keys' main components with the nearest of their
+    second centres, which are drawn by hash from the main components, one for each key."""
+    drawn = spanning.where("comp = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id"))["id"].alias("centre"))
+    met = spanning.where("comp <> main").join(drawn, "key").select("id", "centre").distinct()
+    x, y = reps.alias("x"), reps.alias("y")
+    near = met.alias("m").join(x, F.col("m.id") == F.col("x.id")).join(y, F.col("m.centre") == F.col("y.id")).select(F.col("m.id").alias("u"), F.col("m.centre").alias("v"), _distance("x", "y").alias("far"))
+    nearest = near.where(F.col("far") <= FARTHEST).groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v"))
+    return nearest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def _across(spanning: DataFrame, reps: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Links (a, b) of documents outside their keys' main components, all of them tested.
+
+    They are the query set; the members of their keys, once each under a main
+    component, are what they are held against, in blocks of bounded size. A
+    query gives one link for each component that a block links it with.
+    """
+    signed = spanning.join(reps, "id")
+    queries = signed.where("comp <> main")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (_distance("x", "y") <= FARTHEST)
+    asked = queries.alias("x").join(signed.alias("y"), near, "left_semi").select("main", "id", "comp").distinct()
+    against = signed.alias("x").join(queries.alias("y"), near, "left_semi").select("main", "id", "comp").distinct()
+    asked, against = stored(asked, "queries"), stored(against, "against")
+    blocks = lambda df, name: df.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(asked, "nq").join(blocks(against, "na"), "main")
+
+    def dealt(df: DataFrame, own: str, other: str, n_own: str, n_other: str, query: bool) -> DataFrame:
+        placed = df.join(sizes, "main").join(texts, "id").withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("main", "q", "a", "id", "comp", "text", F.lit(query).alias("query"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, comps = group.column("id").to_numpy(), group.column("comp").to_numpy()
+        query = np.array(group.column("query").to_pylist(), bool)
+        found = [shingles(word_hashes(lowered(b)), shingle_words) for b in byte_views(group.column("text"))]
+        owners = np.flatnonzero(~query)
+        sizes = np.array([len(found[i]) for i in owners])
+        value = np.concatenate([found[i] for i in owners] or [np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(owners)), sizes)
+        order = np.argsort(value, kind="stable")
+        value, owner = value[order], owner[order]
+        links = []
+        for i in np.flatnonzero(query):
+            low, high = np.searchsorted(value, found[i], "left"), np.searchsorted(value, found[i], "right")
+            many = high - low
+            at = np.arange(int(many.sum())) + np.repeat(low - (np.cumsum(many) - many), many)
+            common = np.bincount(owner[at], minlength=len(owners))
+            linked = np.flatnonzero((100 * common >= percent * (len(found[i]) + sizes - common)) & (comps[owners] != comps[i]))
+            for k in np.unique(comps[owners[linked]], return_index=True)[1]:
+                j = owners[linked[k]]
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    rows = dealt(asked, "q", "a", "nq", "na", True).union(dealt(against, "a", "q", "na", "nq", False))
+    return rows.groupBy("main", "q", "a").applyInArrow(run, "a long, b long").distinct()
 
 
 def _links(reps: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame | None:
@@ -190,28 +242,23 @@ def _links(reps: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -
     first = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     x, y = reps.alias("x"), reps.alias("y")
     first = first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_distance("x", "y") <= FARTHEST).select("a", "b")
-    tested = stored(first, "pairs")
-    if tested.isEmpty():
+    first = stored(first.distinct(), "pairs")
+    if first.isEmpty():
         return None
     needed = members.select("id").distinct()
     texts = stored(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi"), "texts")
-    links = stored(_confirmed(tested, texts, shingle_words, percent), "links")
+    links = stored(_confirmed(first, texts, shingle_words, percent), "links")
     labels = components(links)
-    for every in (False, True):
-        met = _across(members.select("key", "id"), labels, reps)
-        if met is None:
-            break
-        if not every:
-            met = met.groupBy("u", "comp").agg(F.min(F.struct("far", "v"))["v"].alias("v"))
-        more = met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        more = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_confirmed(more, texts, shingle_words, percent), "links")
-        tested = tested.union(more)
-        if found.isEmpty():
-            continue
-        links = links.union(found)
+    spanning = _open(members, labels)
+    if spanning.isEmpty():
+        return labels
+    more = stored(_confirmed(_second_centres(spanning, reps).join(first, ["a", "b"], "left_anti"), texts, shingle_words, percent), "links")
+    if not more.isEmpty():
+        links = links.union(more)
         labels = components(links)
-    return labels
+        spanning = _open(members, labels)
+    more = stored(_across(spanning, reps, texts, shingle_words, percent), "links")
+    return labels if more.isEmpty() else components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
