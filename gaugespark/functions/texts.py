@@ -103,3 +103,22 @@ def clock(minutes: Column) -> Column:
 
 def occurrences(c: Column, part: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """The place, from 1, of the first character in which two texts differ; null if none does."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a), F.length(b), F.lit(1)))
+    return F.get(F.filter(places, lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))), F.lit(0))
+
+
+def problems(*checks: tuple[Column, str]) -> Column:
+    """The messages of the checks that fail (or can't be told), in order."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), message) for ok, message in checks]))
+
+
+def parsed_timeline(c: Column) -> Column:
+    """(minute, value) of each "+h:mm value" entry of a text."""
+    entry = r"([+-]\d+):(\d\d) (\d+\.\d\d)"
+    part = lambda k: F.regexp_extract_all(c, F.lit(entry), F.lit(k))
+    zipped = F.arrays_zip(part(1).alias("h"), part(2).alias("m"), part(3).alias("v"))
+    return F.transform(zipped, lambda x: F.struct((x["h"].cast("int") * 60 + x["m"].cast("int")).alias("minute"), x["v"].cast("decimal(10,2)").alias("value")))

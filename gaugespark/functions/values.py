@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -135,3 +136,19 @@ def ranked_score(p: Column, truth: Column) -> Column:
 def jsonable(c: Column) -> Column:
     """Numbers that JSON has no word for become null."""
     return F.when(~(F.isnan(c) | c.isin(float("inf"), float("-inf"))), c)
+
+
+#: Fixed values of the published phenotypic age mortality score (Levine 2018).
+GOMPERTZ_WEIGHTS = {"albumin": -0.0336, "creatinine": 0.0095, "glucose": 0.1953, "log_crp": 0.0954, "lymphocytes": -0.0120, "mcv": 0.0268, "rdw": 0.3306, "alk_phos": 0.00188, "wbc": 0.0554, "age": 0.0804}
+GOMPERTZ_INTERCEPT, GOMPERTZ_SHAPE = -19.907, 0.0076927
+
+
+def gompertz_risk(given: dict[str, Column], months: int = 120) -> Column:
+    """The risk of death within a time, of a Gompertz hazard on a linear score."""
+    score = sum((F.lit(w) * given[name] for name, w in GOMPERTZ_WEIGHTS.items()), F.lit(GOMPERTZ_INTERCEPT))
+    return 1 - F.exp(-F.exp(score) * F.lit((math.exp(months * GOMPERTZ_SHAPE) - 1) / GOMPERTZ_SHAPE))
+
+
+def edited(value: Column, op: Column, amount: Column) -> Column:
+    """A value after an edit: add, multiply or set."""
+    return F.when(op == "add", value + amount).when(op == "multiply", value * amount).when(op == "set", amount)

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def poisson_weight(unit: Column, draw: Column, seed: int = 0) -> Column:
-    """The Poisson(1) count of a resampling unit in a draw, from a hash of both."""
-    u = (F.xxhash64(unit, draw, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
+def poisson_count(u: Column) -> Column:
+    """The Poisson(1) count, 8 at most, of a uniform number from 0 to 1."""
     out, p, cumulative = F.lit(0), 0.36787944117144233, 0.0
     steps = []
     for k in range(1, 9):
@@ -25,6 +24,11 @@ def poisson_weight(unit: Column, draw: Column, seed: int = 0) -> Column:
     return out
 
 
+def poisson_weight(unit: Column, draw: Column, seed: int = 0) -> Column:
+    """The Poisson(1) count of a resampling unit in a draw, from a hash of both."""
+    return poisson_count((F.xxhash64(unit, draw, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53))
+
+
 def drawn_means(df: DataFrame, unit: str, value: Column, draws: int, weight, group: list[str] | None = None) -> DataFrame:
     """draw, mean (for each group): weighted means of all draws; weight(unit, draw) gives a count."""
     group = group or []

@@ -84,3 +84,46 @@ def to_json(df: DataFrame, path: str) -> None:
     """NaN and infinite numbers become null."""
     clean = [F.when(~(F.isnan(c) | F.col(c).isin(float("inf"), float("-inf"))), F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes]
     df.select(*clean).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """path, member, length, sha256 and text of the members of ZIP archives.
+
+    An archive is read whole by one task, so its size must fit one; archives
+    are spread over tasks.
+    """
+
+    def unpacked(batches):
+        import hashlib
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            for where, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        data = archive.read(name)
+                        yield pd.DataFrame({"path": [where], "member": [name], "length": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()], "text": [data.decode("utf-8", "replace")]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(unpacked, "path string, member string, length long, sha256 string, text string")
+
+
+def xport(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SAS transport files, upper-cased columns; each file is read whole by one task."""
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def read(batches):
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                df = pd.read_sas(io.BytesIO(content), format="xport", encoding="latin-1")
+                df.columns = [c.upper() for c in df.columns]
+                yield df.reindex(columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
