@@ -90,14 +90,14 @@ def risk_coverage(t: Tables) -> DataFrame:
     return metrics.risk_coverage(t.lineitem, "l_discount", F.col("l_returnflag") == "R")
 
 
-@query("""WITH d AS (SELECT o_custkey % 50 AS item, o_orderpriority AS rater, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
+@query("""WITH d AS (SELECT o_custkey % 10 AS item, o_orderpriority AS rater, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
 g AS (SELECT avg(v) AS g, count(DISTINCT item)::DOUBLE AS n, count(DISTINCT rater)::DOUBLE AS k, var_pop(v) * count(*) AS sst FROM d),
 r AS (SELECT var_pop(m) AS v FROM (SELECT avg(v) AS m FROM d GROUP BY item)), c AS (SELECT var_pop(m) AS v FROM (SELECT avg(v) AS m FROM d GROUP BY rater)),
 s AS (SELECT n, k, n * k * r.v AS ssr, n * k * c.v AS ssc, sst FROM g, r, c), m AS (SELECT n, k, ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, (sst - ssr - ssc) / ((n - 1) * (k - 1)) AS mse FROM s)
 SELECT n::BIGINT AS n, k::BIGINT AS k, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) AS icc FROM m""")
 def intraclass(t: Tables) -> DataFrame:
     """AGG-43: ICC(2,1) from the sums of squares of a two-way layout."""
-    d = t.orders.groupBy((F.col("o_custkey") % 50).alias("item"), F.col("o_orderpriority").alias("rater")).agg(F.avg("o_totalprice").alias("v"))
+    d = t.orders.groupBy((F.col("o_custkey") % 10).alias("item"), F.col("o_orderpriority").alias("rater")).agg(F.avg("o_totalprice").alias("v"))
     return _rounded(metrics.intraclass(d, "item", "rater", "v"), "icc")
 
 
