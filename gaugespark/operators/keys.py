@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugespark.operators.ranks import running_minimum
+
 
 def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an order that leaves no ties."""
@@ -44,12 +46,11 @@ def on_frontier(df: DataFrame, key: str, cost: str, error: str) -> DataFrame:
 
     Costs and errors are reduced to the least error of each cost first; a row
     stays if no cheaper cost has as small an error, which a running minimum
-    over costs tells, with no pairs made.
+    over ranges of costs tells, with no pairs made.
     """
-    best = df.groupBy(cost).agg(F.min(error).alias("_least"))
-    cheaper = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    kept = best.withColumn("_before", F.min("_least").over(cheaper)).where("_before is null or _before > _least")
-    return df.join(kept.select(F.col(cost).alias("_c"), "_least"), (F.col(cost) == F.col("_c")) & (F.col(error) == F.col("_least"))).drop("_c", "_least")
+    best = df.groupBy(cost).agg(F.min(error).alias("_best"))
+    kept = running_minimum(best, cost, "_best", "_before").where("_before is null or _before > _best")
+    return df.join(kept.select(F.col(cost).alias("_c"), "_best"), (F.col(cost) == F.col("_c")) & (F.col(error) == F.col("_best"))).drop("_c", "_best")
 
 
 def flow(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def _ranged(df: DataFrame, order: str, name: str, ranges: int) -> DataFrame:
+    """df with the range, from 0, that its value of a numeric column falls in.
+
+    The cut points are `ranges` - 1 numbers at most, whatever the table.
+    """
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
+    return df.withColumn(name, sum((F.coalesce((F.col(order) > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0)))
+
+
 def running(df: DataFrame, order: str, sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
     """One row for each value of a numeric column, in order: the sums there and before.
 
     For each name in sums: name (over the value's rows) and name_before (over
     all rows of smaller values).
     """
-    per = df.groupBy(order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    # at most `ranges` cut points, whatever the table
-    cuts = sorted(set(per.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
-    ranged = per.withColumn("_range", sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
+    ranged = _ranged(df.groupBy(order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), order, "_range", ranges)
     totals = ranged.groupBy("_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
@@ -32,13 +38,31 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], ranges: int = RA
     return placed.select(order, *sums, *[(F.col(f"{n}_before") + F.col(f"_{n}")).alias(f"{n}_before") for n in sums])
 
 
+def running_minimum(per: DataFrame, order: str, value: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """per (one row for each value of a numeric column) with the least value before each row."""
+    ranged = _ranged(per, order, "_range", ranges)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.min(value).alias("_least")).select("_range", F.min("_least").over(earlier).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_inside", F.min(value).over(within)).join(F.broadcast(starts), "_range")
+    return placed.withColumn(name, F.least("_inside", "_start")).drop("_inside", "_start", "_range")
+
+
 def numbered(df: DataFrame, order: str, tie: str, falling: bool = False) -> DataFrame:
-    """df with _nth: the place of each row, from 1, by order and then tie (always rising)."""
-    value = -F.col(order) if falling else F.col(order)
-    keyed = df.withColumn("_by", value)
-    starts = running(keyed, "_by", {"_n": F.lit(1)}).select("_by", "_n_before")
-    placed = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_by").orderBy(tie))).join(starts, "_by")
-    return placed.withColumn("_nth", F.col("_n_before") + F.col("_in")).drop("_by", "_in", "_n_before")
+    """df with _nth: the place of each row, from 1, by order and then tie (always rising).
+
+    Rows of one value are dealt out by ranges of a numeric tie key, so that a
+    value that a third of all rows share is numbered by many tasks.
+    """
+    keyed = df.withColumn("_by", -F.col(order) if falling else F.col(order))
+    numeric = dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    keyed = _ranged(keyed, tie, "_part", RANGES) if numeric else keyed.withColumn("_part", F.lit(0))
+    parts = keyed.groupBy("_by", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = running(parts, "_by", {"_m": F.col("_n")}).select("_by", "_m_before")
+    starts = parts.select("_by", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")).join(starts, "_by")
+    placed = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_by", "_part").orderBy(tie))).join(starts, ["_by", "_part"])
+    return placed.withColumn("_nth", F.col("_m_before") + F.col("_first") + F.col("_in")).drop("_by", "_part", "_in", "_first", "_m_before")
 
 
 def tile(nth: Column, n: Column, tiles: int) -> Column:
@@ -53,15 +77,26 @@ def first_rank_decile(nth: Column, n: Column, tiles: int = 10) -> Column:
     return F.greatest(F.lit(1), F.ceil(tiles * (nth - 1) / (n - 1))).cast("int")
 
 
-def earlier_minimum(df: DataFrame, entity: str, time: str, value: str, reach: int, name: str) -> DataFrame:
-    """The least value of an entity in the reach before each row, its own time excluded."""
-    frame = Window.partitionBy(entity).orderBy(time).rangeBetween(-reach, -1)
-    return df.withColumn(name, F.min(value).over(frame))
+def range_minima(df: DataFrame, entity: str, time: str, value: str, frames: dict[str, tuple[int, int]]) -> DataFrame:
+    """df with the least value of the entity in each frame (first and last offset from a row's time).
+
+    An entity's rows are dealt out by time, in parts as long as the farthest
+    offset; each row is also copied to the part next to its own, where others
+    look back (or ahead) at it. So an entity with a third of all rows is spread
+    over many tasks, and all frames share one shuffle.
+    """
+    reach = max(abs(x) for frame in frames.values() for x in frame)
+    own = F.floor(F.col(time) / reach)
+    copies = [own] + [own + 1] * any(low < 0 for low, _ in frames.values()) + [own - 1] * any(high > 0 for _, high in frames.values())
+    spread = df.select("*", F.posexplode(F.array(*copies)).alias("_copy", "_part"))
+    by = Window.partitionBy(entity, "_part").orderBy(time)
+    found = spread.select("*", *[F.min(value).over(by.rangeBetween(low, high)).alias(name) for name, (low, high) in frames.items()])
+    return found.where("_copy = 0").drop("_copy", "_part")
 
 
-def either_side_minimum(df: DataFrame, entity: str, time: str, value: str, reach: int, name: str) -> DataFrame:
-    by = Window.partitionBy(entity).orderBy(time)
-    return df.withColumn(name, F.least(F.min(value).over(by.rangeBetween(-reach, -1)), F.min(value).over(by.rangeBetween(1, reach))))
+def earlier_minimum(df: DataFrame, entity: str, time: str, value: str, reach: int, name: str) -> DataFrame:
+    """The least value of an entity in the reach before each row, its own time excluded."""
+    return range_minima(df, entity, time, value, {name: (-reach, -1)})
 
 
 def rise_stage(value: Column, least_short: Column, least_long: Column) -> Column:

@@ -29,6 +29,12 @@ def poisson_weight(unit: Column, draw: Column, seed: int = 0) -> Column:
     return poisson_count((F.xxhash64(unit, draw, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53))
 
 
+def digest_weight(unit: Column, draw: Column) -> Column:
+    """The same from an MD5 digest, which other engines can repeat."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", unit.cast("string"), draw.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return poisson_count(u / 4294967296.0)
+
+
 def drawn_means(df: DataFrame, unit: str, value: Column, draws: int, weight, group: list[str] | None = None) -> DataFrame:
     """draw, mean (for each group): weighted means of all draws; weight(unit, draw) gives a count."""
     group = group or []

@@ -32,3 +32,14 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def digest_weight_sql(unit: str, draw: str = "draw") -> str:
+    """operators.resampling.digest_weight in DuckDB's SQL."""
+    u = f"(('0x' || substr(md5({unit}::VARCHAR || ':' || {draw}::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    bounds, p, cumulative = [], 0.36787944117144233, 0.0
+    for k in range(1, 9):
+        cumulative += p
+        bounds.append(cumulative)
+        p /= k
+    return "(" + " + ".join(f"({u} >= {b!r}::DOUBLE)::INT" for b in bounds) + ")"

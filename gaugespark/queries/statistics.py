@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugespark.functions import values
 from gaugespark.operators import metrics, models, ranks, resampling, routing
-from gaugespark.queries.base import Tables, query
+from gaugespark.queries.base import Tables, digest_weight_sql, query
 
 #: Two levels 0 to 3 (truth and answer, some unusable) of each line, and a confidence.
 LEVELS = """levels AS (SELECT *, l_linenumber % 4 AS truth, CASE WHEN l_tax > 0 THEN l_quantity::INT % 4 END AS answer FROM lineitem)"""
@@ -260,31 +260,14 @@ def answer_accounting(t: Tables) -> DataFrame:
 # --- resampling -------------------------------------------------------------
 
 
-def _digest_weight(unit: Column, draw: Column) -> Column:
-    """The Poisson(1) count of a unit in a draw, by MD5, so that SQL can repeat it."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", unit.cast("string"), draw.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return resampling.poisson_count(u / 4294967296.0)
-
-
-def _weights_sql(table: str, unit: str) -> str:
-    """draw, unit, w of all units of a table: the same weights in SQL."""
-    bounds, p, cumulative = [], 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        cumulative += p
-        bounds.append(cumulative)
-        p /= k
-    count = " + ".join(f"(u >= {b!r}::DOUBLE)::INT" for b in bounds)
-    return f"""weights AS (SELECT draw, unit, {count} AS w FROM (SELECT draw, unit, ('0x' || substr(md5(unit::VARCHAR || ':' || draw::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-FROM (SELECT DISTINCT {unit} AS unit FROM {table}) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw)))"""
-
-
 def _drawn(t: Tables, group: list[str] | None = None) -> DataFrame:
     rows = t.orders.withColumn("ok", (F.col("o_totalprice") > 150000).cast("double"))
-    return resampling.drawn_means(rows, "o_custkey", F.col("ok"), DRAWS, _digest_weight, group)
+    return resampling.drawn_means(rows, "o_custkey", F.col("ok"), DRAWS, resampling.digest_weight, group)
 
 
-_DRAWN = _weights_sql("orders", "o_custkey") + """, d AS (SELECT draw, sum(w * (o_totalprice > 150000)::INT)::DOUBLE / sum(w) AS mean FROM orders JOIN weights ON unit = o_custkey GROUP BY 1)"""
-_DRAWN_BY = _weights_sql("orders", "o_custkey") + """, d AS (SELECT draw, o_orderpriority, sum(w * (o_totalprice > 150000)::INT)::DOUBLE / sum(w) AS mean FROM orders JOIN weights ON unit = o_custkey WHERE w > 0 GROUP BY ALL)"""
+_WEIGHTS = f"""weights AS (SELECT draw, unit, {digest_weight_sql("unit")} AS w FROM (SELECT DISTINCT o_custkey AS unit FROM orders) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw))"""
+_DRAWN = _WEIGHTS + """, d AS (SELECT draw, sum(w * (o_totalprice > 150000)::INT)::DOUBLE / sum(w) AS mean FROM orders JOIN weights ON unit = o_custkey GROUP BY 1)"""
+_DRAWN_BY = _WEIGHTS + """, d AS (SELECT draw, o_orderpriority, sum(w * (o_totalprice > 150000)::INT)::DOUBLE / sum(w) AS mean FROM orders JOIN weights ON unit = o_custkey WHERE w > 0 GROUP BY ALL)"""
 
 
 @query(f"""WITH {_DRAWN} SELECT round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(stddev_samp(mean), 9) AS se FROM d""")
@@ -347,21 +330,22 @@ s AS (SELECT *, coalesce(v >= 3.0::DECIMAL(4,1) * long, false) AS r3, coalesce(v
 staged AS (SELECT *, CASE WHEN r3 OR (rise AND v >= 4.0) THEN 3 WHEN r2 THEN 2 WHEN rise THEN 1 ELSE 0 END AS stage FROM s)"""
 
 
-def _timeline(t: Tables) -> DataFrame:
+def _timeline(t: Tables, frames: dict[str, tuple[int, int]]) -> DataFrame:
     e = t.events.select("event_id", "user_id", _minutes().alias("t"), F.col("value").cast("decimal(10,2)").alias("v"))
-    return ranks.earlier_minimum(ranks.earlier_minimum(e, "user_id", "t", "v", 2880, "short"), "user_id", "t", "v", 10080, "long")
+    return ranks.range_minima(e, "user_id", "t", "v", frames)
 
 
 @query(f"""WITH {_TIMELINE} SELECT event_id, short, long, least(long, later) AS either_side FROM staged""")
 def range_minima(t: Tables) -> DataFrame:
     """WIN-01, JON-12, JON-13: least values strictly before, and on either side, within a reach."""
-    return ranks.either_side_minimum(_timeline(t), "user_id", "t", "v", 10080, "either_side").select("event_id", "short", "long", "either_side")
+    found = _timeline(t, {"short": (-2880, -1), "long": (-10080, -1), "later": (1, 10080)})
+    return found.select("event_id", "short", "long", F.least("long", "later").alias("either_side"))
 
 
 @query(f"""WITH {_TIMELINE} SELECT user_id, stage, t FROM staged QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY stage DESC, t) = 1""")
 def rise_stages(t: Tables) -> DataFrame:
     """WIN-02, MTH-01: each entity's highest stage by exact decimals, the earliest time on ties."""
-    staged = _timeline(t).withColumn("stage", ranks.rise_stage(F.col("v"), F.col("short"), F.col("long")))
+    staged = _timeline(t, {"short": (-2880, -1), "long": (-10080, -1)}).withColumn("stage", ranks.rise_stage(F.col("v"), F.col("short"), F.col("long")))
     return ranks.highest_first(staged, "user_id", "stage", "t")
 
 
