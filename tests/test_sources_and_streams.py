@@ -174,3 +174,52 @@ def test_matched_label_needs_one_meaning(spark):
     df = spark.createDataFrame([("Yes",), ("[yes].",), ("maybe",), ("AB",), ("Ab",)], "c string")
     found = [r.m for r in df.select(texts.matched_label(F.col("c"), ["yes", "no", "AB", "ab"]).alias("m")).collect()]
     assert found == ["yes", "yes", None, "AB", None]
+
+
+def test_places_of_a_hot_value(spark):
+    rows = [(i, 1.0 if i % 3 else float(i % 7)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(5)
+    got = {r.id: r["_nth"] for r in ranks.numbered(df, "v", "id").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted((v, i) for i, v in rows), 1)}
+    down = {r.id: r["_nth"] for r in ranks.numbered(df, "v", "id", falling=True).collect()}
+    assert down == {i: k for k, (_, i) in enumerate(sorted((-v, i) for i, v in rows), 1)}
+
+
+def test_places_by_text_ties(spark):
+    rows = [(f"k{i % 50:02d}-{i}", float(i % 4)) for i in range(300)]
+    got = {r.k: r["_nth"] for r in ranks.numbered(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()}
+    assert got == {k: n for n, (_, k) in enumerate(sorted((v, k) for k, v in rows), 1)}
+
+
+def test_range_minima_of_a_hot_entity(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0 if i % 3 else int(i % 5), int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(-500, 3000, 600), rng.integers(0, 1000, 600)))] + [(1, None, 5.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, e int, t int, v double")
+    got = ranks.range_minima(df, "e", "t", "v", {"before": (-60, -1), "after": (1, 90)}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.t is None:
+            continue
+        near = lambda low, high, r=r: min((v for e, t, v in rows if e == r.e and t is not None and low <= t - r.t <= high), default=None)
+        assert (r.before, r.after) == (near(-60, -1), near(1, 90))
+
+
+def test_running_minimum(spark):
+    rng = np.random.default_rng(7)
+    rows = [(float(i), float(v)) for i, v in enumerate(rng.integers(0, 1000, 500))]
+    got = {r.x: r.least for r in ranks.running_minimum(spark.createDataFrame(rows, "x double, y double"), "x", "y", "least").collect()}
+    assert got == {x: min((y for z, y in rows if z < x), default=None) for x, _ in rows}
+
+
+def test_simultaneous_intervals_are_wider(spark):
+    rng = np.random.default_rng(8)
+    draws = spark.createDataFrame([(b, m, float(rng.normal())) for b in range(200) for m in ("a", "b", "c")], "draw int, m string, v double")
+    point = draws.groupBy("m").agg(F.avg("v").alias("v"))
+    both = {r.m: r.high - r.low for r in resampling.simultaneous(draws, point, "m", "v").collect()}
+    alone = {r.m: r.high - r.low for r in resampling.interval(draws, "v", ["m"]).collect()}
+    assert all(both[m] > alone[m] for m in "abc")
+
+
+def test_holm_is_monotone_and_capped(spark):
+    df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.9)], "n string, p double")
+    assert {r.n: round(r.holm_p, 6) for r in resampling.holm(df, "p", "n").collect()} == {"a": 0.04, "c": 0.09, "b": 0.09, "d": 0.9}
