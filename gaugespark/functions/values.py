@@ -152,3 +152,35 @@ def gompertz_risk(given: dict[str, Column], months: int = 120) -> Column:
 def edited(value: Column, op: Column, amount: Column) -> Column:
     """A value after an edit: add, multiply or set."""
     return F.when(op == "add", value + amount).when(op == "multiply", value * amount).when(op == "set", amount)
+
+
+def spline_basis(c: Column, knots: Sequence[float], degree: int = 3) -> list[Column]:
+    """The B-spline basis on given knots as expressions, linear beyond the outer ones.
+
+    There are len(knots) + degree - 1 columns, which sum to 1 everywhere.
+    """
+    t = [float(knots[0])] * degree + [float(k) for k in knots] + [float(knots[-1])] * degree
+    low, high, last = t[0], t[-1], max(i for i in range(len(t) - 1) if t[i] < t[i + 1])
+
+    def raised(x, b, d, zero):
+        out = []
+        for i in range(len(b) - 1):
+            left = (x - t[i]) / (t[i + d] - t[i]) * b[i] if t[i + d] > t[i] else zero
+            right = (t[i + d + 1] - x) / (t[i + d + 1] - t[i + 1]) * b[i + 1] if t[i + d + 1] > t[i + 1] else zero
+            out.append(left + right)
+        return out
+
+    def at(x: float) -> tuple[list[float], list[float]]:
+        """Values and slopes at one place."""
+        b = [float(t[i] <= x < t[i + 1] or (x == high and i == last)) for i in range(len(t) - 1)]
+        for d in range(1, degree):
+            b = raised(x, b, d, 0.0)
+        over = lambda i: degree / (t[i + degree] - t[i]) if t[i + degree] > t[i] else 0.0
+        slopes = [over(i) * b[i] - over(i + 1) * b[i + 1] for i in range(len(b) - 1)]
+        return raised(x, b, degree, 0.0), slopes
+
+    inner = [F.when((c >= t[i]) & ((c <= t[i + 1]) if i == last else (c < t[i + 1])), 1.0).otherwise(0.0) if t[i] < t[i + 1] else F.lit(0.0) for i in range(len(t) - 1)]
+    for d in range(1, degree + 1):
+        inner = raised(c, inner, d, F.lit(0.0))
+    (v0, s0), (v1, s1) = at(low), at(high)
+    return [F.when(c < low, v0[i] + s0[i] * (c - low)).when(c > high, v1[i] + s1[i] * (c - high)).when(c.isNotNull(), b) for i, b in enumerate(inner)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,3 +41,24 @@ def complete_blocks(calls: DataFrame, block: str, done: Column) -> DataFrame:
     """The calls of blocks in which all are done; blocks are counted, then joined."""
     whole = calls.groupBy(block).agg(F.bool_and(F.coalesce(done, F.lit(False))).alias("_all")).where("_all").select(block)
     return calls.join(whole, block, "left_semi")
+
+
+def executed(calls: DataFrame, answer: Callable[[dict], dict], fields: str) -> DataFrame:
+    """calls with the fields that answer gives for each, and error: a call that fails is a row
+    with a message, not a failed task. Batches go through Arrow; nothing is kept between them."""
+    names = [part.split()[0] for part in fields.split(",")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields) + f", {fields}, error string"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for call in batch.to_dict("records"):
+                try:
+                    rows.append({**answer(call), "error": None})
+                except Exception as failure:  # noqa: BLE001  (it is told in the row)
+                    rows.append({"error": f"{type(failure).__name__}: {failure}"})
+            for name in [*names, "error"]:
+                batch[name] = [r.get(name) for r in rows]
+            yield batch
+
+    return calls.mapInPandas(run, schema)
