@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 def poisson_count(u: Column) -> Column:
     """The Poisson(1) count, 8 at most, of a uniform number from 0 to 1."""
     out, p, cumulative = F.lit(0), 0.36787944117144233, 0.0
-    steps = []
     for k in range(1, 9):
         cumulative += p
-        steps.append((cumulative, k))
+        out = out + (u >= cumulative).cast("int")
         p /= k
-    for bound, k in steps:
-        out = F.when(u >= bound, k).otherwise(out)
     return out
 
 
@@ -35,12 +32,26 @@ def digest_weight(unit: Column, draw: Column) -> Column:
     return poisson_count(u / 4294967296.0)
 
 
+def over_draws(units: DataFrame, unit: str, draws: int, weight) -> DataFrame:
+    """units once for each draw, with draw and its weight _w, zeros included.
+
+    Blocks of 50 draws are dealt to as many tasks as a shuffle has. A filter of
+    _w here would be pushed under the weight and work it out again.
+    """
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = units.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(50)))).repartition(tasks, unit, "_b")
+    spread = blocks.withColumn("draw", F.explode(F.sequence(F.col("_b"), F.least(F.col("_b") + 49, F.lit(draws - 1)))))
+    return spread.drop("_b").withColumn("_w", weight(F.col(unit), F.col("draw")))
+
+
 def drawn_means(df: DataFrame, unit: str, value: Column, draws: int, weight, group: list[str] | None = None) -> DataFrame:
     """draw, mean (for each group): weighted means of all draws; weight(unit, draw) gives a count."""
     group = group or []
     units = df.groupBy(unit, *group).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    spread = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", weight(F.col(unit), F.col("draw"))).where("_w > 0")
-    return spread.groupBy("draw", *group).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("mean"))
+    packed = units.groupBy(unit).agg(F.collect_list(F.struct(*group, "_s", "_n")).alias("_g"))
+    spread = over_draws(packed, unit, draws, weight).select("draw", "_w", F.inline("_g"))
+    sums = spread.groupBy("draw", *group).agg(F.sum("_w").alias("_t"), F.sum(F.col("_w") * F.col("_s")).alias("_s"), F.sum(F.col("_w") * F.col("_n")).alias("_n"))
+    return sums.where("_t > 0").select("draw", *group, (F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def interval(draws: DataFrame, value: str, group: list[str] | None = None, level: float = 0.95) -> DataFrame:

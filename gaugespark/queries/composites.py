@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugespark.functions import values
 from gaugespark.operators import keys, ranks, resampling
 from gaugespark.queries.base import Tables, digest_weight_sql, query
+from gaugespark.queries.statistics import FULL_DRAWS
 
 SYSTEMS = ["A", "N", "R"]
 CALLS = """calls AS (SELECT l_returnflag AS system, l_partkey AS item, l_linestatus AS variant, l_linenumber % 4 AS answer, l_partkey % 4 AS truth, l_discount * 10 AS p, l_tax > 0 AS valid, l_quantity AS tokens,
@@ -232,19 +233,20 @@ _DRAWS = "(SELECT unnest(range(20)) AS draw)"
 @query(f"""WITH u AS (SELECT o_custkey, count(*)::DOUBLE AS n, sum(o_totalprice / 1e5) AS x, sum(o_totalprice / 1e5 * (o_orderstatus = 'F')::INT) AS xy, sum((o_totalprice / 1e5) ** 2) AS xx, sum((o_orderstatus = 'F')::INT)::DOUBLE AS y FROM orders GROUP BY 1),
 w AS (SELECT *, {digest_weight_sql("o_custkey")} AS w FROM u CROSS JOIN {_DRAWS})
 SELECT draw::INT AS draw, round((sum(w * n) * sum(w * xy) - sum(w * x) * sum(w * y)) / (sum(w * n) * sum(w * xx) - sum(w * x) ** 2), 6) AS slope FROM w GROUP BY 1""")
-def refit_slopes(t: Tables) -> DataFrame:
+def refit_slopes(t: Tables, draws: int = 20) -> DataFrame:
     """BOOT-14, CMP-52: a model refitted on each draw, from sums of its resampling units."""
     x, y = F.col("o_totalprice") / 1e5, (F.col("o_orderstatus") == "F").cast("double")
     units = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y).alias("y"))
-    spread = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("w", resampling.digest_weight(F.col("o_custkey"), F.col("draw"))).where("w > 0")
-    s = {c: F.sum(F.col("w") * F.col(c)) for c in ("n", "x", "xy", "xx", "y")}
-    return spread.groupBy("draw").agg(F.round((s["n"] * s["xy"] - s["x"] * s["y"]) / (s["n"] * s["xx"] - s["x"] * s["x"]), 6).alias("slope"))
+    spread = resampling.over_draws(units, "o_custkey", draws, resampling.digest_weight)
+    s = spread.groupBy("draw").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("n", "x", "xy", "xx", "y")]).where("n > 0")
+    n, x, xy, xx, y = (F.col(c) for c in ("n", "x", "xy", "xx", "y"))
+    return s.select("draw", F.round((n * xy - x * y) / (n * xx - x * x), 6).alias("slope"))
 
 
 @query(f"""WITH c AS (SELECT draw, l_quantity AS s, sum(w * (l_returnflag = 'R')::INT)::DOUBLE AS p, sum(w * (l_returnflag <> 'R')::INT)::DOUBLE AS q FROM (SELECT l_quantity, l_returnflag, draw, {digest_weight_sql("l_suppkey")} AS w FROM lineitem CROSS JOIN {_DRAWS}) GROUP BY ALL),
 b AS (SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY s) - q / 2 AS under FROM c)
 SELECT draw::INT AS draw, round(sum(p * under) / nullif(sum(p) * sum(q), 0), 6) AS auroc FROM b GROUP BY 1""")
-def auroc_by_draw(t: Tables) -> DataFrame:
+def auroc_by_draw(t: Tables, draws: int = 20) -> DataFrame:
     """CMP-53: the weighted AUROC of each draw, null for one class.
 
     Whole suppliers are resampled; lines are first summed by supplier and
@@ -252,13 +254,25 @@ def auroc_by_draw(t: Tables) -> DataFrame:
     """
     pos = F.col("l_returnflag") == "R"
     units = t.lineitem.groupBy("l_suppkey", F.col("l_quantity").alias("s")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("q"))
-    spread = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("w", resampling.digest_weight(F.col("l_suppkey"), F.col("draw"))).where("w > 0")
-    c = spread.groupBy("draw", "s").agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("q")).alias("q"))
+    spread = resampling.over_draws(units, "l_suppkey", draws, resampling.digest_weight)
+    c = spread.groupBy("draw", "s").agg(F.sum(F.col("_w") * F.col("p")).alias("p"), F.sum(F.col("_w") * F.col("q")).alias("q"))
     upto = Window.partitionBy("draw").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = c.withColumn("under", F.sum("q").over(upto) - F.col("q") / 2)
     return b.groupBy("draw").agg(F.round(F.sum(F.col("p") * F.col("under")) / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0)), 6).alias("auroc"))
 
 
+@query()
+def refit_slopes_full(t: Tables) -> DataFrame:
+    """BOOT-14, CMP-52 with 2000 draws."""
+    return refit_slopes(t, FULL_DRAWS)
+
+
+@query()
+def auroc_by_draw_full(t: Tables) -> DataFrame:
+    """CMP-53 with 2000 draws."""
+    return auroc_by_draw(t, FULL_DRAWS)
+
+
 @query("""WITH p AS (SELECT rep, test, ('0x' || substr(md5(rep || ':' || test), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS p FROM (SELECT unnest(range(400)) AS rep) CROSS JOIN (SELECT unnest(range(5)) AS test))
 SELECT round(avg((least <= 0.05 / 5)::INT), 6) AS family_error, round(avg((least <= 0.05)::INT), 6) AS uncorrected FROM (SELECT min(p) AS least FROM p GROUP BY rep)""")
 def family_error(t: Tables) -> DataFrame:

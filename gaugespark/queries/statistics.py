@@ -11,7 +11,8 @@ from gaugespark.queries.base import Tables, digest_weight_sql, query
 
 #: Two levels 0 to 3 (truth and answer, some unusable) of each line, and a confidence.
 LEVELS = """levels AS (SELECT *, l_linenumber % 4 AS truth, CASE WHEN l_tax > 0 THEN l_quantity::INT % 4 END AS answer FROM lineitem)"""
-DRAWS = 40
+#: Draws of the queries with SQL, and of their forms named _full, which have the reference's number.
+DRAWS, FULL_DRAWS = 40, 2000
 
 
 def _levels(t: Tables) -> DataFrame:
@@ -260,9 +261,9 @@ def answer_accounting(t: Tables) -> DataFrame:
 # --- resampling -------------------------------------------------------------
 
 
-def _drawn(t: Tables, group: list[str] | None = None) -> DataFrame:
+def _drawn(t: Tables, draws: int, group: list[str] | None = None) -> DataFrame:
     rows = t.orders.withColumn("ok", (F.col("o_totalprice") > 150000).cast("double"))
-    return resampling.drawn_means(rows, "o_custkey", F.col("ok"), DRAWS, resampling.digest_weight, group)
+    return resampling.drawn_means(rows, "o_custkey", F.col("ok"), draws, resampling.digest_weight, group)
 
 
 _WEIGHTS = f"""weights AS (SELECT draw, unit, {digest_weight_sql("unit")} AS w FROM (SELECT DISTINCT o_custkey AS unit FROM orders) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw))"""
@@ -271,30 +272,30 @@ _DRAWN_BY = _WEIGHTS + """, d AS (SELECT draw, o_orderpriority, sum(w * (o_total
 
 
 @query(f"""WITH {_DRAWN} SELECT round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(stddev_samp(mean), 9) AS se FROM d""")
-def bootstrap_interval(t: Tables) -> DataFrame:
+def bootstrap_interval(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-01, BOOT-03, BOOT-04, BOOT-10: whole customers resampled, percentile interval and error."""
-    return _rounded(resampling.interval(_drawn(t), "mean"), "low", "high", "se", digits=9)
+    return _rounded(resampling.interval(_drawn(t, draws), "mean"), "low", "high", "se", digits=9)
 
 
 @query(f"""WITH {_DRAWN_BY} SELECT o_orderpriority, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(stddev_samp(mean), 9) AS se FROM d GROUP BY 1""")
-def bootstrap_by_stratum(t: Tables) -> DataFrame:
+def bootstrap_by_stratum(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-02, BOOT-12: intervals of each stratum from the same draws."""
-    return _rounded(resampling.interval(_drawn(t, ["o_orderpriority"]), "mean", ["o_orderpriority"]), "low", "high", "se", digits=9)
+    return _rounded(resampling.interval(_drawn(t, draws, ["o_orderpriority"]), "mean", ["o_orderpriority"]), "low", "high", "se", digits=9)
 
 
 @query(f"""WITH {_DRAWN} SELECT round(least(1.0, 2 * (least(count(*) FILTER (mean - 0.5 <= 0), count(*) FILTER (mean - 0.5 >= 0)) + 1)::DOUBLE / (count(*) + 1)), 9) AS p FROM d""")
-def bootstrap_p(t: Tables) -> DataFrame:
+def bootstrap_p(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-05, BOOT-13: a two-sided p value of a difference from one half."""
-    return _rounded(resampling.two_sided_p(_drawn(t).withColumn("difference", F.col("mean") - 0.5), "difference"), "p", digits=9)
+    return _rounded(resampling.two_sided_p(_drawn(t, draws).withColumn("difference", F.col("mean") - 0.5), "difference"), "p", digits=9)
 
 
 @query(f"""WITH {_DRAWN_BY}, p AS (SELECT o_orderpriority, avg((o_totalprice > 150000)::INT) AS mean FROM orders GROUP BY 1), s AS (SELECT o_orderpriority, stddev_samp(mean) AS se, avg(mean) AS centre FROM d GROUP BY 1),
 m AS (SELECT max(abs(mean - centre) / se) AS t FROM d JOIN s USING (o_orderpriority) WHERE se > 0 GROUP BY draw), c AS (SELECT quantile_cont(t, 0.95) AS c FROM m)
 SELECT o_orderpriority, round(mean, 9) AS mean, round(mean - c * se, 6) AS low, round(mean + c * se, 6) AS high FROM p JOIN s USING (o_orderpriority) CROSS JOIN c""")
-def simultaneous_intervals(t: Tables) -> DataFrame:
+def simultaneous_intervals(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-06, AGG-23: intervals that hold for a whole family."""
     point = t.orders.groupBy("o_orderpriority").agg(F.avg((F.col("o_totalprice") > 150000).cast("double")).alias("mean"))
-    out = resampling.simultaneous(_drawn(t, ["o_orderpriority"]), point, "o_orderpriority", "mean")
+    out = resampling.simultaneous(_drawn(t, draws, ["o_orderpriority"]), point, "o_orderpriority", "mean")
     return out.select("o_orderpriority", F.round("mean", 9).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
@@ -308,13 +309,43 @@ def holm_adjusted(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_DRAWN_BY}, b AS (SELECT o_orderpriority, quantile_cont(0.5 - mean, 0.025) AS low, quantile_cont(0.5 - mean, 0.975) AS high, quantile_cont(0.5 - mean, 0.005) AS bonferroni FROM d GROUP BY 1)
 SELECT o_orderpriority, round(bonferroni, 9) AS bonferroni, CASE WHEN high < 0.02 THEN CASE WHEN high < 0 THEN 'better' ELSE 'non-inferior' END WHEN low > 0.02 THEN 'worse' ELSE 'inconclusive' END AS verdict FROM b""")
-def margin_verdict(t: Tables) -> DataFrame:
+def margin_verdict(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-09, BOOT-15, BOOT-16, CMP-39: bounds for a family of five and verdicts at a margin."""
-    draws = _drawn(t, ["o_orderpriority"]).withColumn("difference", 0.5 - F.col("mean"))
-    bounds = draws.groupBy("o_orderpriority").agg(F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"), F.percentile("difference", 0.025 / 5).alias("bonferroni"))
+    drawn = _drawn(t, draws, ["o_orderpriority"]).withColumn("difference", 0.5 - F.col("mean"))
+    bounds = drawn.groupBy("o_orderpriority").agg(F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"), F.percentile("difference", 0.025 / 5).alias("bonferroni"))
     return bounds.select("o_orderpriority", F.round("bonferroni", 9).alias("bonferroni"), resampling.verdict(F.col("low"), F.col("high"), 0.02).alias("verdict"))
 
 
+@query()
+def bootstrap_interval_full(t: Tables) -> DataFrame:
+    """BOOT-01, BOOT-03, BOOT-04, BOOT-10 with 2000 draws."""
+    return bootstrap_interval(t, FULL_DRAWS)
+
+
+@query()
+def bootstrap_by_stratum_full(t: Tables) -> DataFrame:
+    """BOOT-02, BOOT-12 with 2000 draws."""
+    return bootstrap_by_stratum(t, FULL_DRAWS)
+
+
+@query()
+def bootstrap_p_full(t: Tables) -> DataFrame:
+    """BOOT-05, BOOT-13 with 2000 draws."""
+    return bootstrap_p(t, FULL_DRAWS)
+
+
+@query()
+def simultaneous_intervals_full(t: Tables) -> DataFrame:
+    """BOOT-06, AGG-23 with 2000 draws."""
+    return simultaneous_intervals(t, FULL_DRAWS)
+
+
+@query()
+def margin_verdict_full(t: Tables) -> DataFrame:
+    """BOOT-09, BOOT-15, BOOT-16, CMP-39 with 2000 draws."""
+    return margin_verdict(t, FULL_DRAWS)
+
+
 # --- event timelines --------------------------------------------------------
 
 
