@@ -227,6 +227,39 @@ def nearest_distance(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", "label", "embedding").mapInPandas(nearest, "vec_id long, label int, distance double")
 
 
+def _supported(vectors: DataFrame, quantile: float = 0.95, rows: int = 2048) -> DataFrame:
+    """vec_id, label, distance to the nearest row of another vec_id, supported.
+
+    Rows are dealt to blocks of about that many, and each pair of blocks is one
+    bounded group: every row meets every other, and no table goes to the driver.
+    """
+    blocks = max(1, -(-vectors.count() // rows))
+    placed = vectors.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = placed.withColumnRenamed("block", "a").withColumn("b", others)
+    right = placed.drop("label").withColumnRenamed("block", "b").withColumn("a", others)
+
+    def nearest(one, two):
+        out = one[["vec_id", "label"]].assign(square=np.inf)
+        if len(one) and len(two):
+            x, y = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (one, two))
+            squares = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
+            squares[one["vec_id"].to_numpy()[:, None] == two["vec_id"].to_numpy()] = np.inf
+            out["square"] = np.maximum(squares.min(1), 0)
+        return out
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "vec_id long, label int, square double")
+    found = met.groupBy("vec_id", "label").agg(F.sqrt(F.min("square")).alias("distance"))
+    limit = found.agg(F.percentile("distance", quantile).alias("limit"))
+    return found.join(F.broadcast(limit)).select("vec_id", "label", F.round("distance", 4).alias("distance"), (F.col("distance") <= F.col("limit")).alias("supported"))
+
+
+@query()
+def nearest_support(t: Tables) -> DataFrame:
+    """FLT-08: each vector's distance to the nearest of all others, supported up to the 0.95 quantile."""
+    return _supported(t.embeddings)
+
+
 _DRAWS = "(SELECT unnest(range(20)) AS draw)"
 
 

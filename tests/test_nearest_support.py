@@ -1,0 +1,22 @@
+"""Distances to all other vectors and the support verdict, against brute force."""
+
+import numpy as np
+import pyarrow.parquet as pq
+
+from gaugespark.queries import composites
+
+
+def test_support_of_all_vectors(spark):
+    path = "/root/testdata/sf0.001/embeddings.parquet"
+    known = pq.read_table(path).to_pylist()
+    x = np.array([r["embedding"] for r in known], np.float64)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    least = d.min(1)
+    limit = np.quantile(least, 0.95)
+    got = {r.vec_id: r for r in composites._supported(spark.read.parquet(path), rows=150).collect()}
+    assert len(got) == len(known)
+    for r, e in zip(known, least):
+        assert abs(got[r["vec_id"]].distance - e) < 1e-4
+        if abs(e - limit) > 1e-9:
+            assert got[r["vec_id"]].supported == (e <= limit)
