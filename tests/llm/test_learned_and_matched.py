@@ -61,47 +61,59 @@ def test_terms_do_not_depend_on_blocks(monkeypatch):
 # token counts
 
 
-def plain_count(token, scores, fallback):
+def plain_count(token, scores, fallback, longest=10**6):
     best = [(0.0, 0)]
     for upto in range(1, len(token) + 1):
         size = len(token[upto - 1].encode())
         options = [(best[upto - 1][0] + size * fallback, best[upto - 1][1] - size)]
-        options += [(best[i][0] + scores[token[i:upto]], best[i][1] - 1) for i in range(upto) if token[i:upto] in scores]
+        options += [(best[i][0] + scores[token[i:upto]], best[i][1] - 1) for i in range(max(0, upto - longest), upto) if token[i:upto] in scores]
         best.append(max(options))
     return -best[-1][1]
 
 
-def test_token_counts_equal_plain_programming():
+def test_token_counts_equal_plain_programming(monkeypatch):
     scores = {p: -math.log(r + 2.7) for r, p in enumerate(["▁", "a", "b", "ab", "▁a", "ba", "abab", "é", "c", "▁abc"])}
     rng = random.Random(2)
-    tokens = ["▁" + "".join(rng.choice("aabbcé☃") for _ in range(rng.randrange(0, 90))) for _ in range(400)]
-    for nodes in (10**6, 20):
-        trie = token_counts.Trie(scores, nodes)
-        for t in tokens * 2:
-            assert trie.count(t) == plain_count(t, scores, trie.fallback)
+    tokens = {"▁" + "".join(rng.choice("aabbcé☃\0") for _ in range(rng.randrange(0, 90))) for _ in range(400)} | {"▁ab", "▁ab\0", "▁"}
+    pieces = token_counts.Vocabulary(scores)
+    for words in (token_counts.MAX_WORDS, 7):
+        monkeypatch.setattr(token_counts, "MAX_WORDS", words)
+        got = dict(token_counts.counted(tokens, pieces))
+        assert got == {t: plain_count(t, scores, pieces.fallback) for t in tokens}
+    assert all(pieces.count_alone(t) == n for t, n in got.items())
+    assert list(token_counts.counted([], pieces)) == []
 
 
-def test_trie_scores_each_prefix_once(monkeypatch):
-    trie = token_counts.Trie({"a": -1.0, "ab": -1.5})
-    steps = []
-    step = trie._step
-    monkeypatch.setattr(trie, "_step", lambda token, upto, before: steps.append(token[:upto]) or step(token, upto, before))
-    for t in ("abab", "abaa", "aba", "abab"):
-        trie.count(t)
-    assert sorted(steps) == sorted({"a", "ab", "aba", "abab", "abaa"})
+def test_trie_scores_each_prefix_once():
+    trie = token_counts.Trie(sorted({"abab", "abaa", "aba", "b"}), token_counts.Vocabulary({"a": -1.0, "ab": -1.5, "b": -4.0}))
+    assert trie.nodes == len({"a", "ab", "aba", "abab", "abaa", "b"})
+    assert trie.counts.tolist() == [2, 3, 2, 1]
 
 
 def test_token_count_rows(spark, edge, edge_rows, empty):
     rows = {r.doc_id: r for r in token_counts.token_counts(edge).collect() if r.doc_id is not None}
     scores = token_counts.load_scores()
-    trie = token_counts.Trie(scores)
+    fallback = token_counts.Vocabulary(scores).fallback
+    known = {w: plain_count("▁" + w, scores, fallback, max(map(len, scores))) for w in {w for r in edge_rows for w in (r[1] or "").split()}}
     for r in edge_rows:
         if r[0] is not None:
             words = (r[1] or "").split()
-            assert (rows[r[0]].n_words, rows[r[0]].n_tokens) == (len(words), sum(trie.count("▁" + w) for w in words))
+            assert (rows[r[0]].n_words, rows[r[0]].n_tokens) == (len(words), sum(known[w] for w in words))
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_token_counts_of_small_tables(spark, sf):
+    scores = token_counts.load_scores()
+    pieces, longest = token_counts.Vocabulary(scores), max(map(len, scores))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = {}
+    for r in registry.QUERIES["op2_token_counts"](spark, sf).collect():
+        words = docs[r.doc_id].split()
+        for w in set(words) - set(known):
+            known[w] = plain_count("▁" + w, scores, pieces.fallback, longest)
+        assert (r.n_words, r.n_tokens) == (len(words), sum(known[w] for w in words))
+
+
 # decontamination
 
 
