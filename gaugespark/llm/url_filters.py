@@ -1,12 +1,18 @@
 """URL filters: exact rules first, then a tree of path templates for each host.
 
-Paths become templates: segments with a digit and very long ones are wildcards.
-From the top of each host's tree down, the branches under a node are compared
-by the share of blocked pages among those that a rule has judged: branches that
-can't be told from their siblings together become one wildcard, the others stay.
-A template is rejected if its blocked share, smoothed towards its host's, is
-over the threshold. All of it is aggregations over distinct templates, whose
-partial sums keep a host with a third of all pages out of any single task.
+Paths become raw templates: segments with a digit and very long ones are
+wildcards. From the top of each host's tree down, whatever its depth, the
+branches under a node are compared by the share of blocked pages among those
+that a rule has judged: branches that can't be told from their siblings together
+become one wildcard, the others stay. A template is rejected if its blocked
+share, smoothed towards its host's, is over the threshold.
+
+A round takes all nodes of a level at once, as aggregations over distinct raw
+templates, whose partial sums keep a host with a third of all pages out of any
+single task. Where a branch has no judged pages, only allowed, only blocked, or
+one continuation, all below it would be merged: it is finished at once, and a
+stretch that a whole branch has in common is passed over in one step, so the
+rounds are as many as decisions lie above each other, not as segments.
 """
 
 from __future__ import annotations
@@ -24,8 +30,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH, LONGEST, Z, SMOOTHING, THRESHOLD = 3, 24, 1.96, 4.0, 0.5
+LONGEST, Z, SMOOTHING, THRESHOLD = 24, 1.96, 4.0, 0.5
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
+_WILD = "*"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,52 +53,77 @@ def matched_rule(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Colum
     return text, verdict
 
 
-def _template(path: Column) -> Column:
+def _raw(path: Column) -> Column:
+    """The path after its first slash, variable segments as wildcards."""
     variable = lambda s: s.rlike("[0-9]") | (F.length(s) > LONGEST)
-    return F.transform(F.slice(F.split(F.concat(path, F.lit("/")), "/", -1), 2, DEPTH), lambda s: F.when(variable(s), "*").otherwise(s))
+    return F.array_join(F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), lambda s: F.when(variable(s), _WILD).otherwise(s)), "/")
+
+
+def _in_common(lo: Column, hi: Column) -> Column:
+    """How many elements two arrays begin with alike."""
+    shorter = F.least(F.size(lo), F.size(hi))
+    other = F.array_position(F.transform(F.slice(lo, F.lit(1), shorter), lambda s, i: s != F.get(hi, i)), F.lit(True))
+    return F.when(other > 0, other - 1).otherwise(shorter).cast("int")
+
+
+def merged_templates(tree: DataFrame) -> DataFrame:
+    """host, raw, template, good, bad: tree (host, raw, good, bad) with each raw template's merged one."""
+    now = tree.select("host", "raw", F.split("raw", "/", -1).alias("rest"), F.array().cast("array<string>").alias("done"), "good", "bad")
+    finished = []
+    while True:
+        # done has the merged segments so far, rest those that follow
+        branches = now.groupBy("host", "done").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        branches = branches.select("host", "done", F.expr("g > 0 and b > 0 and lo <> hi").alias("open"), _in_common(F.col("lo"), F.col("hi")).alias("common"))
+        marked = stored(now.join(branches, ["host", "done"]), "branches")
+        wild = lambda n: F.concat("done", F.transform(F.slice("rest", F.lit(1), n), lambda s: F.when(s == "", s).otherwise(_WILD)))
+        finished.append(marked.where("not open").select("host", "raw", F.array_join(wild(F.size("rest")), "/").alias("template"), "good", "bad"))
+        opened = marked.where("open")
+        if opened.isEmpty():
+            break
+        step = F.coalesce(F.concat(F.lit("/"), F.get("rest", F.col("common"))), F.lit(""))
+        rows = opened.select("host", "raw", wild(F.col("common")).alias("stem"), step.alias("step"), F.slice("rest", F.col("common") + 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), "good", "bad")
+        children = rows.groupBy("host", "stem", "step").agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n"))
+        parents = children.groupBy("host", "stem").agg((F.sum("b") / F.greatest(F.sum("n"), F.lit(1))).alias("p"))
+        share, p, n = F.col("b") / F.greatest(F.col("n"), F.lit(1)), F.col("p"), F.col("n")
+        alike = (F.col("step") != "/") & ((n == 0) | ((share - p) * (share - p) * n <= F.lit(Z * Z) * p * (1 - p)))
+        name = F.when(F.col("step") == "", F.array().cast("array<string>")).when(alike, F.array(F.lit(_WILD))).otherwise(F.array(F.substr("step", F.lit(2))))
+        named = children.join(parents, ["host", "stem"]).select("host", "stem", "step", name.alias("name"))
+        now = rows.join(named, ["host", "stem", "step"]).select("host", "raw", "rest", F.concat("stem", "name").alias("done"), "good", "bad")
+    every = finished[0]
+    for more in finished[1:]:
+        every = every.union(more)
+    return every
 
 
 def template_verdicts(judged: DataFrame) -> DataFrame:
-    """host, s1 .. s3 of each raw template, the merged template, purity: by labels good and bad."""
-    steps = [f"s{i}" for i in range(1, DEPTH + 1)]
-    merged = [f"m{i}" for i in range(1, DEPTH + 1)]
-    tree = judged.groupBy("host", *steps).agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
-    for i, (step, name) in enumerate(zip(steps, merged)):
-        above = ["host", *merged[:i]]
-        children = tree.groupBy(*above, step).agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n"))
-        parents = children.groupBy(*above).agg((F.sum("b") / F.greatest(F.sum("n"), F.lit(1))).alias("p"))
-        pooled = children.join(parents, above)
-        share, p, n = F.col("b") / F.greatest(F.col("n"), F.lit(1)), F.col("p"), F.col("n")
-        alike = (n == 0) | ((share - p) * (share - p) * n <= F.lit(Z * Z) * p * (1 - p))
-        named = pooled.select(*above, step, F.when((F.col(step) == "") | ~alike, F.col(step)).otherwise("*").alias(name))
-        tree = tree.join(named, [*above, step])
-    tree = stored(tree, "templates")
+    """host, raw, template, purity: the merged template of each raw one, and its smoothed blocked share."""
+    tree = judged.groupBy("host", "raw").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
+    tree = stored(merged_templates(stored(tree, "raw-templates")), "templates")
     totals = tree.agg((F.sum("bad") / F.greatest(F.sum(F.col("good") + F.col("bad")), F.lit(1))).alias("prior"))
     smooth = lambda b, n, prior: (b + F.lit(SMOOTHING) * prior) / (n + F.lit(SMOOTHING))
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n"))
     hosts = hosts.join(F.broadcast(totals)).select("host", smooth(F.col("b"), F.col("n"), F.col("prior")).alias("host_share"))
-    groups = tree.groupBy("host", *merged).agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n"))
-    groups = groups.join(hosts, "host").select("host", *merged, smooth(F.col("b"), F.col("n"), F.col("host_share")).alias("purity"))
-    return tree.join(groups, ["host", *merged]).select("host", *steps, F.concat_ws("/", *merged).alias("template"), "purity")
+    groups = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n"))
+    groups = groups.join(hosts, "host").select("host", "template", smooth(F.col("b"), F.col("n"), F.col("host_share")).alias("purity"))
+    return stored(tree.join(groups, ["host", "template"]).select("host", "raw", "template", "purity"), "verdicts")
 
 
 def judged_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity: a row for each row of pages.
 
     The longest rule that fits decides; pages without one are blocked if their
-    template's smoothed blocked share is over one half, else allowed. A null
-    URL, or one without ://, has an empty host and path. Repeated rows are
-    judged alike and count as often as they occur; other columns are ignored.
+    template's smoothed blocked share is over one half, else allowed. Templates
+    have as many segments as their paths, after the first slash; empty segments
+    stay empty. A null URL, or one without ://, has an empty host and path. Repeated rows are judged alike
+    and count as often as they occur; other columns are ignored.
     """
     host, path = split_url(F.col("url"))
-    urls = stored(pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")), "urls")
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(rules)
-    ruled = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), _template(F.col("path")).alias("segments"))
-    ruled = ruled.select("*", *[F.coalesce(F.get("segments", F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(DEPTH)]).drop("segments")
-    steps = [f"s{i}" for i in range(1, DEPTH + 1)]
+    ruled = stored(urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), _raw(F.col("path")).alias("raw")), "urls")
     found = template_verdicts(ruled)
     chosen = F.coalesce("verdict", F.when(F.col("purity") > THRESHOLD, "block").otherwise("allow"))
-    return ruled.join(found, ["host", *steps]).select("page_id", "host", "path", "rule", chosen.alias("verdict"), "template", "purity")
+    return ruled.join(found, ["host", "raw"]).select("page_id", "host", "path", "rule", chosen.alias("verdict"), "template", "purity")
 
 
 def _oracle() -> str:
@@ -100,44 +132,41 @@ def _oracle() -> str:
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in longest)
-    sql = f"""
-WITH urls AS (
+    return f"""
+WITH RECURSIVE urls AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), '{upper}', '{lower}') AS host,
          regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages
 ), ruled AS (
   SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS verdict,
-         list_transform(string_split(path || '/', '/')[2:{DEPTH + 1}], lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > {LONGEST} THEN '*' ELSE s END) AS seg
+         list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > {LONGEST} THEN '*' ELSE s END) AS seg
   FROM urls
-), cut AS (
-  SELECT *, {", ".join(f"coalesce(seg[{i}], '') AS s{i}" for i in range(1, DEPTH + 1))} FROM ruled
 ), t0 AS (
-  SELECT host, s1, s2, s3, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad FROM cut GROUP BY ALL
-)"""
-    for i in range(1, DEPTH + 1):
-        above = ", ".join(["host", *(f"m{j}" for j in range(1, i))])
-        sql += f""", c{i} AS (
-  SELECT {above}, s{i}, sum(bad)::DOUBLE AS b, sum(good + bad)::DOUBLE AS n FROM t{i - 1} GROUP BY ALL
-), p{i} AS (
-  SELECT *, sum(b) OVER w / greatest(sum(n) OVER w, 1) AS p FROM c{i} WINDOW w AS (PARTITION BY {above})
-), t{i} AS (
-  SELECT t{i - 1}.*, CASE WHEN s{i} = '' OR NOT (n = 0 OR (b / greatest(n, 1) - p) * (b / greatest(n, 1) - p) * n <= {Z * Z} * p * (1 - p)) THEN s{i} ELSE '*' END AS m{i}
-  FROM t{i - 1} JOIN p{i} USING ({above}, s{i})
-)"""
-    return (
-        sql
-        + f""", shares AS (
+  SELECT host, seg, count(*) FILTER (verdict = 'allow') AS good, count(*) FILTER (verdict = 'block') AS bad FROM ruled GROUP BY ALL
+), tree AS (
+  SELECT host, seg, []::VARCHAR[] AS done, 0 AS depth, good, bad FROM t0
+  UNION ALL
+  SELECT host, seg, CASE WHEN depth = len(seg) THEN done
+                         WHEN (n = 0 OR (b / greatest(n, 1) - p) * (b / greatest(n, 1) - p) * n <= {Z * Z} * p * (1 - p)) AND seg[depth + 1] <> '' THEN list_append(done, '*')
+                         ELSE list_append(done, seg[depth + 1]) END, depth + 1, good, bad
+  FROM (
+    SELECT *, (sum(bad) OVER c)::DOUBLE AS b, (sum(good + bad) OVER c)::DOUBLE AS n,
+           (sum(bad) OVER a)::DOUBLE / greatest((sum(good + bad) OVER a)::DOUBLE, 1) AS p
+    FROM tree WHERE depth <= len(seg)
+    WINDOW a AS (PARTITION BY host, done), c AS (PARTITION BY host, done, seg[depth + 1])
+  )
+), merged AS (
+  SELECT host, seg, array_to_string(done, '/') AS template, good, bad FROM tree WHERE depth = len(seg) + 1
+), shares AS (
   SELECT *, sum(bad) OVER h AS hb, sum(good + bad) OVER h AS hn, sum(bad) OVER g AS gb, sum(good + bad) OVER g AS gn,
          sum(bad) OVER () / greatest(sum(good + bad) OVER (), 1) AS prior
-  FROM t{DEPTH} WINDOW h AS (PARTITION BY host), g AS (PARTITION BY host, m1, m2, m3)
+  FROM merged WINDOW h AS (PARTITION BY host), g AS (PARTITION BY host, template)
 ), purities AS (
   SELECT *, (gb + {SMOOTHING}::DOUBLE * ((hb + {SMOOTHING}::DOUBLE * prior) / (hn + {SMOOTHING}::DOUBLE))) / (gn + {SMOOTHING}::DOUBLE) AS purity FROM shares
 )
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN purity > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
-       concat_ws('/', m1, m2, m3) AS template, purity
-FROM cut JOIN purities USING (host, s1, s2, s3)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN purity > {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM ruled JOIN purities USING (host, seg)
 """
-    )
 
 
-#: op7 in DuckDB's SQL.
+#: op7 in DuckDB's SQL, every level of the tree by a recursive step.
 ORACLE = _oracle()

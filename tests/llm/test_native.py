@@ -1,6 +1,7 @@
 """Mixing, sharding, line dedup, URL filters and license scans against DuckDB and by hand."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -163,10 +164,51 @@ def test_url_templates_follow_labels(spark):
     assert {r.template for r in got} == {"bad/*", "good/*"}
 
 
+def test_url_templates_at_any_depth(spark):
+    """Branches told apart at the fifth segment, one of them after a stretch in common; a slash at the end counts."""
+    rules = (("block", "site.net", "/a/b/c/d/bad/1"), ("allow", "site.net", "/a/b/c/d/good/1"), ("block", "long.net", "/" + "s/" * 300 + "bad"), ("allow", "long.net", "/" + "s/" * 300 + "good"))
+    urls = [f"http://site.net/a/b/c/d/{kind}/{n}{end}" for kind in ("bad", "good") for n in [*range(100, 140), *range(200, 210)] for end in ("", "/")]
+    urls += [f"http://long.net/{'s/' * 300}{kind}" for kind in ("bad", "good") for _ in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filters.judged_urls(pages, rules).collect()
+    for r in got:
+        assert r.verdict == ("block" if "/bad" in r.path else "allow")
+    assert {r.template for r in got if r.host == "site.net"} == {f"*/*/*/*/{kind}/*{end}" for kind in ("bad", "good") for end in ("", "/")}
+    assert {r.template for r in got if r.host == "long.net"} == {"*/" * 300 + kind for kind in ("bad", "good")}
+
+
+def test_deep_urls_as_in_sql(spark, tmp_path):
+    rng = random.Random(6)
+    hosts = ["a.com", "b.org", "example.org", "x.net", ""]
+    urls = ["http://" + rng.choice(hosts) + "".join("/" + rng.choice(["fr", "de", "es", "en", "1", "b", "c9", ""]) for _ in range(rng.randrange(0, 7))) for _ in range(1500)]
+    spark.createDataFrame(list(enumerate([*urls, None, "none"])), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    agree(registry.QUERIES["op7_url_path_templates"](spark, str(tmp_path)), registry.ORACLES["op7_url_path_templates"], {"pages": f"{tmp_path}/pages.parquet/*.parquet"})
+
+
+PROBES = [
+    ("Licensed under CC BY 4.0.", "cc-by,cc-by-4.0"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
+    ("Licensed under CC-BY-NC-SA 4.0", "cc-by,cc-by-nc-sa-4.0"),
+    ("Distributed under GPL version 2", ""),
+    ("Licensed under the GNU General Public License, version 2", "gpl,gpl-2.0"),
+    ("Licensed under the GNU Lesser General Public License, version 3", "lgpl-3.0"),
+    ("Licensed under the Apache\nLicense, Version 2.0", "apache,apache-2.0"),
+    ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa-4.0"),
+    (license_scan._GPL.format("", "3"), "gpl,gpl-3.0"),
+    ("The license was by 4 of 0, under cc", ""),
+]
+
+
+def test_license_labels_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PROBES)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(docs).collect()}
+    assert got == {i: p[1] for i, p in enumerate(PROBES)}
+
+
 def test_license_edges(edge, edge_rows, empty):
     got = {r.doc_id: r for r in license_scan.license_scan(edge).where("doc_id is not null").collect()}
     assert (got[13].base_labels, got[13].labels, got[13].n_base) == ("cc-by,mit", "cc-by,cc-by-nc-4.0,mit", 3)
-    assert (got[13].first_word, got[13].last_word) == (3, 13)
+    assert (got[13].first_word, got[13].last_word) == (3, 14)
     assert (got[14].base_labels, got[14].labels, got[14].score) == ("gpl", "gpl,gpl-3.0", 1.0)
     assert (got[15].base_labels, got[15].n_base, got[15].first_word, got[15].last_word) == ("apache,cc-by", 3, 0, 7)
     assert (got[4].n_words, got[4].n_base, got[4].first_word, got[4].labels, got[4].score) == (0, 0, None, "", 0.0)
