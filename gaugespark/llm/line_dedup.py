@@ -1,10 +1,12 @@
 """Line dedup: lines that several documents hold stay in the first of them only.
 
-Lines are exploded and hashed to 128 bits; one aggregation finds the hashes that
-more than one document holds, with the smallest doc_id; a join marks the places
-where they must go, and each document is put together again by position. A line
-that a third of all documents hold costs one partial row per task in the
-aggregation, and its places go through a join that splits large partitions.
+Lines are exploded and hashed to 128 bits, kept as a table of hashes and places;
+one aggregation finds the hashes that more than one document holds, with the
+smallest doc_id; a join marks the places where they must go, and each document
+is put together again by position. A line that a third of all documents hold
+costs one partial row per task in the aggregation. The shared hashes and the
+places are tables too, so that both sides of each join have a shuffle of their
+own: only then can adaptive execution split a hot hash or a hot doc_id.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugespark.llm.common import SPACES, ascii_lower
+from gaugespark.llm.common import SPACES, ascii_lower, stored
 
 MIN_CHARS = 10
 
@@ -26,9 +28,9 @@ def repeated_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(_lines(F.col("text"))).alias("place", "line"))
     key = ascii_lower(F.btrim("line", F.lit(SPACES)))
     keyed = lines.select("doc_id", "place", key.alias("key")).where(F.length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    hashed = stored(keyed.select("doc_id", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
     shared = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    places = hashed.join(shared, ["h1", "h2"]).where("doc_id <> first")
+    places = hashed.join(stored(shared, "shared-lines"), ["h1", "h2"]).where("doc_id <> first")
     return places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
@@ -44,7 +46,7 @@ def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     them must lose at the same place. Other columns of docs are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = repeated_places(docs, min_chars)
+    places = stored(repeated_places(docs, min_chars), "places")
     lines = rows.join(places, "doc_id", "left").withColumn("lines", _lines(F.col("text")))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.transform(F.array_except(every, F.col("places")), lambda i: F.get("lines", i)))
