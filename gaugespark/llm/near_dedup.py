@@ -41,8 +41,9 @@ HASHES = CHUNKS * SYMBOLS
 #: Pairs whose signatures differ in more symbols are not compared: at a
 #: similarity of 0.8 the mean is 10.8 and the standard deviation 2.9.
 FARTHEST = 24
-#: Documents in a block of queries, and of those they are held against.
-BLOCK = 256
+#: Documents in a block of queries, and of those they are held against, and about
+#: how many shingles they may have together.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _HIGH = sum(1 << (BITS * j + BITS - 1) for j in range(SYMBOLS))
 _LOW = sum(((1 << (BITS - 1)) - 1) << (BITS * j) for j in range(SYMBOLS))
 _COLUMNS = [f"sig{i}" for i in range(CHUNKS)]
@@ -169,6 +170,16 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
+def _relinked(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels (id, comp) after more links (a, b): the components that they join are joined whole."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}"))
+    between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    joined = components(between)
+    # the smallest of a component has no label of its own, so the new labels are of other ids
+    above = joined.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    return stored(labels.join(above, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")).union(joined.select("id", "comp")), "labels")
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, comp, main) of the keys that span components; main is the key's largest."""
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
@@ -198,10 +209,11 @@ def _across(spanning: DataFrame, reps: DataFrame, texts: DataFrame, shingle_word
     signed = spanning.join(reps, "id")
     queries = signed.where("comp <> main")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (_distance("x", "y") <= FARTHEST)
-    asked = queries.alias("x").join(signed.alias("y"), near, "left_semi").select("main", "id", "comp").distinct()
-    against = signed.alias("x").join(queries.alias("y"), near, "left_semi").select("main", "id", "comp").distinct()
+    asked = queries.alias("x").join(signed.alias("y"), near, "left_semi").select("main", "id", "comp", "n_shingles").distinct()
+    against = signed.alias("x").join(queries.alias("y"), near, "left_semi").select("main", "id", "comp", "n_shingles").distinct()
     asked, against = stored(asked, "queries"), stored(against, "against")
-    blocks = lambda df, name: df.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    n_blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = lambda df, name: df.groupBy("main").agg(n_blocks.alias(name))
     sizes = blocks(asked, "nq").join(blocks(against, "na"), "main")
 
     def dealt(df: DataFrame, own: str, other: str, n_own: str, n_other: str, query: bool) -> DataFrame:
@@ -238,7 +250,8 @@ def _links(reps: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -
     """(id, comp) of the representatives that are linked with another one."""
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
-    members = stored(keys.join(shared, "key"), "members")
+    # a table of their own, so that the join below has a shuffle on each side and a hot key can be split
+    members = stored(keys.join(stored(shared, "shared-keys"), "key"), "members")
     first = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     x, y = reps.alias("x"), reps.alias("y")
     first = first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_distance("x", "y") <= FARTHEST).select("a", "b")
@@ -254,11 +267,10 @@ def _links(reps: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -
         return labels
     more = stored(_confirmed(_second_centres(spanning, reps).join(first, ["a", "b"], "left_anti"), texts, shingle_words, percent), "links")
     if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
+        labels = _relinked(labels, more)
         spanning = _open(members, labels)
     more = stored(_across(spanning, reps, texts, shingle_words, percent), "links")
-    return labels if more.isEmpty() else components(links.union(more))
+    return labels if more.isEmpty() else _relinked(labels, more)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -276,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     docs = docs.select("doc_id", "text")
     signed = stored(signatures(docs, shingle_words), "signatures")
     linked = signed.where("doc_id is not null and n_shingles > 0")
-    classes = stored(linked.groupBy("class").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in _COLUMNS]), "classes")
+    classes = stored(linked.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), *[F.min(c).alias(c) for c in _COLUMNS]), "classes")
     labels = _links(classes.drop("class").distinct(), docs, shingle_words, percent)
     named = classes.select("class", "id")
     named = named.join(labels, "id", "left") if labels is not None else named.withColumn("comp", F.lit(None).cast("long"))
