@@ -5,6 +5,12 @@ stay together; the bytes of each slot are summed, and whole slots are dealt to
 shards, the heaviest first, each to the least loaded shard. Texts whose copies
 alone exceed a shard's even share are salted by doc_id. Rebalancing edits the
 map, not the hash: it moves few slots and adds a version.
+
+Rows are numbered in a shard slot by slot, within a slot in order of a hash of
+doc_id: a slot is cut into ranges of that hash, of about ROWS_PER_RANGE rows, and
+rows that are alike in all columns are counted, not sorted, so that neither a
+slot with a third of all rows (short texts weigh few bytes) nor one row repeated
+that often lands in one task.
 """
 
 from __future__ import annotations
@@ -16,14 +22,19 @@ from gaugespark.llm.common import stored
 
 SLOTS = 4096
 SHARDS = 16
+ROWS_PER_RANGE = 2048
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
 
 
+def _hash32(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def _slot_of(digest: Column) -> Column:
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % SLOTS).cast("int")
+    return (_hash32(digest) % SLOTS).cast("int")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -106,28 +117,45 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return every.where(F.col("version") == chosen).select("virtual_slot", "shard", "version")
 
 
-def shard(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = SHARDS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 
+    With map_path, the slot map is appended there as a version and read back;
+    later versions come from `rebalanced`.
+
     A row for each row of docs. The law is `bytes`: shards have nearly equal
     bytes, as far as single rows allow. slot is the row's place in its shard,
     without gaps from 0; grown_shard is null under this law. Equal texts are in
     one shard unless their copies alone exceed a shard's even share. A null text
     counts as an empty one, with size 1 and checksum 0; rows without doc_id and
-    repeated rows are placed like any other, ties standing in order of doc_id,
-    checksum and size. Other columns of docs are ignored.
+    repeated rows are placed like any other, ties standing in order of doc_id
+    (of its hash first), checksum and size. Other columns of docs are ignored.
     """
-    records = stored(measured(docs), "measured")
+    # the part is where a row happens to be stored: it only deals out rows that are alike
+    records = stored(measured(docs).withColumn("part", F.spark_partition_id()), "measured")
     placed = with_slots(records, heavy_texts(records, n_shards))
     weights = slot_bytes(placed)
-    slot_map = stored(first_map(weights, n_shards).join(weights, "virtual_slot"), "slot-map")
+    slot_map = first_map(weights, n_shards)
+    if map_path is not None:
+        store_map(slot_map, map_path)
+        slot_map = load_map(docs.sparkSession, map_path)
+    slot_map = stored(slot_map.join(weights, "virtual_slot"), "slot-map")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = slot_map.select("virtual_slot", "shard", (F.sum("rows").over(before) - F.col("rows")).alias("start"))
-    within = Window.partitionBy("virtual_slot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "digest")
-    numbered = placed.withColumn("nth", F.row_number().over(within)).join(F.broadcast(starts), "virtual_slot")
-    return numbered.select(
+    starts = slot_map.select("virtual_slot", "shard", (F.sum("rows").over(before) - F.col("rows")).alias("start"), F.ceil(F.col("rows") / ROWS_PER_RANGE).cast("long").alias("ranges"))
+
+    ranged = placed.withColumn("h", _hash32(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))).join(F.broadcast(starts), "virtual_slot")
+    ranged = ranged.withColumn("range", F.shiftright(F.col("h") * F.col("ranges"), 32))
+    order = ["h", "doc_id", "text_crc32", "size", "digest"]
+    counted = ranged.groupBy("virtual_slot", "shard", "start", "range", *order, "part").agg(F.count("*").alias("n"))
+    counted = stored(counted, "numbered")
+    upto = Window.partitionBy("virtual_slot").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counted.groupBy("virtual_slot", "range").agg(F.sum("n").alias("n")).select("virtual_slot", "range", (F.sum("n").over(upto) - F.col("n")).alias("offset"))
+    within = Window.partitionBy("virtual_slot", "range").orderBy(*[F.col(c).asc_nulls_last() for c in order], "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = counted.withColumn("first", F.sum("n").over(within) - F.col("n")).join(offsets, ["virtual_slot", "range"])
+    every = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth"))
+    return every.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        (F.col("start") + F.col("offset") + F.col("first") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
 
 
@@ -173,7 +201,8 @@ WITH texts AS (
   FROM slot_map JOIN weights USING (virtual_slot)
 )
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
-       (start + row_number() OVER (PARTITION BY virtual_slot ORDER BY doc_id NULLS LAST, text_crc32, size, digest) - 1)::BIGINT AS slot,
+       (start + row_number() OVER (PARTITION BY virtual_slot ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT,
+                                                                      doc_id NULLS LAST, text_crc32, size, digest) - 1)::BIGINT AS slot,
        NULL::INT AS grown_shard, virtual_slot
 FROM placed JOIN starts USING (virtual_slot)
 """
