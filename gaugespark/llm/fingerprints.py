@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from gaugespark.llm.textarrays import byte_views, mix, span_hashes, spans
 
+#: About how many bytes of text a task takes, buckets a task, and the most tasks (each
+#: bucket has a boundary on the driver; beyond that, tasks grow and sort on disk).
+TASK_BYTES, BUCKETS, MOST_TASKS = 48 << 20, 8, 10_000
 #: Cells in each of a fingerprint's three parts, and words in a paragraph's piece.
 PART, PIECE = 8, 8
 _U = np.uint64
@@ -195,10 +198,11 @@ def _in_order(docs: DataFrame) -> DataFrame:
     document that begins the next bucket (the first bucket's for the last one).
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
-    n = 4 * partitions
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1))
+    n = BUCKETS * partitions
     # a bounded summary: one boundary and one head for each bucket
     cuts = rows.agg(F.percentile_approx("_place", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
