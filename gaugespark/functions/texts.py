@@ -52,17 +52,29 @@ def stated_probability(c: Column) -> tuple[Column, Column]:
     return p, how
 
 
-def probability_list(c: Column, labels: Sequence[str]) -> tuple[Column, Column]:
-    """(probabilities in label order, status) of a JSON object of probabilities.
+def _given(value: Column, build) -> Column:
+    """build(value) with the value worked out once: it is the one element of an array."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def probability_list(c: Column, labels: Sequence[str]) -> Column:
+    """(p, status): the probabilities, in label order, of a JSON object of them.
 
     Labels left out count 0; the sum must be from 0.9 to 1.1, and is made 1.
+    Only objects that are read and fit have p. The text is parsed once.
     """
-    given = F.from_json(c, "map<string,double>")
-    values = F.array(*[F.coalesce(F.try_element_at(given, F.lit(x)), F.lit(0.0)) for x in labels])
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    unknown = F.size(F.array_except(F.map_keys(given), F.array(*[F.lit(x) for x in labels]))) > 0
-    status = F.when(given.isNull() | (F.size(given) == 0), "unreadable").when(unknown, "unknown label").when(F.exists(values, lambda x: (x < 0) | (x > 1)), "out of range").when(~total.between(0.9, 1.1), "sum").otherwise("ok")
-    return F.when(status == "ok", F.transform(values, lambda x: x / total)), status
+    known = F.array(*[F.lit(x) for x in labels])
+
+    def judged(x: Column) -> Column:
+        total = F.aggregate(x["values"], F.lit(0.0), lambda a, v: a + v)
+        status = F.when(x["size"] <= 0, "unreadable").when(x["unknown"] > 0, "unknown label").when(F.exists(x["values"], lambda v: (v < 0) | (v > 1)), "out of range").when(~total.between(0.9, 1.1), "sum").otherwise("ok")
+        return _given(F.struct(total.alias("total"), status.alias("status")), lambda t: F.struct(F.when(t["status"] == "ok", F.transform(x["values"], lambda v: v / t["total"])).alias("p"), t["status"].alias("status")))
+
+    def read(given: Column) -> Column:
+        values = F.array(*[F.coalesce(F.try_element_at(given, F.lit(x)), F.lit(0.0)) for x in labels])
+        return F.struct(values.alias("values"), F.coalesce(F.size(given), F.lit(-1)).alias("size"), F.size(F.array_except(F.map_keys(given), known)).alias("unknown"))
+
+    return _given(_given(F.from_json(c, "map<string,double>"), read), judged)
 
 
 def embedded_object(c: Column) -> Column:

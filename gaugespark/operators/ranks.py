@@ -1,46 +1,87 @@
-"""Ranks, running sums and range frames.
+"""Ranks, running sums, percentiles and range frames.
 
 Ranks over a whole table don't go through one task: values are counted first,
 cut into ranges by an approximate summary, summed within each range, and the
-few range totals give the offsets.
+few range totals give the offsets. Ranges grow in number with the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: About how many rows a range has, and the most ranges (each has a number on the driver).
+ROWS, MOST = 500_000, 1024
+_INFINITE = float("inf")
 
 
-def _ranged(df: DataFrame, order: str, name: str, ranges: int) -> DataFrame:
-    """df with the range, from 0, that its value of a numeric column falls in.
+def _ranged(df: DataFrame, order: str, name: str) -> tuple[DataFrame, list]:
+    """df with the range, from 0, that its value of a numeric column falls in, and the hot values.
 
-    The cut points are `ranges` - 1 numbers at most, whatever the table.
+    A range has its least value and those up to the next one's. Values that
+    fill more than one range are hot: the ranges that begin with them hold them
+    first. Nulls are in the first range.
     """
-    cuts = sorted(set(df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []))
-    return df.withColumn(name, sum((F.coalesce((F.col(order) > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0)))
+    n, cuts = df.agg(F.count(order), F.percentile_approx(order, [i / MOST for i in range(1, MOST)], 10 * MOST)).first()
+    ranges = max(1, min(MOST, -(-n // ROWS)))
+    chosen = [cuts[i * MOST // ranges - 1] for i in range(1, ranges)]
+    splits = [-_INFINITE, *sorted({x for c in chosen if -_INFINITE < (x := float(c)) < _INFINITE}), _INFINITE]
+    if len(splits) == 2:
+        return df.withColumn(name, F.lit(0)), []
+    valued = df.withColumn("_value", F.coalesce(F.col(order).cast("double"), F.lit(-_INFINITE)))
+    placed = Bucketizer(splits=splits, inputCol="_value", outputCol=name, handleInvalid="keep").transform(valued)
+    hot = sorted({a for a, b in zip(chosen, chosen[1:]) if a == b})
+    return placed.withColumn(name, F.col(name).cast("int")).drop("_value"), hot
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
-    """One row for each value of a numeric column, in order: the sums there and before.
+def running(df: DataFrame, order: str, sums: dict[str, Column], group: Sequence[str] = ()) -> DataFrame:
+    """One row for each value of a numeric column (and group), in order: the sums there and before.
 
     For each name in sums: name (over the value's rows) and name_before (over
-    all rows of smaller values).
+    all rows of the group's smaller values).
     """
-    ranged = _ranged(df.groupBy(order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), order, "_range", ranges)
-    totals = ranged.groupBy("_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
-    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    group = list(group)
+    ranged, _ = _ranged(df.groupBy(*group, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), order, "_range")
+    totals = ranged.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
+    # at most MOST rows a group
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.select("*", *[F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"{n}_before") for n in sums])
-    placed = placed.join(F.broadcast(starts), "_range")
-    return placed.select(order, *sums, *[(F.col(f"{n}_before") + F.col(f"_{n}")).alias(f"{n}_before") for n in sums])
+    of_group = [F.col(f"p.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    both = placed.alias("p").join(starts.alias("s"), [F.col("p._range") == F.col("s._range"), *of_group])
+    return both.select(*[f"p.{g}" for g in group], F.col(f"p.{order}"), *[F.col(f"p.{n}") for n in sums], *[(F.col(f"p.{n}_before") + F.col(f"s._{n}")).alias(f"{n}_before") for n in sums])
 
 
-def running_minimum(per: DataFrame, order: str, value: str, name: str, ranges: int = RANGES) -> DataFrame:
+def percentiles(df: DataFrame, value: str, levels: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
+    """group, n, p: the exact linear percentiles of a numeric column at levels, as an array.
+
+    Values are counted and ranked by ranges, so no task holds all of a group's
+    values. n counts those that aren't null; a group without any has no row.
+    """
+    group = list(group)
+    per = running(df.where(F.col(value).isNotNull()), value, {"_k": F.lit(1)}, group).withColumn("_v", F.col(value).cast("double"))
+    totals = per.groupBy(*group).agg(F.sum("_k").alias("n"))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group]
+    both = per.alias("c").join(totals.alias("t"), same) if group else per.alias("c").join(F.broadcast(totals.alias("t")))
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    holds = lambda at: (F.col("_k_before") <= at) & (at < F.col("_k_before") + F.col("_k"))
+    ends = [F.max(F.when(holds(at(place(q))), F.col("_v"))).alias(f"_{side}{i}") for i, q in enumerate(levels) for side, at in (("low", F.floor), ("high", F.ceil))]
+    found = both.groupBy(*[f"c.{g}" for g in group], "n").agg(*ends)
+
+    def between(i: int, q: float) -> Column:
+        low, high, at = F.col(f"_low{i}"), F.col(f"_high{i}"), place(q)
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return found.select(*group, "n", F.array(*[between(i, q) for i, q in enumerate(levels)]).alias("p"))
+
+
+def running_minimum(per: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """per (one row for each value of a numeric column) with the least value before each row."""
-    ranged = _ranged(per, order, "_range", ranges)
+    ranged, _ = _ranged(per, order, "_range")
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_range").agg(F.min(value).alias("_least")).select("_range", F.min("_least").over(earlier).alias("_start"))
     within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -48,21 +89,33 @@ def running_minimum(per: DataFrame, order: str, value: str, name: str, ranges: i
     return placed.withColumn(name, F.least("_inside", "_start")).drop("_inside", "_start", "_range")
 
 
+def _tie_number(df: DataFrame, tie: str) -> Column:
+    """A number that rises (or stays) with the tie key: itself, or the first six bytes of a text."""
+    if dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return F.col(tie)
+    return F.conv(F.rpad(F.hex(F.substring(F.col(tie).cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long")
+
+
 def numbered(df: DataFrame, order: str, tie: str, falling: bool = False) -> DataFrame:
     """df with _nth: the place of each row, from 1, by order and then tie (always rising).
 
-    Rows of one value are dealt out by ranges of a numeric tie key, so that a
+    Rows are dealt out by ranges of the order column; those of a hot value are
+    dealt out again by ranges of the tie key (a number or a text), so that a
     value that a third of all rows share is numbered by many tasks.
     """
-    keyed = df.withColumn("_by", -F.col(order) if falling else F.col(order))
-    numeric = dict(df.dtypes)[tie] in ("tinyint", "smallint", "int", "bigint", "float", "double")
-    keyed = _ranged(keyed, tie, "_part", RANGES) if numeric else keyed.withColumn("_part", F.lit(0))
-    parts = keyed.groupBy("_by", "_part").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = running(parts, "_by", {"_m": F.col("_n")}).select("_by", "_m_before")
-    starts = parts.select("_by", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")).join(starts, "_by")
-    placed = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_by", "_part").orderBy(tie))).join(starts, ["_by", "_part"])
-    return placed.withColumn("_nth", F.col("_m_before") + F.col("_first") + F.col("_in")).drop("_by", "_part", "_in", "_first", "_m_before")
+    keyed, hot = _ranged(df.withColumn("_by", -F.col(order) if falling else F.col(order)), "_by", "_range")
+    if hot:
+        keyed, _ = _ranged(keyed.withColumn("_tie", _tie_number(df, tie)), "_tie", "_part")
+        is_hot = F.coalesce(F.col("_by").isin(hot), F.lit(False))
+        # a range that begins with a hot value has it first, in parts of their own
+        keyed = keyed.withColumn("_range", 2 * F.col("_range") + F.when(is_hot, 0).otherwise(1)).withColumn("_part", F.when(is_hot, F.col("_part")).otherwise(0)).drop("_tie")
+    else:
+        keyed = keyed.withColumn("_part", F.lit(0))
+    earlier = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keyed.groupBy("_range", "_part").agg(F.count("*").alias("_n"))
+    starts = parts.select("_range", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    placed = keyed.withColumn("_in", F.row_number().over(Window.partitionBy("_range", "_part").orderBy("_by", tie)))
+    return placed.join(starts, ["_range", "_part"]).withColumn("_nth", F.col("_first") + F.col("_in")).drop("_by", "_range", "_part", "_in", "_first")
 
 
 def tile(nth: Column, n: Column, tiles: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.operators.ranks import numbered
@@ -76,9 +76,9 @@ def three_step(df: DataFrame, first: str, second: str, tie: str) -> DataFrame:
 
 def lowest_safe(df: DataFrame, threshold: str, ok: Column) -> DataFrame:
     """lowest: the least threshold from which on all higher ones are acceptable."""
-    higher = Window.orderBy(F.desc(threshold)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = df.withColumn("_held", F.bool_and(F.coalesce(ok, F.lit(False))).over(higher))
-    return held.agg(F.min(F.when(F.col("_held"), F.col(threshold))).alias("lowest"))
+    refused = df.agg(F.max(F.when(~F.coalesce(ok, F.lit(False)), F.col(threshold))).alias("_refused"))
+    safe = F.col("_refused").isNull() | (F.col(threshold) > F.col("_refused"))
+    return df.join(F.broadcast(refused)).agg(F.min(F.when(safe, F.col(threshold))).alias("lowest"))
 
 
 def random_routing(first: Column, second: Column, share: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaugespark.functions import values
 from gaugespark.operators import keys, ranks, resampling
 from gaugespark.queries.base import Tables, digest_weight_sql, query
-from gaugespark.queries.statistics import FULL_DRAWS
+from gaugespark.queries.statistics import DRAWS
 
 SYSTEMS = ["A", "N", "R"]
 CALLS = """calls AS (SELECT l_returnflag AS system, l_partkey AS item, l_linestatus AS variant, l_linenumber % 4 AS answer, l_partkey % 4 AS truth, l_discount * 10 AS p, l_tax > 0 AS valid, l_quantity AS tokens,
@@ -250,7 +250,7 @@ def _supported(vectors: DataFrame, quantile: float = 0.95, rows: int = 2048) ->
 
     met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "vec_id long, label int, square double")
     found = met.groupBy("vec_id", "label").agg(F.sqrt(F.min("square")).alias("distance"))
-    limit = found.agg(F.percentile("distance", quantile).alias("limit"))
+    limit = ranks.percentiles(found, "distance", (quantile,)).select(F.col("p")[0].alias("limit"))
     return found.join(F.broadcast(limit)).select("vec_id", "label", F.round("distance", 4).alias("distance"), (F.col("distance") <= F.col("limit")).alias("supported"))
 
 
@@ -260,13 +260,13 @@ def nearest_support(t: Tables) -> DataFrame:
     return _supported(t.embeddings)
 
 
-_DRAWS = "(SELECT unnest(range(20)) AS draw)"
+_DRAWS = f"(SELECT unnest(range({DRAWS})) AS draw)"
 
 
 @query(f"""WITH u AS (SELECT o_custkey, count(*)::DOUBLE AS n, sum(o_totalprice / 1e5) AS x, sum(o_totalprice / 1e5 * (o_orderstatus = 'F')::INT) AS xy, sum((o_totalprice / 1e5) ** 2) AS xx, sum((o_orderstatus = 'F')::INT)::DOUBLE AS y FROM orders GROUP BY 1),
 w AS (SELECT *, {digest_weight_sql("o_custkey")} AS w FROM u CROSS JOIN {_DRAWS})
 SELECT draw::INT AS draw, round((sum(w * n) * sum(w * xy) - sum(w * x) * sum(w * y)) / (sum(w * n) * sum(w * xx) - sum(w * x) ** 2), 6) AS slope FROM w GROUP BY 1""")
-def refit_slopes(t: Tables, draws: int = 20) -> DataFrame:
+def refit_slopes(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-14, CMP-52: a model refitted on each draw, from sums of its resampling units."""
     x, y = F.col("o_totalprice") / 1e5, (F.col("o_orderstatus") == "F").cast("double")
     units = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y).alias("y"))
@@ -276,10 +276,12 @@ def refit_slopes(t: Tables, draws: int = 20) -> DataFrame:
     return s.select("draw", F.round((n * xy - x * y) / (n * xx - x * x), 6).alias("slope"))
 
 
-@query(f"""WITH c AS (SELECT draw, l_quantity AS s, sum(w * (l_returnflag = 'R')::INT)::DOUBLE AS p, sum(w * (l_returnflag <> 'R')::INT)::DOUBLE AS q FROM (SELECT l_quantity, l_returnflag, draw, {digest_weight_sql("l_suppkey")} AS w FROM lineitem CROSS JOIN {_DRAWS}) GROUP BY ALL),
+@query(f"""WITH u AS (SELECT l_suppkey, l_quantity AS s, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS q FROM lineitem GROUP BY ALL),
+w AS (SELECT l_suppkey, draw, {digest_weight_sql("l_suppkey")} AS w FROM (SELECT DISTINCT l_suppkey FROM lineitem) CROSS JOIN {_DRAWS}),
+c AS (SELECT draw, s, sum(w * p)::DOUBLE AS p, sum(w * q)::DOUBLE AS q FROM u JOIN w USING (l_suppkey) GROUP BY ALL),
 b AS (SELECT *, sum(q) OVER (PARTITION BY draw ORDER BY s) - q / 2 AS under FROM c)
 SELECT draw::INT AS draw, round(sum(p * under) / nullif(sum(p) * sum(q), 0), 6) AS auroc FROM b GROUP BY 1""")
-def auroc_by_draw(t: Tables, draws: int = 20) -> DataFrame:
+def auroc_by_draw(t: Tables, draws: int = DRAWS) -> DataFrame:
     """CMP-53: the weighted AUROC of each draw, null for one class.
 
     Whole suppliers are resampled; lines are first summed by supplier and
@@ -294,18 +296,6 @@ def auroc_by_draw(t: Tables, draws: int = 20) -> DataFrame:
     return b.groupBy("draw").agg(F.round(F.sum(F.col("p") * F.col("under")) / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0)), 6).alias("auroc"))
 
 
-@query()
-def refit_slopes_full(t: Tables) -> DataFrame:
-    """BOOT-14, CMP-52 with 2000 draws."""
-    return refit_slopes(t, FULL_DRAWS)
-
-
-@query()
-def auroc_by_draw_full(t: Tables) -> DataFrame:
-    """CMP-53 with 2000 draws."""
-    return auroc_by_draw(t, FULL_DRAWS)
-
-
 @query("""WITH p AS (SELECT rep, test, ('0x' || substr(md5(rep || ':' || test), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS p FROM (SELECT unnest(range(400)) AS rep) CROSS JOIN (SELECT unnest(range(5)) AS test))
 SELECT round(avg((least <= 0.05 / 5)::INT), 6) AS family_error, round(avg((least <= 0.05)::INT), 6) AS uncorrected FROM (SELECT min(p) AS least FROM p GROUP BY rep)""")
 def family_error(t: Tables) -> DataFrame:
@@ -389,7 +379,7 @@ def reference_change(t: Tables) -> DataFrame:
     """CMP-10, AGG-38: the distribution of a reference's change under an edit."""
     side = lambda v: F.avg(F.when(F.col("l_linestatus") == v, F.col("l_quantity")))
     d = t.lineitem.groupBy("l_partkey").agg(side("F").alias("f"), side("O").alias("o")).where("f is not null and o is not null").select((F.col("f") - F.col("o")).alias("d"))
-    p = d.agg(F.count("*").alias("n"), _mean(F.col("d"), "mean"), F.percentile("d", F.array(*[F.lit(x) for x in (0.5, 0.25, 0.75, 0.05, 0.95)])).alias("p"))
+    p = ranks.percentiles(d, "d", (0.5, 0.25, 0.75, 0.05, 0.95)).join(F.broadcast(d.agg(_mean(F.col("d"), "mean"))))
     return p.select("n", "mean", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("median", "q1", "q3", "p05", "p95"))])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugespark.functions import values
-from gaugespark.operators import keys
+from gaugespark.operators import keys, ranks
 from gaugespark.queries.base import Tables, query
 
 
@@ -136,8 +136,8 @@ SELECT c_custkey, coalesce(x, median) AS filled FROM v JOIN m USING (c_nationkey
 def median_fallback(t: Tables) -> DataFrame:
     """JON-24, MDL-10: missing values get their group's median."""
     v = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") >= 1000, F.col("c_acctbal")).alias("x"))
-    m = v.groupBy("c_nationkey").agg(F.percentile("x", 0.5).alias("median"))
-    return v.join(m, "c_nationkey").select("c_custkey", F.coalesce("x", "median").alias("filled"))
+    m = ranks.percentiles(v, "x", (0.5,), ["c_nationkey"]).select("c_nationkey", F.col("p")[0].alias("median"))
+    return v.join(m, "c_nationkey", "left").select("c_custkey", F.coalesce("x", "median").alias("filled"))
 
 
 @query("""WITH k AS (SELECT DISTINCT user_id, event_type FROM events), u AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM k) CROSS JOIN (SELECT DISTINCT event_type FROM k))
@@ -191,7 +191,7 @@ def horizon_outcome(t: Tables) -> DataFrame:
 SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_quantity * 1.1 BETWEEN low AND high) AS supported FROM lineitem CROSS JOIN r GROUP BY 1""")
 def supported_range(t: Tables) -> DataFrame:
     """FLT-10, FLT-11: edited values within the fitting records' percentiles."""
-    bounds = t.lineitem.where("l_returnflag = 'N'").agg(F.percentile("l_quantity", 0.005).alias("low"), F.percentile("l_quantity", 0.995).alias("high"))
+    bounds = ranks.percentiles(t.lineitem.where("l_returnflag = 'N'"), "l_quantity", (0.005, 0.995)).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
     inside = (F.col("l_quantity") * 1.1).between(F.col("low"), F.col("high"))
     return t.lineitem.select("l_returnflag", "l_quantity").join(F.broadcast(bounds)).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(inside).alias("supported"))
 

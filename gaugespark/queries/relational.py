@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugespark.functions import texts, values
-from gaugespark.operators import keys
+from gaugespark.operators import keys, ranks
 from gaugespark.plans import calls
 from gaugespark.queries.base import Tables, query
 
@@ -180,15 +180,16 @@ def grouped_shares(t: Tables) -> DataFrame:
 @query("""SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.9), 6) AS p90, count(*) AS n FROM events GROUP BY 1""")
 def quartiles(t: Tables) -> DataFrame:
     """AGG-06, AGG-49: exact linear quantiles."""
-    p = F.percentile("value", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.9)]))
-    per = t.events.groupBy("event_type").agg(p.alias("p"), F.count("*").alias("n"))
+    per = ranks.percentiles(t.events, "value", (0.25, 0.5, 0.75, 0.9), ["event_type"])
     return per.select("event_type", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("q1", "median", "q3", "p90"))], "n")
 
 
 @query("""SELECT lang, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, count(*) FILTER (n_chars >= 8192) AS capped FROM documents GROUP BY 1""")
 def output_cap(t: Tables) -> DataFrame:
     """AGG-47: shares at a cap and length percentiles."""
-    return t.documents.groupBy("lang").agg(F.percentile("n_chars", 0.5).alias("p50"), F.percentile("n_chars", 0.9).alias("p90"), F.count_if(F.col("n_chars") >= 8192).alias("capped"))
+    capped = t.documents.groupBy("lang").agg(F.count_if(F.col("n_chars") >= 8192).alias("capped"))
+    p = ranks.percentiles(t.documents, "n_chars", (0.5, 0.9), ["lang"]).select("lang", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p90"))
+    return p.join(capped, "lang")
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_returnflag, l_linestatus, l_quantity AS tokens, CASE l_returnflag WHEN 'A' THEN 2.0 WHEN 'N' THEN 1.0 ELSE 4.0 END AS price FROM lineitem)

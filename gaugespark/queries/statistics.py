@@ -11,8 +11,8 @@ from gaugespark.queries.base import Tables, digest_weight_sql, query
 
 #: Two levels 0 to 3 (truth and answer, some unusable) of each line, and a confidence.
 LEVELS = """levels AS (SELECT *, l_linenumber % 4 AS truth, CASE WHEN l_tax > 0 THEN l_quantity::INT % 4 END AS answer FROM lineitem)"""
-#: Draws of the queries with SQL, and of their forms named _full, which have the reference's number.
-DRAWS, FULL_DRAWS = 40, 2000
+#: Bootstrap draws.
+DRAWS = 2000
 
 
 def _levels(t: Tables) -> DataFrame:
@@ -267,8 +267,9 @@ def _drawn(t: Tables, draws: int, group: list[str] | None = None) -> DataFrame:
 
 
 _WEIGHTS = f"""weights AS (SELECT draw, unit, {digest_weight_sql("unit")} AS w FROM (SELECT DISTINCT o_custkey AS unit FROM orders) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw))"""
-_DRAWN = _WEIGHTS + """, d AS (SELECT draw, sum(w * (o_totalprice > 150000)::INT)::DOUBLE / sum(w) AS mean FROM orders JOIN weights ON unit = o_custkey GROUP BY 1)"""
-_DRAWN_BY = _WEIGHTS + """, d AS (SELECT draw, o_orderpriority, sum(w * (o_totalprice > 150000)::INT)::DOUBLE / sum(w) AS mean FROM orders JOIN weights ON unit = o_custkey WHERE w > 0 GROUP BY ALL)"""
+_UNITS = _WEIGHTS + """, u AS (SELECT o_custkey AS unit, o_orderpriority, sum((o_totalprice > 150000)::INT) AS s, count(*) AS n FROM orders GROUP BY ALL)"""
+_DRAWN = _UNITS + """, d AS (SELECT draw, sum(w * s)::DOUBLE / sum(w * n) AS mean FROM u JOIN weights USING (unit) GROUP BY 1)"""
+_DRAWN_BY = _UNITS + """, d AS (SELECT draw, o_orderpriority, sum(w * s)::DOUBLE / sum(w * n) AS mean FROM u JOIN weights USING (unit) WHERE w > 0 GROUP BY ALL)"""
 
 
 @query(f"""WITH {_DRAWN} SELECT round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(stddev_samp(mean), 9) AS se FROM d""")
@@ -316,36 +317,6 @@ def margin_verdict(t: Tables, draws: int = DRAWS) -> DataFrame:
     return bounds.select("o_orderpriority", F.round("bonferroni", 9).alias("bonferroni"), resampling.verdict(F.col("low"), F.col("high"), 0.02).alias("verdict"))
 
 
-@query()
-def bootstrap_interval_full(t: Tables) -> DataFrame:
-    """BOOT-01, BOOT-03, BOOT-04, BOOT-10 with 2000 draws."""
-    return bootstrap_interval(t, FULL_DRAWS)
-
-
-@query()
-def bootstrap_by_stratum_full(t: Tables) -> DataFrame:
-    """BOOT-02, BOOT-12 with 2000 draws."""
-    return bootstrap_by_stratum(t, FULL_DRAWS)
-
-
-@query()
-def bootstrap_p_full(t: Tables) -> DataFrame:
-    """BOOT-05, BOOT-13 with 2000 draws."""
-    return bootstrap_p(t, FULL_DRAWS)
-
-
-@query()
-def simultaneous_intervals_full(t: Tables) -> DataFrame:
-    """BOOT-06, AGG-23 with 2000 draws."""
-    return simultaneous_intervals(t, FULL_DRAWS)
-
-
-@query()
-def margin_verdict_full(t: Tables) -> DataFrame:
-    """BOOT-09, BOOT-15, BOOT-16, CMP-39 with 2000 draws."""
-    return margin_verdict(t, FULL_DRAWS)
-
-
 # --- event timelines --------------------------------------------------------
 
 

@@ -29,8 +29,7 @@ def probability_lists(t: Tables) -> DataFrame:
     """STR-06, STR-10, STR-11: lists of label probabilities, checked and made to sum to 1."""
     odd = F.when(F.col("l_linenumber") % 4 == 3, ', "odd": 0.1').otherwise("")
     reply = F.concat(F.lit('{"low": '), (F.col("l_discount") * 5).cast("string"), F.lit(', "high": 0.5'), odd, F.lit("}"))
-    p, status = texts.probability_list(reply, ["low", "middle", "high"])
-    rows = t.lineitem.select(p.alias("p"), status.alias("status"))
+    rows = t.lineitem.select(texts.probability_list(reply, ["low", "middle", "high"]).alias("r")).select("r.p", "r.status")
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg(F.col("p")[0]), 6).alias("low"), F.round(F.avg(F.array_max("p")), 6).alias("top"))
 
 

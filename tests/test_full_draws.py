@@ -52,20 +52,20 @@ def rows(spark, name):
 
 def test_interval_and_p_of_all_draws(spark, orders, customers):
     m = means(orders, customers)
-    (got,) = rows(spark, "bootstrap_interval_full")
+    (got,) = rows(spark, "bootstrap_interval")
     assert (got.low, got.high, got.se) == pytest.approx((*np.quantile(m, [0.025, 0.975]), m.std(ddof=1)), abs=1e-8)
-    (got,) = rows(spark, "bootstrap_p_full")
+    (got,) = rows(spark, "bootstrap_p")
     assert got.p == pytest.approx(min(1, 2 * (min((m <= 0.5).sum(), (m >= 0.5).sum()) + 1) / (DRAWS + 1)), abs=1e-8)
 
 
 def test_strata_of_all_draws(spark, orders, strata):
-    for r in rows(spark, "bootstrap_by_stratum_full"):
+    for r in rows(spark, "bootstrap_by_stratum"):
         m = strata[r.o_orderpriority]
         assert (r.low, r.high, r.se) == pytest.approx((*np.quantile(m, [0.025, 0.975]), m.std(ddof=1)), abs=1e-8)
-    for r in rows(spark, "margin_verdict_full"):
+    for r in rows(spark, "margin_verdict"):
         assert r.bonferroni == pytest.approx(np.quantile(0.5 - strata[r.o_orderpriority], 0.005), abs=1e-8)
     c = np.quantile(np.max([abs(m - m.mean()) / m.std(ddof=1) for m in strata.values()], axis=0), 0.95)
-    for r in rows(spark, "simultaneous_intervals_full"):
+    for r in rows(spark, "simultaneous_intervals"):
         assert r.high - r.low == pytest.approx(2 * c * strata[r.o_orderpriority].std(ddof=1), abs=3e-6)
 
 
@@ -76,7 +76,7 @@ def test_refits_of_all_draws(spark, orders, customers):
         x, y = o["o_totalprice"] / 1e5, o["o_orderstatus"] == "F"
         v[:, place[o["o_custkey"]]] += [1, x, x * y, x * x, y]
     n, x, xy, xx, y = v @ w
-    got = {r.draw: r.slope for r in rows(spark, "refit_slopes_full")}
+    got = {r.draw: r.slope for r in rows(spark, "refit_slopes")}
     assert [got[d] for d in range(DRAWS)] == pytest.approx((n * xy - x * y) / (n * xx - x * x), abs=2e-6)
 
 
@@ -87,5 +87,5 @@ def test_auroc_of_all_draws(spark):
     units = sorted(counts)
     q, p = np.einsum("uct,ud->cdt", np.array([counts[u] for u in units]), weights(units))
     expected = (p * (np.cumsum(q, 1) - q / 2)).sum(1) / (p.sum(1) * q.sum(1))
-    got = {r.draw: r.auroc for r in rows(spark, "auroc_by_draw_full")}
+    got = {r.draw: r.auroc for r in rows(spark, "auroc_by_draw")}
     assert [got[d] for d in range(DRAWS)] == pytest.approx(list(expected), abs=2e-6)
