@@ -6,7 +6,8 @@ smallest doc_id; a join marks the places where they must go, and each document
 is put together again by position. A line that a third of all documents hold
 costs one partial row per task in the aggregation. The shared hashes and the
 places are tables too, so that both sides of each join have a shuffle of their
-own: only then can adaptive execution split a hot hash or a hot doc_id.
+own: only then can adaptive execution split a hot hash or a hot doc_id. The
+joins are merge joins at every size, since those tables grow with the corpus.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def repeated_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = lines.select("doc_id", "place", key.alias("key")).where(F.length("key") >= min_chars)
     hashed = stored(keyed.select("doc_id", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")), "line-hashes")
     shared = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    places = hashed.join(stored(shared, "shared-lines"), ["h1", "h2"]).where("doc_id <> first")
+    places = hashed.join(stored(shared, "shared-lines").hint("merge"), ["h1", "h2"]).where("doc_id <> first")
     return places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
 
@@ -47,7 +48,7 @@ def deduped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = stored(repeated_places(docs, min_chars), "places")
-    lines = rows.join(places, "doc_id", "left").withColumn("lines", _lines(F.col("text")))
+    lines = rows.join(places.hint("merge"), "doc_id", "left").withColumn("lines", _lines(F.col("text")))
     every = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.transform(F.array_except(every, F.col("places")), lambda i: F.get("lines", i)))
     out = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
