@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def missing_if_nan(c: Column) -> Column:
@@ -184,3 +186,45 @@ def spline_basis(c: Column, knots: Sequence[float], degree: int = 3) -> list[Col
         inner = raised(c, inner, d, F.lit(0.0))
     (v0, s0), (v1, s1) = at(low), at(high)
     return [F.when(c < low, v0[i] + s0[i] * (c - low)).when(c > high, v1[i] + s1[i] * (c - high)).when(c.isNotNull(), b) for i, b in enumerate(inner)]
+
+
+def _beta_below(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function, by its continued fraction (Lentz's method)."""
+    swap = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    tiny = 1e-300
+    safe = lambda v: np.where(np.abs(v) < tiny, tiny, v)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 400):
+        for factor in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / safe(1 + factor * d), safe(1 + factor / c)
+            value = value * d * c
+    logs = np.array([math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) for p, q in zip(a, b)])
+    with np.errstate(divide="ignore"):
+        front = np.exp(logs + a * np.log(x) + b * np.log1p(-x)) / a
+    return np.where(swap, 1 - front * value, front * value)
+
+
+def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the beta distribution reaches p, by bisection; a and b are positive."""
+    low, high = np.zeros(len(a)), np.ones(len(a))
+    for _ in range(60):
+        mid = (low + high) / 2
+        under = _beta_below(mid, a, b) < p
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    return (low + high) / 2
+
+
+def exact_intervals(df: DataFrame, k: str, n: str, level: float = 0.95) -> DataFrame:
+    """df with low, high: the exact binomial interval of k of n; df is aggregated already."""
+    tail = (1 - level) / 2
+
+    def run(batches):
+        for batch in batches:
+            hits, tries = (batch[c].to_numpy(np.float64) for c in (k, n))
+            edge = lambda p, a, b, fixed, at: np.where(fixed, at, beta_quantile(p, np.where(fixed, 1.0, a), np.where(fixed, 1.0, b)))
+            low, high = edge(tail, hits, tries - hits + 1, hits == 0, 0.0), edge(1 - tail, hits + 1, tries - hits, hits == tries, 1.0)
+            yield batch.assign(low=low, high=high)
+
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("low", DoubleType()), StructField("high", DoubleType())]))

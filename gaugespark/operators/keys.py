@@ -69,3 +69,25 @@ def stacked(*dfs: DataFrame) -> DataFrame:
 def crosstab(df: DataFrame, row: str, column: str, levels: Sequence[str]) -> DataFrame:
     """Counts of each row value by the given levels, zeros included."""
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == x).alias(f"n_{x.lower().replace(' ', '_')}") for x in levels])
+
+
+def first_present(df: DataFrame, candidates: Sequence[str]) -> Column:
+    """The first of the candidate columns that the table has (not the first without null); null if it has none."""
+    return next((F.col(c) for c in candidates if c in df.columns), F.lit(None))
+
+
+def staged_sample(df: DataFrame, level: str, entity: str, order: Sequence[str], k: int) -> DataFrame:
+    """At most k rows of each level, in an order without ties; an entity is drawn once.
+
+    Levels are few. They take their turn from the rarest on (of equally rare
+    ones the smaller name first), each from the entities not yet drawn.
+    """
+    sizes = df.where(F.col(level).isNotNull()).groupBy(level).agg(F.count("*").alias("n")).orderBy("n", level).collect()
+    drawn = None
+    for name in (r[0] for r in sizes):
+        rows = df.where(F.col(level) == name)
+        if drawn is not None:
+            rows = rows.join(F.broadcast(drawn.select(entity)), entity, "left_anti").select(df.columns)
+        part = keep_one(rows, [entity], [F.col(c) for c in order]).orderBy(*order).limit(k)
+        drawn = part if drawn is None else drawn.union(part)
+    return drawn if drawn is not None else df.limit(0)

@@ -28,6 +28,33 @@ def logistic_line(df: DataFrame, x: Column, y: Column, w: Column, rounds: int =
     return float(beta[0]), float(beta[1])
 
 
+def logistic_lines(df: DataFrame, fit: str, x: str, y: str, w: Column | None = None, rounds: int = 30, ridge: float = 1e-8, stop: float = 1e-8) -> DataFrame:
+    """fit, intercept, slope: a weighted logistic line for each value of fit, all in one aggregation a round.
+
+    Fits are few (halves, groups, draws): their coefficients are on the driver.
+    """
+    spark = df.sparkSession
+    rows = df.select(fit, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), (F.lit(1.0) if w is None else w.cast("double")).alias("_w")).where(f"{fit} is not null and _x is not null and _y is not null and _w > 0")
+    kind = dict(df.dtypes)[fit]
+    schema = f"{fit} {kind}, intercept double, slope double"
+    beta = {r[0]: np.zeros(2) for r in rows.select(fit).distinct().collect()}
+    told = lambda: spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in beta.items()], schema)
+    open_fits = set(beta)
+    for _ in range(rounds):
+        if not open_fits:
+            break
+        placed = rows.join(F.broadcast(told().where(F.col(fit).isin(list(open_fits)))), fit)
+        p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("_x"))))
+        v, r = F.col("_w") * p * (1 - p), F.col("_w") * (F.col("_y") - p)
+        for s in placed.groupBy(fit).agg(F.sum(v), F.sum(v * F.col("_x")), F.sum(v * F.col("_x") * F.col("_x")), F.sum(r), F.sum(r * F.col("_x"))).collect():
+            k = s[0]
+            step = np.linalg.solve(np.array([[s[1] + ridge, s[2]], [s[2], s[3] + ridge]]), np.array([s[4], s[5]]) - ridge * beta[k])
+            beta[k] = beta[k] + step
+            if np.abs(step).max() < stop:
+                open_fits.discard(k)
+    return told()
+
+
 def preparation(numbers: list[str], labels: list[str]) -> list:
     """Median-imputed, scaled numbers and one-hot labels as the stages of a pipeline."""
     stages: list = [Imputer(inputCols=numbers, outputCols=[f"{c}_i" for c in numbers], strategy="median")]
@@ -59,3 +86,27 @@ def crossfitted(df: DataFrame, key: str, y: str, numbers: list[str], labels: lis
         part = predicted(logistic(numbers, labels, y, train.count()).fit(train), placed.where(F.col("fold") == k), [key, y, "fold"])
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def hazard_logistic(numbers: list[str], period: str, event: str) -> Pipeline:
+    """A hazard of each period's own level and the numbers' common effect."""
+    stages = [OneHotEncoder(inputCols=[period], outputCols=[f"{period}_o"], dropLast=False, handleInvalid="keep"), VectorAssembler(inputCols=[*numbers, f"{period}_o"], outputCol="features")]
+    return Pipeline(stages=[*stages, LogisticRegression(labelCol=event, regParam=1e-6, standardization=False)])
+
+
+def category_probabilities(df: DataFrame, numbers: list[str], category: str, least: int = 50) -> DataFrame:
+    """df with p, a map of each category's probability by a multinomial fit on the scaled numbers.
+
+    Categories with fewer than `least` rows are left out of the fit and the map.
+    """
+    names = sorted(r[0] for r in df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n")).where(F.col("n") >= least).collect())
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(category))
+    indexed = df.withColumn("_label", F.when(place > 0, (place - 1).cast("double")))
+    fitted = Pipeline(stages=[*preparation(numbers, []), LogisticRegression(labelCol="_label", family="multinomial", regParam=1e-4)]).fit(indexed.where("_label is not null"))
+    told = vector_to_array("probability")
+    return fitted.transform(indexed).withColumn("p", F.map_from_arrays(F.array(*[F.lit(x) for x in names]), told)).select(*df.columns, "p")
+
+
+def regression(numbers: list[str], estimator) -> Pipeline:
+    """Median-imputed, scaled numbers and an estimator on them."""
+    return Pipeline(stages=[*preparation(numbers, []), estimator])

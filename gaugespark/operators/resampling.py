@@ -73,15 +73,61 @@ def simultaneous(draws: DataFrame, point: DataFrame, member: str, value: str, le
     return point.join(spread, member).join(F.broadcast(critical)).select(member, value, (F.col(value) - F.col("c") * F.col("se")).alias("low"), (F.col(value) + F.col("c") * F.col("se")).alias("high"))
 
 
-def holm(df: DataFrame, p: str, tie: str) -> DataFrame:
-    """df with holm_p: a family's p values, each the running largest of (m - i) p."""
-    family = Window.orderBy(p, tie)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def holm(df: DataFrame, p: str, tie: str, group: list[str] | None = None) -> DataFrame:
+    """df with holm_p: a family's p values, each the running largest of (m - i) p.
+
+    A family is at most a few hundred tests, so one task has it whole.
+    """
+    family = Window.partitionBy(*(group or [])).orderBy(p, tie)
+    everything = Window.partitionBy(*(group or []))
     step = F.least(F.lit(1.0), (F.count("*").over(everything) - F.row_number().over(family) + 1) * F.col(p))
     stepped = df.withColumn("_step", step)
     return stepped.withColumn("holm_p", F.max("_step").over(family.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_step")
 
 
+def holm_bounds(draws: DataFrame, member: str, value: str, margin: float, alpha: float = 0.025) -> DataFrame:
+    """member, bound, ok: step-down lower bounds of a family's differences, ok where above -margin.
+
+    Members are taken in order of their draws at or below -margin (the larger
+    median first, then by name); step i of m has level alpha / (m - i + 1) and
+    the lower order statistic at it. From the first bound that isn't above
+    -margin on, all keep that step's level and are not ok. A row of draws a
+    member, as many as there are draws, and as many rows as members.
+    """
+    per = draws.groupBy(member).agg(F.sort_array(F.collect_list(value)).alias("_v"), F.count_if(F.col(value) <= -margin).alias("_k"), F.percentile(value, 0.5).alias("_median"))
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = per.withColumn("_i", F.row_number().over(Window.orderBy("_k", -F.col("_median"), member)) - 1).withColumn("_m", F.count("*").over(whole))
+    bound = lambda i: F.get("_v", F.floor(alpha / (F.col("_m") - i) * (F.size("_v") - 1)).cast("int"))
+    stopped = ranked.withColumn("_stop", F.min(F.when(bound(F.col("_i")) <= -margin, F.col("_i"))).over(whole))
+    step = F.least("_i", F.coalesce("_stop", "_i"))
+    return stopped.select(member, bound(step).alias("bound"), (F.col("_stop").isNull() | (F.col("_i") < F.col("_stop"))).alias("ok"))
+
+
+def holm_outcomes(draws: DataFrame, member: str, value: str, margin: float, alpha: float = 0.025) -> DataFrame:
+    """member, lower, upper, outcome: non-inferior by the lower bounds, else worse by the upper ones, else inconclusive."""
+    low = holm_bounds(draws, member, value, margin, alpha).select(member, F.col("bound").alias("lower"), F.col("ok").alias("_above"))
+    mirrored = draws.withColumn("_mirror", -F.col(value))
+    high = holm_bounds(mirrored, member, "_mirror", -margin, alpha).select(member, (-F.col("bound")).alias("upper"), F.col("ok").alias("_below"))
+    outcome = F.when(F.col("_above"), "non-inferior").when(F.col("_below"), "worse").otherwise("inconclusive")
+    return low.join(high, member).select(member, "lower", "upper", outcome.alias("outcome"))
+
+
+def stratified_means(units: DataFrame, unit: str, stratum: str, value: Column, draws: int, weight) -> DataFrame:
+    """draw, mean: units resampled within their stratum; every draw has the strata at their own shares.
+
+    A stratum that a draw leaves empty is left out of that draw's mean.
+    """
+    sums = over_draws(units.select(unit, stratum, value.alias("_y")), unit, draws, weight).groupBy("draw", stratum).agg(F.sum("_w").alias("_t"), F.sum(F.col("_w") * F.col("_y")).alias("_s")).where("_t > 0")
+    total = units.agg(F.count("*").alias("_all"))
+    shares = units.groupBy(stratum).agg(F.count("*").alias("_n")).join(F.broadcast(total)).select(stratum, (F.col("_n").cast("double") / F.col("_all")).alias("_share"))
+    return sums.join(F.broadcast(shares), stratum).groupBy("draw").agg((F.sum(F.col("_share") * F.col("_s").cast("double") / F.col("_t")) / F.sum("_share")).alias("mean"))
+
+
+def marginal_only(df: DataFrame, prefix: str = "simultaneous_") -> DataFrame:
+    """df without the columns of simultaneous intervals."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
 def verdict(low: Column, high: Column, margin: float) -> Column:
     """How a difference (lower is better) stands to a margin."""
     return F.when(high < margin, F.when(high < 0, "better").otherwise("non-inferior")).when(low > margin, "worse").otherwise("inconclusive")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugespark.operators.ranks import numbered
+from gaugespark.operators.ranks import numbered, percentiles
 
 #: Certainty is compared with this tolerance.
 TOLERANCE = 1e-9
@@ -26,13 +26,36 @@ def kept_share(df: DataFrame, confidence: str, tie: str, share: float) -> DataFr
 
 
 def threshold_grid(df: DataFrame, confidence: str, first_ok: Column, second_ok: Column, thresholds: Sequence[float]) -> DataFrame:
-    """threshold, kept, accuracy: the first system where it is confident enough, else the second."""
-    cells = []
-    for t in thresholds:
-        keeps = certain(F.col(confidence), t)
-        ok = F.when(keeps, first_ok).otherwise(second_ok)
-        cells.append(F.struct(F.lit(float(t)).alias("threshold"), F.count_if(keeps).alias("kept"), F.avg(F.coalesce(ok, F.lit(False)).cast("double")).alias("accuracy")))
-    return df.agg(F.array(*cells).alias("g")).select(F.explode("g").alias("g")).select("g.*")
+    """threshold, kept, accuracy: the first system where it is confident enough, else the second.
+
+    Equal confidences are counted first; only those counts meet the thresholds.
+    """
+    right = lambda ok: F.sum(F.coalesce(ok, F.lit(False)).cast("long"))
+    counted = df.groupBy(F.col(confidence).alias("_c")).agg(F.count("*").alias("_n"), right(first_ok).alias("_a"), right(second_ok).alias("_b"))
+    grid = counted.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn("_keeps", F.coalesce(F.col("_c") >= F.col("threshold") - TOLERANCE, F.lit(False)))
+    kept = F.coalesce(F.sum(F.when(F.col("_keeps"), F.col("_n"))), F.lit(0))
+    return grid.groupBy("threshold").agg(kept.alias("kept"), (F.sum(F.when(F.col("_keeps"), F.col("_a")).otherwise(F.col("_b"))) / F.sum("_n")).alias("accuracy"))
+
+
+def decile_grid(df: DataFrame, confidence: str, first_ok: Column, second_ok: Column, first_cost: Column, second_cost: Column, margin: float) -> DataFrame:
+    """threshold, share, accuracy, cost, random_line, within_margin at the deciles of confidence.
+
+    The last threshold, null, has the second system alone. random_line is the
+    accuracy if the same share went to the first system at random;
+    within_margin compares with the second system alone.
+    """
+    found = percentiles(df, confidence, [k / 10 for k in range(10)]).select("p").first()
+    thresholds = sorted(set(found.p if found else [])) + [float("inf")]
+    right = lambda ok: F.coalesce(ok, F.lit(False)).cast("int")
+    rows = df.select(F.col(confidence).alias("_c"), right(first_ok).alias("_a"), right(second_ok).alias("_b"), first_cost.alias("_f"), second_cost.alias("_g"))
+    counted = rows.groupBy("_c").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in ("_a", "_b", "_f", "_g")])
+    grid = counted.withColumn("_t", F.explode(F.array(*[F.lit(t) for t in thresholds]))).withColumn("_keeps", F.coalesce(F.col("_c") >= F.col("_t"), F.lit(False)))
+    n, kept = F.sum("_n"), F.coalesce(F.sum(F.when(F.col("_keeps"), F.col("_n"))), F.lit(0))
+    mix = F.sum(F.when(F.col("_keeps"), F.col("_a")).otherwise(F.col("_b")))
+    cost = F.sum("_f") + F.coalesce(F.sum(F.when(~F.col("_keeps"), F.col("_g"))), F.lit(0.0))
+    out = grid.groupBy("_t").agg((kept / n).alias("share"), (mix / n).alias("accuracy"), (cost / n).alias("cost"), (F.sum("_a") / n).alias("_x"), (F.sum("_b") / n).alias("_y"))
+    line = random_routing(F.col("_x"), F.col("_y"), F.col("share"))
+    return out.select(F.when(F.col("_t") < float("inf"), F.col("_t")).alias("threshold"), "share", "accuracy", "cost", line.alias("random_line"), (F.col("accuracy") >= F.col("_y") - margin - 1e-12).alias("within_margin"))
 
 
 def coverage_curve(df: DataFrame, confidence: str, tie: str, correct: Column, shares: Sequence[float]) -> DataFrame:

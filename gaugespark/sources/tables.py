@@ -63,6 +63,22 @@ def unverified(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(manifest.select("sha256"), "sha256", "left_anti")
 
 
+def guarded(df: DataFrame, licence: str, most_rows: int, key: str | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """df, unless it may not be used: its licence file is missing or empty, it has more than most_rows
+    rows, or a key that the allowed table (key) doesn't list."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(licence)
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not folder.exists(path) or not folder.getFileStatus(path).getLen():
+        raise PermissionError(f"no licence file {licence}")
+    n = df.limit(most_rows + 1).count()
+    if n > most_rows:
+        raise PermissionError(f"more than {most_rows} rows")
+    if allowed is not None and not df.join(allowed.select(key), key, "left_anti").isEmpty():
+        raise PermissionError(f"a {key} that isn't allowed")
+    return df
+
+
 def to_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces only the partitions that df has, where by is given."""
     writer = df.write.option("compression", "zstd")

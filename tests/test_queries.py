@@ -52,9 +52,9 @@ def test_query(spark, duck, name):
 def test_every_query_says_what_it_covers():
     import inspect
 
-    from gaugespark.queries import composites, records, relational, statistics, textual
+    from gaugespark.queries import composites, inference, records, relational, statistics, textual
 
-    for module in (composites, records, relational, statistics, textual):
+    for module in (composites, inference, records, relational, statistics, textual):
         for name, f in inspect.getmembers(module, inspect.isfunction):
             if name in catalogue.QUERIES:
                 assert f.__doc__, name
