@@ -251,7 +251,7 @@ def _links(reps: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -
     keys = _keys(reps)
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
     # a table of their own, so that the join below has a shuffle on each side and a hot key can be split
-    members = stored(keys.join(stored(shared, "shared-keys"), "key"), "members")
+    members = stored(keys.join(stored(shared, "shared-keys").hint("merge"), "key"), "members")
     first = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     x, y = reps.alias("x"), reps.alias("y")
     first = first.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_distance("x", "y") <= FARTHEST).select("a", "b")
