@@ -22,7 +22,7 @@ from gaugespark.llm.common import stored
 
 SLOTS = 4096
 SHARDS = 16
-ROWS_PER_RANGE = 2048
+ROWS_PER_RANGE = 512
 
 
 def _text() -> Column:

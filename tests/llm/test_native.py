@@ -92,6 +92,19 @@ def test_shards_are_even_with_a_hot_text(spark):
     assert spread == 0
 
 
+def test_slots_of_short_common_texts(spark, monkeypatch, tmp_path):
+    """A third of the rows are empty, a tenth are one row repeated: places stay gapless over many ranges."""
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 16)
+    n = F.col("id")
+    docs = spark.range(6000).select(F.when(n % 10 == 0, -1).when(n % 3 == 0, n).otherwise(n + 10000).alias("doc_id"), F.when((n % 10 == 0) | (n % 3 == 0), "").otherwise(n.cast("string")).alias("text"))
+    rows = sharding.shard(docs, 4, f"{tmp_path}/map").collect()
+    assert len(rows) == 6000 and {r.version for r in sharding.load_map(spark, f"{tmp_path}/map").collect()} == {0}
+    for k in range(4):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    assert len({r.shard for r in rows if r.size == 1}) == 1
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
+
+
 def test_slot_maps_are_versioned(spark, tmp_path):
     weights = spark.range(500).select(F.col("id").cast("int").alias("virtual_slot"), (F.lit(100) + F.col("id") % 17).alias("bytes"), F.lit(1).alias("rows"))
     first = sharding.first_map(weights, 8)
