@@ -51,6 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after all stages, each stage's output kept as a table and read again by the next.
+
+    The columns are those of documents, with shard and virtual_slot. What null
+    or empty texts, repeated rows and empty tables give is told by each stage's
+    operator; no stage fails on them.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -130,7 +130,11 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
+    """The rows of docs, all columns, that hold no item.
+
+    Null and empty texts hold nothing and stay, as all rows do where there are
+    no items; repeated rows fare alike.
+    """
     at = docs.columns.index("text")
     for items in item_blocks(benchmark):
         shared = pinned(docs.sparkSession, items)
@@ -138,7 +142,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> Dat
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not matcher.find(t.as_py() or "") for t in batch.column(at).cast(pa.string())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -84,7 +84,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as often as the mix takes them, whole.
 
     A document that the cut goes through is taken if half of its words or more
-    are. Rows that share doc_id, source and words are all repeated as often as
+    are. Documents without words (null and empty texts too) give the mix
+    nothing and are left out. Rows that share doc_id, source and words are all repeated as often as
     the most repeated of them.
     """
     found = mix(docs, **options).where("size > 0")

@@ -137,13 +137,19 @@ def _leading(x: np.ndarray, rank: int) -> np.ndarray:
 
 
 def votes(vectors: np.ndarray, model: dict) -> np.ndarray:
-    """The score of each row of latent vectors: neighbours' labels, weighed by similarity."""
-    cosine = _unit(vectors) @ model["vectors"].T
+    """The score of each row of latent vectors: neighbours' labels, weighed by similarity.
+
+    Cosines count to six digits, since products of blocks of other sizes may
+    differ beyond; of equally near neighbours at the last place all vote.
+    """
+    cosine = np.round(_unit(vectors) @ model["vectors"].T, 6)
     k = min(NEIGHBOURS, cosine.shape[1])
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS
-    total = weight.sum(axis=1)
-    return np.where(total > 0, (weight * model["labels"][near]).sum(axis=1) / np.maximum(total, 1e-12), float(model["labels"].mean()))
+    last = np.partition(cosine, -k, axis=1)[:, -k]
+    row, near = np.nonzero((cosine >= last[:, None]) & (cosine > 0))
+    weight = cosine[row, near].astype(np.float64) ** SHARPNESS
+    total = np.bincount(row, weight, len(cosine))
+    score = np.bincount(row, weight * model["labels"][near], len(cosine)) / np.maximum(total, 1e-300)
+    return np.where(total > 0, np.round(score, 9), float(model["labels"].mean()))
 
 
 def _scores(texts: pa.Array, model: dict) -> np.ndarray:
@@ -177,14 +183,19 @@ def scored(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that score threshold or more; all without a model."""
+    """The rows of docs, all columns, that score threshold or more; all without a model.
+
+    Null and empty texts, and documents like none of the sample, score the
+    sample's mean label (as in `scored`), so they stay where that reaches the
+    threshold. Repeated rows fare alike.
+    """
     if model is None:
         return docs
     shared, at = pinned(docs.sparkSession, model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), shared.value) >= threshold))
+            yield batch.filter(pa.array(_scores(batch.column(at).cast(pa.string()), shared.value) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
