@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -10,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugespark.functions.values import spline_basis
+
 
 def logistic_line(df: DataFrame, x: Column, y: Column, w: Column, rounds: int = 30, ridge: float = 1e-8, stop: float = 1e-8) -> tuple[float, float]:
     """Intercept and slope of a weighted logistic fit; each round is one aggregation of six sums."""
@@ -65,25 +70,56 @@ def preparation(numbers: list[str], labels: list[str]) -> list:
     return [*stages, VectorAssembler(inputCols=parts, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features")]
 
 
-def logistic(numbers: list[str], labels: list[str], y: str, n: int, c: float = 10.0) -> Pipeline:
-    return Pipeline(stages=[*preparation(numbers, labels), LogisticRegression(labelCol=y, regParam=1 / (c * max(n, 1)), elasticNetParam=0.0)])
-
-
-def boosted(numbers: list[str], labels: list[str], y: str, rounds: int = 20) -> Pipeline:
-    return Pipeline(stages=[*preparation(numbers, labels), GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=3, seed=7)])
+def boosted(numbers: list[str], labels: list[str], y: str, rounds: int = 100) -> Pipeline:
+    estimator = GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20, seed=7)
+    return Pipeline(stages=[*preparation(numbers, labels), estimator])
 
 
 def predicted(model, df: DataFrame, keys: list[str]) -> DataFrame:
     return model.transform(df).select(*keys, vector_to_array("probability")[1].alias("p"))
 
 
-def crossfitted(df: DataFrame, key: str, y: str, numbers: list[str], labels: list[str], folds: int = 3) -> DataFrame:
-    """key, y, fold, p: each row scored by a model fitted on the other folds."""
+def spline_design(train: DataFrame, numbers: list[str], skewed: Sequence[str] = (), knots: int = 4) -> tuple[list[Column], list[str], int]:
+    """Columns and names of the cubic spline basis of each number and of its missing indicator, and train's rows.
+
+    Medians and knots (quantiles) are those of train, a few numbers each. Missing
+    values get the median; skewed numbers are taken as log(1 + x), x at least 0.
+    """
+    levels = [k / (knots - 1) for k in range(knots)]
+    found = train.agg(*[F.percentile_approx(c, [0.5, *levels], 10000).alias(c) for c in numbers], *[F.count_if(F.col(c).isNull()).alias(f"{c}_none") for c in numbers], F.count("*").alias("_n")).first()
+    columns, names = [], []
+    for c in numbers:
+        if found[c] is None:
+            continue
+        at = (lambda v: math.log1p(max(float(v), 0.0))) if c in skewed else float
+        places = sorted({at(v) for v in found[c][1:]})
+        if len(places) < 2:
+            continue
+        x = F.coalesce(F.col(c).cast("double"), F.lit(float(found[c][0])))
+        x = F.log1p(F.greatest(x, F.lit(0.0))) if c in skewed else x
+        basis = spline_basis(x, places)
+        columns += [b.alias(f"{c}_s{i}") for i, b in enumerate(basis)]
+        names += [f"{c}_s{i}" for i in range(len(basis))]
+        if found[f"{c}_none"]:
+            columns.append(F.col(c).isNull().cast("double").alias(f"{c}_none"))
+            names.append(f"{c}_none")
+    return columns, names, found["_n"]
+
+
+def crossfitted(df: DataFrame, key: str, y: str, numbers: list[str], labels: list[str], folds: int = 10, skewed: Sequence[str] = (), c: float = 10.0) -> DataFrame:
+    """key, y, fold, p: each row scored by a penalised spline fit of the other folds."""
     placed = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")).withColumn(y, F.col(y).cast("double"))
+    if labels:  # which labels there are isn't learnt from the outcomes, so it is told once for all folds
+        coded = [StringIndexer(inputCols=labels, outputCols=[f"{x}_x" for x in labels], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{x}_x" for x in labels], outputCols=[f"{x}_o" for x in labels])]
+        placed = Pipeline(stages=coded).fit(placed).transform(placed)
     out = None
     for k in range(folds):
-        train = placed.where(F.col("fold") != k)
-        part = predicted(logistic(numbers, labels, y, train.count()).fit(train), placed.where(F.col("fold") == k), [key, y, "fold"])
+        train, held = placed.where(F.col("fold") != k), placed.where(F.col("fold") == k)
+        basis, names, n = spline_design(train, numbers, skewed)
+        assembled = VectorAssembler(inputCols=[*names, *[f"{x}_o" for x in labels]], outputCol="features")
+        fit = LogisticRegression(labelCol=y, regParam=1 / (c * max(n, 1)), standardization=False, maxIter=30, tol=1e-5)
+        model = Pipeline(stages=[assembled, fit]).fit(train.select("*", *basis))
+        part = predicted(model, held.select("*", *basis), [key, y, "fold"])
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -364,7 +364,7 @@ def seeded_blocks(t: Tables) -> DataFrame:
 @query("""WITH g AS (SELECT c_nationkey, count(*)::DOUBLE AS n, sum((c_acctbal > 5000)::INT)::DOUBLE AS k FROM customer GROUP BY 1), o AS (SELECT *, (sum(k) OVER () - k) / (sum(n) OVER () - n) AS p FROM g)
 SELECT c_nationkey, round(p, 9) AS p, round(-(k * ln(p) + (n - k) * ln(1 - p)) / n, 6) AS log_loss FROM o""")
 def leave_group_out(t: Tables) -> DataFrame:
-    """MDL-09, CMP-54: each group scored by what the other groups say, from totals less its own."""
+    """AGG-57: each group scored by what the other groups say, from totals less its own."""
     g = t.customer.groupBy("c_nationkey").agg(F.count("*").cast("double").alias("n"), F.sum((F.col("c_acctbal") > 5000).cast("double")).alias("k"))
     total = g.agg(F.sum("n").alias("tn"), F.sum("k").alias("tk"))
     p = (F.col("tk") - F.col("k")) / (F.col("tn") - F.col("n"))

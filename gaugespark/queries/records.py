@@ -134,7 +134,7 @@ def best_match(t: Tables) -> DataFrame:
 @query("""WITH v AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal >= 1000 THEN c_acctbal END AS x FROM customer), m AS (SELECT c_nationkey, quantile_cont(x, 0.5) AS median FROM v GROUP BY 1)
 SELECT c_custkey, coalesce(x, median) AS filled FROM v JOIN m USING (c_nationkey)""")
 def median_fallback(t: Tables) -> DataFrame:
-    """JON-24, MDL-10: missing values get their group's median."""
+    """JON-24: missing values get their group's median."""
     v = t.customer.select("c_custkey", "c_nationkey", F.when(F.col("c_acctbal") >= 1000, F.col("c_acctbal")).alias("x"))
     m = ranks.percentiles(v, "x", (0.5,), ["c_nationkey"]).select("c_nationkey", F.col("p")[0].alias("median"))
     return v.join(m, "c_nationkey", "left").select("c_custkey", F.coalesce("x", "median").alias("filled"))

@@ -295,7 +295,7 @@ def top_counts(t: Tables) -> DataFrame:
 
 @query("""SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey::VARCHAR), c_custkey) <= 5""")
 def stratified_sample(t: Tables) -> DataFrame:
-    """TOP-06..10: a seeded sample of each stratum, by hash order (the sample is the feature)."""
+    """TOP-06, TOP-08, TOP-09, TOP-10: a seeded sample of each stratum, by hash order (the sample is the feature)."""
     order = Window.partitionBy("c_nationkey").orderBy(F.md5(F.col("c_custkey").cast("string").cast("binary")), "c_custkey")
     return t.customer.select("c_nationkey", "c_custkey", F.row_number().over(order).alias("k")).where("k <= 5").drop("k")
 

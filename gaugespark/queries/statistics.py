@@ -280,7 +280,7 @@ def bootstrap_interval(t: Tables, draws: int = DRAWS) -> DataFrame:
 
 @query(f"""WITH {_DRAWN_BY} SELECT o_orderpriority, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(stddev_samp(mean), 9) AS se FROM d GROUP BY 1""")
 def bootstrap_by_stratum(t: Tables, draws: int = DRAWS) -> DataFrame:
-    """BOOT-02, BOOT-12: intervals of each stratum from the same draws."""
+    """BOOT-12: intervals of each stratum from the same draws."""
     return _rounded(resampling.interval(_drawn(t, draws, ["o_orderpriority"]), "mean", ["o_orderpriority"]), "low", "high", "se", digits=9)
 
 
@@ -303,7 +303,7 @@ def simultaneous_intervals(t: Tables, draws: int = DRAWS) -> DataFrame:
 @query("""WITH f AS (SELECT n_name, count(*) AS n, avg(c_acctbal) / 10000 AS p FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)
 SELECT n_name, round(p, 9) AS p, round(max(s) OVER (ORDER BY p, n_name ROWS UNBOUNDED PRECEDING), 6) AS holm_p FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, n_name) + 1) * p) AS s FROM f)""")
 def holm_adjusted(t: Tables) -> DataFrame:
-    """BOOT-07, BOOT-08: Holm's step-down of a family of at most a few hundred tests."""
+    """BOOT-08: Holm's step-down of a family of at most a few hundred tests."""
     family = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg((F.avg("c_acctbal") / 10000).alias("p"))
     return resampling.holm(family, "p", "n_name").select("n_name", F.round("p", 9).alias("p"), F.round("holm_p", 6).alias("holm_p"))
 
@@ -355,7 +355,7 @@ def rise_stages(t: Tables) -> DataFrame:
 h AS (SELECT period, count(*) AS at_risk, count(*) FILTER (dead AND period = n - 1) AS events FROM p GROUP BY 1)
 SELECT period::INT AS period, at_risk, events, round(1 - exp(sum(ln(1 - events::DOUBLE / at_risk)) OVER (ORDER BY period)), 9) AS risk FROM h""")
 def person_periods(t: Tables) -> DataFrame:
-    """WIN-10, WIN-11, WIN-12, MDL-04: follow-up by period and the cumulative risk."""
+    """WIN-10, WIN-11, WIN-12: follow-up by period and the cumulative risk."""
     long = ranks.person_periods(t.customer, F.lit(1) + F.col("c_custkey") % 7, F.col("c_acctbal") < 0)
     hazard = long.groupBy("period").agg(F.count("*").alias("at_risk"), F.sum("event").alias("events"))
     upto = hazard.select(F.col("period").alias("upto"), F.col("at_risk").alias("n"), F.col("events").alias("k"))
@@ -384,10 +384,10 @@ def route_pairing(t: Tables) -> DataFrame:
     return _rounded(out, "alone", "paired", "cost_share")
 
 
-@query(f"""WITH {_ROUTES} SELECT threshold, count(*) FILTER (top >= threshold - 1e-9) AS kept, round(avg((CASE WHEN top >= threshold - 1e-9 THEN first_ok ELSE second_ok END)::INT), 6) AS accuracy FROM r CROSS JOIN (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS threshold) GROUP BY 1""")
+@query(f"""WITH {_ROUTES} SELECT threshold, count(*) FILTER (top >= threshold - 1e-9) AS kept, round(avg((CASE WHEN top >= threshold - 1e-9 THEN first_ok ELSE second_ok END)::INT), 6) AS accuracy FROM r CROSS JOIN (SELECT unnest(range(50, 101))::DOUBLE / 100 AS threshold) GROUP BY 1""")
 def threshold_grid(t: Tables) -> DataFrame:
-    """HYB-01, HYB-08, HYB-09: accuracy over thresholds, in one pass."""
-    return _rounded(routing.threshold_grid(_routes(t), "top", F.col("first_ok"), F.col("second_ok"), [0.0, 0.25, 0.5, 0.75, 1.0]), "accuracy")
+    """HYB-08: accuracy over the 51 thresholds from 0.50 to 1.00, in one pass."""
+    return _rounded(routing.threshold_grid(_routes(t), "top", F.col("first_ok"), F.col("second_ok"), [k / 100 for k in range(50, 101)]), "accuracy")
 
 
 _PRICED = """o AS (SELECT o_orderkey, o_totalprice, o_orderstatus = 'F' AS ok, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k, count(*) OVER () AS n FROM orders)"""
@@ -436,7 +436,7 @@ def _pages_of_risk(t: Tables) -> DataFrame:
 
 @query()
 def recalibrated(t: Tables) -> DataFrame:
-    """AGG-21, AGG-22, BOOT-11: intercept and slope of outcomes on clipped log-odds."""
+    """AGG-21, AGG-22: intercept and slope of outcomes on clipped log-odds."""
     p = values.clipped(F.col("l_discount") * 10)
     a, b = models.logistic_line(t.lineitem, values.log_odds(p), (F.col("l_returnflag") == "R").cast("int"), F.lit(1.0))
     return t.region.sparkSession.createDataFrame([(round(a, 6), round(b, 6))], "intercept double, slope double")
@@ -444,15 +444,15 @@ def recalibrated(t: Tables) -> DataFrame:
 
 @query()
 def crossfit_logistic(t: Tables) -> DataFrame:
-    """MDL-01, MDL-02, MDL-05, MDL-07: out-of-fold predictions of a penalised fit."""
-    return models.crossfitted(_pages_of_risk(t), "c_custkey", "y", ["c_acctbal", "spent"], ["c_mktsegment"]).select("c_custkey", "y", "fold", F.round("p", 4).alias("p"))
+    """MDL-01, MDL-02, MDL-05, MDL-07: predictions out of ten folds of a penalised spline fit."""
+    return models.crossfitted(_pages_of_risk(t), "c_custkey", "y", ["c_acctbal", "spent"], ["c_mktsegment"], skewed=("spent",)).select("c_custkey", "y", "fold", F.round("p", 4).alias("p"))
 
 
 @query()
 def boosted_contrast(t: Tables) -> DataFrame:
     """MDL-03, MDL-08, PRJ-29: log-odds with one field edited minus without, by record."""
     rows = _pages_of_risk(t).withColumn("y", F.col("y").cast("double"))
-    fitted = models.boosted(["c_acctbal", "spent"], ["c_mktsegment"], "y", rounds=5).fit(rows)
+    fitted = models.boosted(["c_acctbal", "spent"], ["c_mktsegment"], "y").fit(rows)
     before = models.predicted(fitted, rows, ["c_custkey"])
     after = models.predicted(fitted, rows.withColumn("spent", F.col("spent") * 1.1), ["c_custkey"]).withColumnRenamed("p", "q")
     return before.join(after, "c_custkey").select("c_custkey", F.round(values.log_odds(F.col("q")) - values.log_odds(F.col("p")), 6).alias("contrast"))

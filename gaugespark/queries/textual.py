@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.functions import texts, values
+from gaugespark.operators import reports
 from gaugespark.queries.base import Tables, query
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -76,7 +77,7 @@ def shared_runs(t: Tables) -> DataFrame:
 
 @query(r"""SELECT lang, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'license' WHEN regexp_matches(text, '[0-9]{3}') THEN 'numbers' WHEN contains(text, '?') THEN 'question' ELSE 'prose' END AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL""")
 def first_patterns(t: Tables) -> DataFrame:
-    """STR-13, STR-14, STR-15, FLT-12: the first of several patterns that a text holds."""
+    """STR-15, FLT-12: the first of several patterns that a text holds."""
     kind = texts.first_pattern(F.col("text"), [("license", "(?i)licen[cs]e"), ("numbers", "[0-9]{3}"), ("question", r"\?")], "prose")
     return t.documents.where("text is not null").groupBy("lang", kind.alias("kind")).agg(F.count("*").alias("n"))
 
@@ -148,3 +149,21 @@ def timeline_reparsed(t: Tables) -> DataFrame:
     told = e.groupBy("user_id", "part").agg(F.array_join(F.collect_list(entry), "; ").alias("record"))
     read = told.select("user_id", F.explode(texts.parsed_timeline(F.col("record"))).alias("x"))
     return read.groupBy("user_id", "x.minute", "x.value").agg(F.count("*").alias("n"))
+
+
+_REPORTS = """r AS (SELECT c_custkey, c_custkey % 5 AS t, c_custkey % 9 AS inv, 12 + c_custkey % 7 AS exam, c_custkey % 3 AS dep, c_custkey % 4 AS m FROM customer)"""
+
+
+@query(f"""WITH {_REPORTS} SELECT c_custkey, ['T1', 'T2', 'T3', 'T4a', 'T4b'][t + 1] AS t,
+CASE WHEN inv = 0 THEN CASE WHEN dep > 0 THEN 'N1c' ELSE 'N0' END WHEN inv = 1 THEN 'N1a' WHEN inv <= 3 THEN 'N1b' WHEN inv <= 6 THEN 'N2a' ELSE 'N2b' END AS n, ['M0', 'M1a', 'M1b', 'M1c'][m + 1] AS m, inv::INT AS involved, exam::INT AS examined FROM r""")
+def staged_reports(t: Tables) -> DataFrame:
+    """STR-13, STR-14: reports written from counts and read back; negations hold for their own clause."""
+    key = F.col("c_custkey")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (key % n + 1).cast("int"))
+    depth = pick(5, "The tumor invades the submucosa but not the muscularis propria.", "Tumor grows into but not through the muscularis propria.", "It extends through the muscularis propria, without involvement of the serosa.", "The serosa is penetrated; no adjacent organ is involved.", "The carcinoma invades the urinary bladder.")
+    inv, exam, dep = key % 9, 12 + key % 7, key % 3
+    nodes = F.when(inv == 0, F.format_string("Lymph nodes: %d examined, none involved.", exam)).when(key % 2 == 0, F.format_string("Lymph nodes: %d/%d with metastasis.", inv, exam)).otherwise(F.format_string("Metastatic carcinoma in %d of %d lymph nodes.", inv, exam))
+    deposits = F.when(dep == 0, "No tumor deposits.").otherwise(F.format_string("Tumor deposits: %d.", dep))
+    scan = pick(4, "no distant disease", "lesions in the liver; no lung nodules", "hepatic and pulmonary metastases", "peritoneal carcinomatosis; liver lesions")
+    text = F.concat(depth, F.lit(" "), nodes, F.lit("\n"), deposits, F.lit("\nMargins are free.\nStaging CT chest and abdomen: "), scan)
+    return reports.read_reports(t.customer.select("c_custkey", text.alias("report")), "c_custkey", "report").select("c_custkey", "t", "n", "m", "involved", "examined")

@@ -33,13 +33,33 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def layout(text: str) -> dict[str, tuple[int, int, bool]]:
-    """name -> (first, last, is text) of "NAME $ 1-5" and "@1 NAME $5." lines of a layout."""
-    out = {}
-    for line in text.splitlines():
-        if m := re.match(r"\s*(\w+)\s+(\$?)\s*(\d+)\s*-\s*(\d+)", line):
-            out[m[1]] = (int(m[3]), int(m[4]), bool(m[2]))
-        elif m := re.match(r"\s*@(\d+)\s+(\w+)\s+(\$?)(\d+)\.", line):
-            out[m[2]] = (int(m[1]), int(m[1]) + int(m[4]) - 1, bool(m[3]))
+    """name -> (first, last, is text) of the items of an INPUT statement (of the whole text without one).
+
+    An item is a place, a name and a format ("@1 NAME $5."), or a name with a
+    span or a single place ("NAME $ 1-5", "NAME 7"); the first of a name counts.
+    """
+    statement = text.upper().partition("INPUT")
+    tokens = re.findall(r"@|-|;|\$|\d+\.\d*|\.\d+|\w+", statement[2] if re.search(r"\bINPUT\b", text.upper()) else text.upper())
+    out, at = {}, 0
+    while at < len(tokens) and tokens[at] != ";":
+        if tokens[at] == "@" and len(tokens) > at + 3:
+            first, name = int(tokens[at + 1]), tokens[at + 2]
+            char = tokens[at + 3] == "$"
+            width = tokens[at + 3 + char].split(".")[0]
+            out.setdefault(name, (first, first + int(width) - 1, char))
+            at += 4 + char
+        elif re.fullmatch(r"[A-Z_]\w*", tokens[at]):
+            name, char = tokens[at], tokens[at + 1 : at + 2] == ["$"]
+            at += 1 + char
+            if tokens[at : at + 1] and tokens[at].isdigit():
+                first = last = int(tokens[at])
+                at += 1
+                if tokens[at : at + 1] == ["-"]:
+                    last = int(tokens[at + 1])
+                    at += 2
+                out.setdefault(name, (first, last, char))
+        else:
+            at += 1
     return out
 
 
