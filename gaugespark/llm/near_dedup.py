@@ -185,14 +185,15 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("kinds > 1")
-    return stored(named.join(main.select("key", "main"), "key"), "open-keys")
+    # tables and merge joins here and below: a join with an aggregate of the same rows can't be split at a hot key
+    return stored(named.join(stored(main.select("key", "main"), "main-components").hint("merge"), "key"), "open-keys")
 
 
 def _second_centres(spanning: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): each document outside its keys' main components with the nearest of their
     second centres, which are drawn by hash from the main components, one for each key."""
     drawn = spanning.where("comp = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id"))["id"].alias("centre"))
-    met = spanning.where("comp <> main").join(drawn, "key").select("id", "centre").distinct()
+    met = spanning.where("comp <> main").join(stored(drawn, "second-centres").hint("merge"), "key").select("id", "centre").distinct()
     x, y = reps.alias("x"), reps.alias("y")
     near = met.alias("m").join(x, F.col("m.id") == F.col("x.id")).join(y, F.col("m.centre") == F.col("y.id")).select(F.col("m.id").alias("u"), F.col("m.centre").alias("v"), _distance("x", "y").alias("far"))
     nearest = near.where(F.col("far") <= FARTHEST).groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v"))
