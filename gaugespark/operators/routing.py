@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.operators.ranks import numbered, percentiles
+from gaugespark.operators.resampling import digest_weight, over_draws
 
 #: Certainty is compared with this tolerance.
 TOLERANCE = 1e-9
@@ -97,11 +98,29 @@ def three_step(df: DataFrame, first: str, second: str, tie: str) -> DataFrame:
     return one.where("kept").withColumn("step", F.lit(1)).drop("kept").unionByName(rest.withColumn("step", F.when(F.col("kept"), 2).otherwise(3)).drop("kept"))
 
 
-def lowest_safe(df: DataFrame, threshold: str, ok: Column) -> DataFrame:
-    """lowest: the least threshold from which on all higher ones are acceptable."""
-    refused = df.agg(F.max(F.when(~F.coalesce(ok, F.lit(False)), F.col(threshold))).alias("_refused"))
+def lowest_safe(df: DataFrame, threshold: str, ok: Column, group: Sequence[str] = ()) -> DataFrame:
+    """group, lowest: the least threshold from which on all higher ones are acceptable."""
+    group = list(group)
+    refused = df.groupBy(*group).agg(F.max(F.when(~F.coalesce(ok, F.lit(False)), F.col(threshold))).alias("_refused"))
     safe = F.col("_refused").isNull() | (F.col(threshold) > F.col("_refused"))
-    return df.join(F.broadcast(refused)).agg(F.min(F.when(safe, F.col(threshold))).alias("lowest"))
+    both = df.join(refused, group) if group else df.join(F.broadcast(refused))
+    return both.groupBy(*group).agg(F.min(F.when(safe, F.col(threshold))).alias("lowest"))
+
+
+def drawn_gains(cells: DataFrame, unit: str, confidence: str, n: str, first: str, partners: Sequence[str], thresholds: Sequence[float], draws: int) -> DataFrame:
+    """partner, draw, threshold, gain: a hybrid's accuracy less the partner's alone, in each bootstrap draw.
+
+    cells has the counts of a unit's items by confidence: n, those right by the
+    first system and by each partner. Draws multiply cells, never items, and
+    thresholds meet the sums over units only.
+    """
+    spread = over_draws(cells, unit, draws, digest_weight)
+    sums = spread.groupBy("draw", confidence).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in (n, first, *partners)])
+    grid = sums.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    keeps = F.coalesce(F.col(confidence) >= F.col("threshold") - TOLERANCE, F.lit(False))
+    gains = [F.struct(F.lit(p).alias("partner"), (F.sum(F.when(keeps, F.col(first) - F.col(p)).otherwise(0)) / F.sum(n)).alias("gain")) for p in partners]
+    out = grid.groupBy("draw", "threshold").agg(F.sum(n).alias("_n"), F.array(*gains).alias("g")).where("_n > 0")
+    return out.select("draw", "threshold", F.explode("g").alias("g")).select("g.partner", "draw", "threshold", "g.gain")
 
 
 def random_routing(first: Column, second: Column, share: Column) -> Column:

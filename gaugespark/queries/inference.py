@@ -59,6 +59,27 @@ def decile_hybrid(t: Tables) -> DataFrame:
     return out.select(F.round("threshold", 9).alias("threshold"), *[F.round(c, 6).alias(c) for c in ("share", "accuracy", "cost", "random_line")], "within_margin")
 
 
+PARTNERS = {"first": ("l_quantity", 10), "second": ("l_quantity", 5), "third": ("l_tax", 0.02)}
+_GAIN = ", ".join(f"sum(CASE WHEN top >= th - 1e-9 THEN w * a ELSE w * {p} END - w * {p})::DOUBLE / sum(w * n) AS {p}" for p in PARTNERS)
+
+
+@query(f"""WITH u AS (SELECT l_suppkey, l_discount * 10 AS top, count(*) AS n, count(*) FILTER (l_linenumber % 4 = 1 OR l_discount > 0.07) AS a, {", ".join(f"count(*) FILTER ({c} > {x}) AS {p}" for p, (c, x) in PARTNERS.items())} FROM lineitem GROUP BY ALL),
+w AS (SELECT l_suppkey, draw, {digest_weight_sql("l_suppkey")} AS w FROM (SELECT DISTINCT l_suppkey FROM lineitem) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw)),
+c AS (SELECT draw, top, 1 AS w, sum(w * n) AS n, sum(w * a) AS a, {", ".join(f"sum(w * {p}) AS {p}" for p in PARTNERS)} FROM u JOIN w USING (l_suppkey) GROUP BY ALL),
+g AS (SELECT draw, th, {_GAIN} FROM c CROSS JOIN (SELECT unnest(range(50, 101))::DOUBLE / 100 AS th) GROUP BY ALL HAVING sum(n) > 0),
+l AS (UNPIVOT g ON {", ".join(PARTNERS)} INTO NAME partner VALUE gain), b AS (SELECT partner, th, quantile_cont(gain, 0.025) AS low FROM l GROUP BY ALL), f AS (SELECT partner, max(th) FILTER (low <= -0.3) AS refused FROM b GROUP BY 1)
+SELECT partner, min(th) FILTER (refused IS NULL OR th > refused) AS lowest, round(max(low), 6) AS best FROM b JOIN f USING (partner) GROUP BY 1""")
+def lowest_noninferior(t: Tables) -> DataFrame:
+    """HYB-09: of 51 thresholds, the lowest from which on a hybrid isn't worse than each partner alone by a
+    margin, by bootstrap bounds over suppliers."""
+    first_ok = (F.col("l_linenumber") % 4 == 1) | (F.col("l_discount") > 0.07)
+    cells = t.lineitem.groupBy("l_suppkey", (F.col("l_discount") * 10).alias("top")).agg(F.count("*").alias("n"), F.count_if(first_ok).alias("a"), *[F.count_if(F.col(c) > x).alias(p) for p, (c, x) in PARTNERS.items()])
+    gains = routing.drawn_gains(cells, "l_suppkey", "top", "n", "a", list(PARTNERS), [k / 100 for k in range(50, 101)], DRAWS)
+    bounds = gains.groupBy("partner", "threshold").agg(F.percentile("gain", 0.025).alias("low"))
+    lowest = routing.lowest_safe(bounds, "threshold", F.col("low") > -0.3, ["partner"])
+    return lowest.join(bounds.groupBy("partner").agg(F.round(F.max("low"), 6).alias("best")), "partner")
+
+
 def _stages_sql(k: int) -> str:
     steps = ["""WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS level, md5(o_orderkey::VARCHAR) AS h FROM orders), lv AS (SELECT level, row_number() OVER (ORDER BY count(*), level) AS r FROM o GROUP BY 1),
 s0 AS (SELECT NULL::BIGINT AS o_orderkey, NULL::BIGINT AS o_custkey, NULL::VARCHAR AS level WHERE false)"""]

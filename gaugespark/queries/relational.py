@@ -306,7 +306,8 @@ def grouping_totals(t: Tables) -> DataFrame:
     return t.lineitem.groupingSets([["l_returnflag"], ["l_linestatus"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query()
+@query("""WITH v AS (SELECT c_custkey, c_name, n_name, c_acctbal, (round(c_acctbal * 100)::BIGINT - (round(c_acctbal * 100)::BIGINT % 10 + 10) % 10) // 10 AS q, (round(c_acctbal * 100)::BIGINT % 10 + 10) % 10 AS r FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, '{"name":"' || c_name || '","nation":"' || n_name || '","balance":{"value":' || ((q + CASE WHEN r > 5 OR (r = 5 AND q % 2 <> 0) THEN 1 ELSE 0 END) / 10.0::DOUBLE)::VARCHAR || ',"unit":"USD"}' || CASE WHEN c_acctbal < 0 THEN ',"in_debt":"yes"' ELSE '' END || '}' AS state FROM v""")
 def nested_state_json(t: Tables) -> DataFrame:
     """PRJ-20, PRJ-21: a record as nested JSON in a fixed order, nulls left out."""
     both = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))

@@ -434,7 +434,12 @@ def _pages_of_risk(t: Tables) -> DataFrame:
     return rows.select("c_custkey", "c_mktsegment", "c_acctbal", (F.coalesce("spent", F.lit(0.0)) / 1e6).alias("spent"), F.coalesce("orders", F.lit(0)).alias("orders"), (F.coalesce("orders", F.lit(0)) > 10).cast("int").alias("y"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT ln(q / (1 - q)) AS x, count(*)::DOUBLE AS n, sum((l_returnflag = 'R')::INT)::DOUBLE AS y FROM (SELECT least(greatest(l_discount * 10, 0.005), 0.995)::DOUBLE AS q, l_returnflag FROM lineitem) GROUP BY q),
+it(k, a, b) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
+SELECT k + 1, a + (sxx * r0 - sx * r1) / (s * sxx - sx * sx), b + (s * r1 - sx * r0) / (s * sxx - sx * sx) FROM (
+SELECT k, a, b, sum(v) AS s, sum(v * x) AS sx, sum(v * x * x) AS sxx, sum(r) AS r0, sum(r * x) AS r1 FROM (
+SELECT k, a, b, x, n * p * (1 - p) AS v, y - n * p AS r FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS p FROM it CROSS JOIN c WHERE k < 15)) GROUP BY k, a, b))
+SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM it WHERE k = 15""")
 def recalibrated(t: Tables) -> DataFrame:
     """AGG-21, AGG-22: intercept and slope of outcomes on clipped log-odds."""
     p = values.clipped(F.col("l_discount") * 10)

@@ -160,6 +160,8 @@ def xport(spark: SparkSession, path: str, schema: str) -> DataFrame:
             for content in batch["content"]:
                 df = pd.read_sas(io.BytesIO(content), format="xport", encoding="latin-1")
                 df.columns = [c.upper() for c in df.columns]
+                for c in df.select_dtypes("float").columns:  # zeros are read as the least number of the format
+                    df[c] = df[c].mask(df[c].abs() < 1e-70, 0.0)
                 yield df.reindex(columns=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)

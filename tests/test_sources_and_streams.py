@@ -223,3 +223,38 @@ def test_simultaneous_intervals_are_wider(spark):
 def test_holm_is_monotone_and_capped(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.9)], "n string, p double")
     assert {r.n: round(r.holm_p, 6) for r in resampling.holm(df, "p", "n").collect()} == {"a": 0.04, "c": 0.09, "b": 0.09, "d": 0.9}
+
+
+def ibm(x):
+    """A number as eight bytes of base-16 floating point."""
+    if not x:
+        return bytes(8)
+    sign, x, power = (0x80 if x < 0 else 0), abs(x), 64
+    while x >= 1:
+        x, power = x / 16, power + 1
+    while x < 1 / 16:
+        x, power = x * 16, power - 1
+    return bytes([sign | power]) + int(x * 2**56).to_bytes(7, "big")
+
+
+def transport_file(names, rows):
+    """A SAS transport file of numbers (type 1) and texts of eight bytes (type 2)."""
+    import struct
+
+    head = lambda kind, rest="0" * 30: f"HEADER RECORD*******{kind:<8}HEADER RECORD!!!!!!!{rest}  ".encode()
+    day = "01JAN24:00:00:00"
+    out = head("LIBRARY") + f"{'SAS':<8}{'SAS':<8}{'SASLIB':<8}{'9.1':<8}{'x':<8}{'':24}{day}".encode() + f"{day:<80}".encode()
+    out += head("MEMBER", "000000000000000001600000000140") + head("DSCRPTR")
+    out += f"{'SAS':<8}{'T':<8}{'SASDATA':<8}{'9.1':<8}{'x':<8}{'':24}{day}".encode() + f"{day}{'':64}".encode()
+    out += head("NAMESTR", f"000000{len(names):04d}00000000000000000000")
+    fields = b"".join(struct.pack(">hhhh8s40s8shhh2s8shhl52s", kind, 0, 8, i + 1, n.ljust(8).encode(), b" " * 40, b" " * 8, 0, 0, 0, b"  ", b" " * 8, 0, 0, 8 * i, b" " * 52) for i, (n, kind) in enumerate(names))
+    data = b"".join(ibm(v) if kind == 1 else v.ljust(8).encode("latin-1") for r in rows for v, (_, kind) in zip(r, names))
+    pad = lambda b: b + b" " * (-len(b) % 80)
+    return out + pad(fields) + head("OBS") + pad(data)
+
+
+def test_transport_files(spark, tmp_path):
+    rows = [(1.0, "ab", -2.5), (2.0, "\xe9t\xe9", 0.0), (3.0, "", 1234.0625)] + [(float(i), "x", i / 8) for i in range(4, 20)]
+    (tmp_path / "t.xpt").write_bytes(transport_file([("seqn", 1), ("name", 2), ("v", 1)], rows))
+    got = tables.xport(spark, str(tmp_path / "t.xpt"), "SEQN double, NAME string, V double, NONE double").collect()
+    assert [(r.SEQN, r.NAME or "", r.V) for r in got] == rows and all(r.NONE is None or r.NONE != r.NONE for r in got)
