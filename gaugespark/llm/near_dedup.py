@@ -297,3 +297,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     out = signed.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("class")).alias("class"))
     out = out.join(named, "class", "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+#: op5 in DuckDB's SQL, for 2-word shingles: every pair of documents of like size that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n - count(*) AS every, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+), links AS (
+  SELECT x, y FROM pairs WHERE 100 * shared >= 80 * every
+), sides AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id AS id, doc_id AS least FROM documents
+  UNION
+  SELECT x, least FROM reached JOIN sides ON y = id WHERE least < x
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT id, min(least) AS component_id FROM reached GROUP BY id) ON id = doc_id
+"""
