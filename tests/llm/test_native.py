@@ -144,6 +144,23 @@ def test_line_dedup_edges(edge, edge_rows, empty):
     assert line_dedup.deduped_lines(empty).count() == 0
 
 
+def test_a_hot_line_is_split(spark):
+    """The join with the shared lines is one that adaptive execution splits at a line of a third of all rows."""
+    settings = {"adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "adaptive.skewJoin.skewedPartitionFactor": "1.2", "adaptive.advisoryPartitionSizeInBytes": "4k", "adaptive.coalescePartitions.enabled": "false", "shuffle.partitions": "8"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        n = F.col("id")
+        docs = spark.range(0, 6000, 1, 8).select(n.alias("doc_id"), F.concat_ws("\n", F.lit("a line that all documents hold"), F.concat(F.lit("own line number "), n), F.concat(F.lit("shared line "), n % 500)).alias("text"))
+        places = line_dedup.repeated_places(docs)
+        assert len(places.collect()) == 5999
+        assert "skew=true" in places._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 URLS = [
     ("https://A.Example.org/es/x?y", "a.example.org", "/es/x", "example.org/es/", "block"),
     ("http://example.org/en/123", "example.org", "/en/123", "example.org/en/1", "block"),
