@@ -25,9 +25,10 @@ def _ranged(df: DataFrame, order: str, name: str) -> tuple[DataFrame, list]:
     fill more than one range are hot: the ranges that begin with them hold them
     first. Nulls are in the first range.
     """
-    n, cuts = df.agg(F.count(order), F.percentile_approx(order, [i / MOST for i in range(1, MOST)], 10 * MOST)).first()
-    ranges = max(1, min(MOST, -(-n // ROWS)))
-    chosen = [cuts[i * MOST // ranges - 1] for i in range(1, ranges)]
+    ranges = max(1, min(MOST, -(-df.agg(F.count(order)).first()[0] // ROWS)))
+    if ranges == 1:
+        return df.withColumn(name, F.lit(0)), []
+    chosen = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
     splits = [-_INFINITE, *sorted({x for c in chosen if -_INFINITE < (x := float(c)) < _INFINITE}), _INFINITE]
     if len(splits) == 2:
         return df.withColumn(name, F.lit(0)), []
