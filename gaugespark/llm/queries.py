@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugespark.llm import decontamination, fingerprints, license_scan, line_dedup, mixing, near_dedup, quality, sharding, token_counts, url_filters
+from gaugespark.llm import decontamination, fingerprints, license_scan, line_dedup, mixing, near_dedup, periodic_runs, quality, sharding, token_alignment, token_counts, url_filters
 from gaugespark.llm.common import table
 
 
@@ -58,3 +58,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likenesses."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of each document's words, the longest of them and the words that stay without repeats."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), min_length=6, min_exponent=4, order=periodic_runs.looped_order)
+    return periodic_runs.run_digests(found)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of byte-level and piece tokens of each document that end together, and how usual their links are."""
+    found = token_alignment.token_alignments(table(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
