@@ -25,6 +25,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that are aligned at once (more only where one text is longer).
 SLICE = 1 << 21
 #: Distinct units whose tokens a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 _CUT = re.compile(r"(?<=\S) (?=[!-~\w])")
 
 
@@ -92,9 +93,8 @@ class _Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sound: list[bool] = []
-        self.ids: tuple[list, list] = ([], [])
-        self.flat = None
+        self.sound = np.zeros(0, bool)
+        self.flat = [(np.zeros(0, np.int64), np.zeros(1, np.int64))] * 2
 
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The number of each unit of each text; new ones are tokenized first."""
@@ -104,14 +104,16 @@ class _Aligner:
             new = list(dict.fromkeys(u for units in texts for u in units))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            of_a, of_b = self.a.encode(new), self.b.encode(new)
-            for unit, x, y in zip(new, of_a, of_b):
-                want = b" " + unit.encode()
-                self.sound.append(b"".join([self.a.tokens[i] for i in x]) == want == b"".join([self.b.tokens[i] for i in y]))
-            self.ids[0].extend(of_a)
-            self.ids[1].extend(of_b)
-            self.flat = [(np.array([i for x in ids for i in x], np.int64), np.cumsum([0, *map(len, ids)])) for ids in self.ids]
-            self.sound_at = np.array(self.sound, bool)
+            wanted, sound = [b" " + u.encode() for u in new], np.ones(len(new), bool)
+            for side, vocabulary in enumerate((self.a, self.b)):
+                ids = vocabulary.encode(new)
+                given = [b"".join([vocabulary.tokens[i] for i in x]) for x in ids]
+                if given != wanted:
+                    sound &= np.fromiter(map(bytes.__eq__, given, wanted), bool, len(new))
+                flat, begins = self.flat[side]
+                many = np.fromiter(map(len, ids), np.int64, len(ids))
+                self.flat[side] = np.append(flat, np.fromiter(chain.from_iterable(ids), np.int64, int(many.sum()))), np.append(begins, begins[-1] + np.cumsum(many))
+            self.sound = np.append(self.sound, sound)
         return [np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)) for units in texts]
 
     def tokens(self, units: np.ndarray, side: int) -> np.ndarray:
@@ -150,7 +152,7 @@ def _units(view: np.ndarray | None) -> list[str]:
 def _aligned_slice(known: _Aligner, texts: list[list[str]]) -> tuple[np.ndarray, ...]:
     """n_a, n_b, n_groups of each text; all links, all ids and signs in the order they are written, and how many are of each text."""
     numbered = known.numbers(texts)
-    numbered = [n if len(n) and known.sound_at[n].all() else n[:0] for n in numbered]
+    numbered = [n if len(n) and known.sound[n].all() else n[:0] for n in numbered]
     units = np.concatenate(numbered)
     a, b = known.tokens(units, 0), known.tokens(units, 1)
     ends_a, ends_b = np.cumsum(known.a.sizes[a]), np.cumsum(known.b.sizes[b])
@@ -173,8 +175,9 @@ def _aligned_slice(known: _Aligner, texts: list[list[str]]) -> tuple[np.ndarray,
     order = np.empty(len(a) + len(b), np.int64)
     place_a, place_b = np.arange(len(a)) + b_before[group_a], np.arange(len(b)) + (last_a + 1)[group_b]
     many_a, many_b = len(known.a.tokens), len(known.b.tokens)
-    order[place_a] = a + np.isin(np.arange(len(a)), last_a, assume_unique=True) * many_a
-    order[place_b] = 2 * many_a + b + np.isin(np.arange(len(b)), last_b, assume_unique=True) * many_b
+    order[place_a], order[place_b] = a, b + 2 * many_a
+    order[place_a[last_a]] += many_a
+    order[place_b[last_b]] += many_b
     return n_a, n_b, n_groups, links.astype(known.link_type), order
 
 
