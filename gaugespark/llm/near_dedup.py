@@ -111,7 +111,7 @@ def _distance(left: str, right: str) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges stay as they
     are; each round is kept as a table. A node's neighbours are only counted and
-    joined, never gathered.
+    joined, never gathered; the least of each node is a table of its own, so that
+    both sides of its join are shuffled and a hot node's edges can be split.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -150,12 +151,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         return both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
 
     def small(e: DataFrame) -> DataFrame:
         # edges are (smaller a, larger b): b's smaller neighbours are its a's
-        least = e.groupBy("b").agg(F.min("a").alias("m"))
+        least = stored(e.groupBy("b").agg(F.min("a").alias("m")), "least")
         moved = e.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
@@ -170,7 +171,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("id"), F.col("a").alias("comp"))
 
 
-def _relinked(labels: DataFrame, more: DataFrame) -> DataFrame:
+def relinked(labels: DataFrame, more: DataFrame) -> DataFrame:
     """labels (id, comp) after more links (a, b): the components that they join are joined whole."""
     of = lambda side: labels.select(F.col("id").alias(side), F.col("comp").alias(f"comp_{side}"))
     between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
@@ -180,7 +181,7 @@ def _relinked(labels: DataFrame, more: DataFrame) -> DataFrame:
     return stored(labels.join(above, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")).union(joined.select("id", "comp")), "labels")
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def open_keys(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, id, comp, main) of the keys that span components; main is the key's largest."""
     named = members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -261,17 +262,17 @@ def _links(reps: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -
         return None
     needed = members.select("id").distinct()
     texts = stored(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi"), "texts")
-    links = stored(_confirmed(first, texts, shingle_words, percent), "links")
+    links = stored(confirmed(first, texts, shingle_words, percent), "links")
     labels = components(links)
-    spanning = _open(members, labels)
+    spanning = open_keys(members, labels)
     if spanning.isEmpty():
         return labels
-    more = stored(_confirmed(_second_centres(spanning, reps).join(first, ["a", "b"], "left_anti"), texts, shingle_words, percent), "links")
+    more = stored(confirmed(_second_centres(spanning, reps).join(first, ["a", "b"], "left_anti"), texts, shingle_words, percent), "links")
     if not more.isEmpty():
-        labels = _relinked(labels, more)
-        spanning = _open(members, labels)
+        labels = relinked(labels, more)
+        spanning = open_keys(members, labels)
     more = stored(_across(spanning, reps, texts, shingle_words, percent), "links")
-    return labels if more.isEmpty() else _relinked(labels, more)
+    return labels if more.isEmpty() else relinked(labels, more)
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

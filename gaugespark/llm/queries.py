@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugespark.llm import decontamination, fingerprints, license_scan, line_dedup, mixing, near_dedup, periodic_runs, quality, sharding, token_alignment, token_counts, url_filters
+from gaugespark.llm import decontamination, fingerprints, heavy_light, license_scan, line_dedup, mixing, near_dedup, periodic_runs, quality, sharding, token_alignment, token_counts, url_filters
 from gaugespark.llm.common import table
 
 
@@ -66,6 +66,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(found)
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by 85 % of common 4-word shingles, by the heavy-light join."""
+    return heavy_light.shingle_join(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups of byte-level and piece tokens of each document that end together, and how usual their links are."""
     found = token_alignment.token_alignments(table(spark, sf_dir, "documents"), digests=True)
