@@ -49,8 +49,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     repeats counted: whole epochs of its source, and in the last epoch those of
     its words that stand before the cut, so each source's taken words are
     exactly its target rounded down. Rows without doc_id, repeated rows and
-    ties of the key stand in order of doc_id and size; empty documents are
-    taken with 0 words. Other columns of docs are ignored.
+    ties of the key stand in order of doc_id and size, and rows alike in both
+    are counted by part of the table before they are placed, so that a doc_id
+    (or none) that many rows have is a few rows of its range; empty documents
+    are taken with 0 words. Other columns of docs are ignored.
     """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -62,20 +64,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     sized = stored(sized, "sized")
     slots = max(1, sized.count() // ROWS_PER_SLOT)
     shift = max(0, KEY_BITS - slots.bit_length())
-    sized = sized.withColumn("range", F.shiftright("key", shift))
+    alike = ["src", "source", "key", "doc_id", "size"]
+    sized = sized.groupBy(*alike, F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    sized = stored(sized.withColumn("range", F.shiftright("key", shift)).withColumn("words", F.col("size") * F.col("n")), "counted")
 
-    ranges = sized.groupBy("src", "range").agg(F.sum("size").alias("words"), F.first("source").alias("source"))
+    ranges = sized.groupBy("src", "range").agg(F.sum("words").alias("words"), F.first("source").alias("source"))
     sources = ranges.groupBy("src").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
     before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     plan = ranges.select("src", "range", (F.sum("words").over(before) - F.col("words")).alias("offset"))
     plan = plan.join(targets(sources, weights, share, cap), "src")
 
-    within = Window.partitionBy("src", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("upto", F.sum("size").over(within)).join(plan, ["src", "range"])
+    within = Window.partitionBy("src", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sized.withColumn("before", F.sum("words").over(within) - F.col("words")).join(plan, ["src", "range"])
+    one = placed.where("n = 1").withColumn("nth", F.lit(0).cast("long"))
+    # rows that are alike are dealt out anew before they are one row each again
+    many = stored(placed.where("n > 1"), "alike").repartition("doc_id", "size", "part").withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    placed = one.union(many)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
-    stands_before = F.col("offset") + F.col("upto") - F.col("size")
+    stands_before = F.col("offset") + F.col("before") + F.col("nth") * F.col("size")
     taken = epochs * F.col("size") + F.least(F.greatest(rest - stands_before, F.lit(0)), F.col("size"))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 

@@ -97,8 +97,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _sampled(labels: DataFrame, label: str, may_train: Column, per_class: int) -> DataFrame:
-    """doc_id, label of at most per_class rows of each class, those of smallest hash."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & may_train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    """doc_id, label of at most per_class doc_ids of each class, those of smallest hash; a doc_id labelled both ways is none."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & may_train).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.min(F.col(label).cast("int")).alias("label"), F.max(F.col(label).cast("int")).alias("most")).where("label = most")
     pick = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     return pick(0).union(pick(1))
 
@@ -106,11 +107,15 @@ def _sampled(labels: DataFrame, label: str, may_train: Column, per_class: int) -
 def fit(docs: DataFrame, labels: DataFrame, may_train: Column, label: str = "quality", per_class: int = PER_CLASS) -> dict | None:
     """The model: idf, projection, the sample's unit vectors and their labels.
 
-    At most 2 * per_class documents; their term counts, not their texts, come
-    to the driver. None where no row is labelled.
+    At most 2 * per_class documents, one text (that of least digest) for each
+    doc_id; their term counts, not their texts, come to the driver. Labels that
+    are repeated count once, those of a doc_id labelled both ways not at all.
+    None where no row is labelled.
     """
     sample = F.broadcast(_sampled(labels, label, may_train, per_class))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    one = F.min(F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text"))["text"]
+    rows = rows.groupBy("doc_id").agg(one.alias("text"), F.min("label").alias("label")).select("doc_id", "text", "label")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

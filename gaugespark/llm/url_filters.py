@@ -9,7 +9,8 @@ share, smoothed towards its host's, is over the threshold.
 
 A round takes all nodes of a level at once, as aggregations over distinct raw
 templates, whose partial sums keep a host with a third of all pages out of any
-single task. Where a branch has no judged pages, only allowed, only blocked, or
+single task; what a join takes from its own rows is a table first, so that both sides are
+shuffled and the host can be split. Where a branch has no judged pages, only allowed, only blocked, or
 one continuation, all below it would be merged: it is finished at once, and a
 stretch that a whole branch has in common is passed over in one step, so the
 rounds are as many as decisions lie above each other, not as segments.
@@ -74,7 +75,7 @@ def merged_templates(tree: DataFrame) -> DataFrame:
         # done has the merged segments so far, rest those that follow
         branches = now.groupBy("host", "done").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.min("rest").alias("lo"), F.max("rest").alias("hi"))
         branches = branches.select("host", "done", F.expr("g > 0 and b > 0 and lo <> hi").alias("open"), _in_common(F.col("lo"), F.col("hi")).alias("common"))
-        marked = stored(now.join(branches, ["host", "done"]), "branches")
+        marked = stored(now.join(stored(branches, "branch-facts"), ["host", "done"]), "branches")
         wild = lambda n: F.concat("done", F.transform(F.slice("rest", F.lit(1), n), lambda s: F.when(s == "", s).otherwise(_WILD)))
         finished.append(marked.where("not open").select("host", "raw", F.array_join(wild(F.size("rest")), "/").alias("template"), "good", "bad"))
         opened = marked.where("open")
@@ -82,12 +83,12 @@ def merged_templates(tree: DataFrame) -> DataFrame:
             break
         step = F.coalesce(F.concat(F.lit("/"), F.get("rest", F.col("common"))), F.lit(""))
         rows = opened.select("host", "raw", wild(F.col("common")).alias("stem"), step.alias("step"), F.slice("rest", F.col("common") + 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), "good", "bad")
-        children = rows.groupBy("host", "stem", "step").agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n"))
+        children = stored(rows.groupBy("host", "stem", "step").agg(F.sum("bad").alias("b"), F.sum(F.col("good") + F.col("bad")).alias("n")), "children")
         parents = children.groupBy("host", "stem").agg((F.sum("b") / F.greatest(F.sum("n"), F.lit(1))).alias("p"))
         share, p, n = F.col("b") / F.greatest(F.col("n"), F.lit(1)), F.col("p"), F.col("n")
         alike = (F.col("step") != "/") & ((n == 0) | ((share - p) * (share - p) * n <= F.lit(Z * Z) * p * (1 - p)))
         name = F.when(F.col("step") == "", F.array().cast("array<string>")).when(alike, F.array(F.lit(_WILD))).otherwise(F.array(F.substr("step", F.lit(2))))
-        named = children.join(parents, ["host", "stem"]).select("host", "stem", "step", name.alias("name"))
+        named = stored(children.join(stored(parents, "parents"), ["host", "stem"]).select("host", "stem", "step", name.alias("name")), "named")
         now = rows.join(named, ["host", "stem", "step"]).select("host", "raw", "rest", F.concat("stem", "name").alias("done"), "good", "bad")
     every = finished[0]
     for more in finished[1:]:
