@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.functions import texts, values
-from gaugespark.operators import reports
+from gaugespark.operators import staging
 from gaugespark.queries.base import Tables, query
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -151,19 +151,22 @@ def timeline_reparsed(t: Tables) -> DataFrame:
     return read.groupBy("user_id", "x.minute", "x.value").agg(F.count("*").alias("n"))
 
 
-_REPORTS = """r AS (SELECT c_custkey, c_custkey % 5 AS t, c_custkey % 9 AS inv, 12 + c_custkey % 7 AS exam, c_custkey % 3 AS dep, c_custkey % 4 AS m FROM customer)"""
-
-
-@query(f"""WITH {_REPORTS} SELECT c_custkey, ['T1', 'T2', 'T3', 'T4a', 'T4b'][t + 1] AS t,
-CASE WHEN inv = 0 THEN CASE WHEN dep > 0 THEN 'N1c' ELSE 'N0' END WHEN inv = 1 THEN 'N1a' WHEN inv <= 3 THEN 'N1b' WHEN inv <= 6 THEN 'N2a' ELSE 'N2b' END AS n, ['M0', 'M1a', 'M1b', 'M1c'][m + 1] AS m, inv::INT AS involved, exam::INT AS examined FROM r""")
+@query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 6 AS depth, o_orderkey % 8 AS inv, 12 + o_custkey % 9 AS exam, o_custkey % 3 AS dep, o_custkey % 5 AS m FROM orders),
+s AS (SELECT k, ['Tis', 'T1', 'T2', 'T3', 'T4a', 'T4b'][depth + 1] AS t, CASE WHEN inv = 0 AND dep > 0 THEN 'N1c' ELSE ['N0', 'N1a', 'N1b', 'N1b', 'N2a', 'N2a', 'N2a', 'N2b'][inv + 1] END AS n, ['M0', 'M1a', 'M1b', 'M1c', 'M0'][m + 1] AS m, inv, exam FROM r)
+SELECT t, n, m, count(*) AS reports, sum(inv)::BIGINT AS involved, sum(exam)::BIGINT AS examined FROM s GROUP BY ALL""")
 def staged_reports(t: Tables) -> DataFrame:
-    """STR-13, STR-14: reports written from counts and read back; negations hold for their own clause."""
-    key = F.col("c_custkey")
-    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (key % n + 1).cast("int"))
-    depth = pick(5, "The tumor invades the submucosa but not the muscularis propria.", "Tumor grows into but not through the muscularis propria.", "It extends through the muscularis propria, without involvement of the serosa.", "The serosa is penetrated; no adjacent organ is involved.", "The carcinoma invades the urinary bladder.")
-    inv, exam, dep = key % 9, 12 + key % 7, key % 3
-    nodes = F.when(inv == 0, F.format_string("Lymph nodes: %d examined, none involved.", exam)).when(key % 2 == 0, F.format_string("Lymph nodes: %d/%d with metastasis.", inv, exam)).otherwise(F.format_string("Metastatic carcinoma in %d of %d lymph nodes.", inv, exam))
-    deposits = F.when(dep == 0, "No tumor deposits.").otherwise(F.format_string("Tumor deposits: %d.", dep))
-    scan = pick(4, "no distant disease", "lesions in the liver; no lung nodules", "hepatic and pulmonary metastases", "peritoneal carcinomatosis; liver lesions")
-    text = F.concat(depth, F.lit(" "), nodes, F.lit("\n"), deposits, F.lit("\nMargins are free.\nStaging CT chest and abdomen: "), scan)
-    return reports.read_reports(t.customer.select("c_custkey", text.alias("report")), "c_custkey", "report").select("c_custkey", "t", "n", "m", "involved", "examined")
+    """STR-13, STR-14: stage categories read from a report text of each order, counted; denials hold for their own clause."""
+    key, other = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda c, *xs: F.get(F.array(*[F.lit(x) for x in xs]), (c % len(xs)).cast("int"))
+    number = lambda c: F.when(key % 2 == 0, c.cast("string")).otherwise(pick(c, "no", "one", "two", "three", "four", "five", "six", "seven"))
+    depth = pick(
+        key, "Carcinoma in situ, the submucosa is spared.", "Growth does not extend beyond the submucosa.", "It reaches, but is not through, the muscularis propria; it is adherent to the bladder.",
+        "It grows through the muscularis propria, without reaching the serosa.", "There is perforation, and no other organ is invaded.", "The uterus is adherent and invaded, invasion being proven.",
+    )
+    inv = key % 8
+    nodes = F.concat(F.initcap(number(inv)), F.lit(" of "), (12 + other % 9).cast("string"), F.lit(" lymph nodes hold cancer."))
+    deposits = F.when(other % 3 == 0, "Tumor deposits are absent.").otherwise(F.concat(F.lit("Tumor deposits: "), (other % 3).cast("string"), F.lit(".")))
+    scan = pick(other, "nothing distant, no lesion", "lesions of the liver; no lung nodule", "lung and bone metastases", "omental masses, and liver metastases", "no liver, lung or bone lesion")
+    text = F.concat_ws("\n", F.lit("Specimen: colon with bladder cuff"), depth, F.concat_ws(" ", nodes, deposits), F.concat(F.lit("Staging CT of the abdomen: "), scan))
+    read = staging.read_reports(t.orders.select("o_orderkey", text.alias("report")), "o_orderkey", "report")
+    return read.groupBy("t", "n", "m").agg(F.count("*").alias("reports"), F.sum("involved").alias("involved"), F.sum("examined").alias("examined"))

@@ -157,25 +157,6 @@ def test_small_pieces(spark, tmp_path):
     assert grid.count() == 0
 
 
-REPORTS = [
-    ("The tumor invades the submucosa but not the muscularis propria.\nLymph nodes: 0/14.\nNo tumor deposits.\nStaging CT chest: no distant disease.", ("T1", "N0", "M0", 0, 14, 0)),
-    ("Tumor grows into but not through the muscularis propria. Three of 12 nodes? No: 3 of 12 lymph nodes involved.", ("T2", "N1b", None, 3, 12, None)),
-    ("It extends through the muscularis propria into pericolic fat, without reaching the serosa.\nNodes: 15 examined, none involved.\nTumor deposits: 2", ("T3", "N1c", None, 0, 15, 2)),
-    ("The serosa is penetrated; no adjacent organ is involved.\nLymph nodes examined: 20; involved: 7.\nStaging CT: Lesions in the liver; no lung nodules.", ("T4a", "N2b", "M1a", 7, 20, None)),
-    ("Carcinoma in situ, confined to the lamina propria. Margins free of tumor at the serosa.\nStaging CT abdomen: hepatic and pulmonary metastases.", ("Tis", None, "M1b", None, None, None)),
-    ("The carcinoma invades the urinary bladder.\nStaging CT: peritoneal carcinomatosis; liver lesions.", ("T4b", None, "M1c", None, None, None)),
-    ("", (None,) * 6),
-    (None, (None,) * 6),
-]
-
-
-def test_reports(spark):
-    from gaugespark.operators import reports
-
-    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(REPORTS)], "id int, report string")
-    got = {r.id: (r.t, r.n, r.m, r.involved, r.examined, r.deposits) for r in reports.read_reports(df, "id", "report").collect()}
-    assert got == {i: r[1] for i, r in enumerate(REPORTS)}
-
 
 def test_layouts():
     text = "DATA one;\\n INPUT SEQN 1-5 SEX $ 6 AGE 7-8\\n @9 CODE $3. @12 WEIGHT 8.2 LAST 20;\\nRUN; OTHER 1-2"
