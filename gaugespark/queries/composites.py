@@ -6,12 +6,11 @@ variant l_linestatus; a call is usable where l_tax is over 0.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugespark.functions import values
-from gaugespark.operators import keys, ranks, resampling
+from gaugespark.operators import keys, neighbours, ranks, resampling
 from gaugespark.queries.base import Tables, digest_weight_sql, query
 from gaugespark.queries.statistics import DRAWS
 
@@ -208,56 +207,19 @@ def variant_rows(t: Tables) -> DataFrame:
     return chosen.join(t.lineitem.where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("""WITH s AS (SELECT vec_id AS rid, embedding AS r FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 256)
-SELECT vec_id, label, round(sqrt(min(list_sum(list_transform(list_zip(embedding, r), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))), 4) AS distance FROM embeddings JOIN s ON rid <> vec_id GROUP BY ALL""")
+@query("""SELECT a.vec_id, a.label, round(sqrt(min(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))), 4) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, a.embedding""")
 def nearest_distance(t: Tables) -> DataFrame:
-    """FLT-08: the distance to the nearest of a bounded reference sample (256 vectors by hash, a
-    parameter of the support rule), a block of rows at a time; no row meets a row by a join."""
-    chosen = t.embeddings.orderBy(F.md5(F.col("vec_id").cast("string").cast("binary")), "vec_id").limit(256).collect()
-    ids, known = np.array([r.vec_id for r in chosen]), np.array([r.embedding for r in chosen], np.float64)
-
-    def nearest(batches):
-        for batch in batches:
-            x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            squares = (x * x).sum(1)[:, None] + (known * known).sum(1) - 2 * x @ known.T
-            squares[batch["vec_id"].to_numpy()[:, None] == ids] = np.inf
-            batch["distance"] = np.sqrt(np.maximum(squares.min(1), 0)).round(4)
-            yield batch[["vec_id", "label", "distance"]]
-
-    return t.embeddings.select("vec_id", "label", "embedding").mapInPandas(nearest, "vec_id long, label int, distance double")
-
-
-def _supported(vectors: DataFrame, quantile: float = 0.95, rows: int = 2048) -> DataFrame:
-    """vec_id, label, distance to the nearest row of another vec_id, supported.
-
-    Rows are dealt to blocks of about that many, and each pair of blocks is one
-    bounded group: every row meets every other, and no table goes to the driver.
-    """
-    blocks = max(1, -(-vectors.count() // rows))
-    placed = vectors.select("vec_id", "label", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.withColumnRenamed("block", "a").withColumn("b", others)
-    right = placed.drop("label").withColumnRenamed("block", "b").withColumn("a", others)
-
-    def nearest(one, two):
-        out = one[["vec_id", "label"]].assign(square=np.inf)
-        if len(one) and len(two):
-            x, y = (np.stack(side["embedding"].to_numpy()).astype(np.float64) for side in (one, two))
-            squares = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-            squares[one["vec_id"].to_numpy()[:, None] == two["vec_id"].to_numpy()] = np.inf
-            out["square"] = np.maximum(squares.min(1), 0)
-        return out
-
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(nearest, "vec_id long, label int, square double")
-    found = met.groupBy("vec_id", "label").agg(F.sqrt(F.min("square")).alias("distance"))
-    limit = ranks.percentiles(found, "distance", (quantile,)).select(F.col("p")[0].alias("limit"))
-    return found.join(F.broadcast(limit)).select("vec_id", "label", F.round("distance", 4).alias("distance"), (F.col("distance") <= F.col("limit")).alias("supported"))
+    """FLT-08: each vector's distance to the nearest of all others, in cells of pivots that bounds leave open."""
+    found = neighbours.nearest(t.embeddings, t.embeddings, "vec_id", "embedding").select("vec_id", F.round("distance", 4).alias("distance"))
+    return t.embeddings.select("vec_id", "label").join(found, "vec_id")
 
 
 @query()
 def nearest_support(t: Tables) -> DataFrame:
-    """FLT-08: each vector's distance to the nearest of all others, supported up to the 0.95 quantile."""
-    return _supported(t.embeddings)
+    """FLT-08, FLT-11: each vector's distance to the nearest of all others, supported up to the 0.95 quantile."""
+    found = neighbours.supported(t.embeddings, t.embeddings, "vec_id", "embedding")
+    return t.embeddings.select("vec_id", "label").join(found, "vec_id").select("vec_id", "label", F.round("distance", 4).alias("distance"), "supported")
 
 
 _DRAWS = f"(SELECT unnest(range({DRAWS})) AS draw)"

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugespark.operators import exact_draws, resampling
-from gaugespark.queries.base import Tables, query
+from gaugespark.functions import values
+from gaugespark.operators import exact_draws, least_squares, models, resampling
+from gaugespark.queries.base import Tables, digest_weight_sql, query
 from gaugespark.queries.statistics import DRAWS
+from gaugespark.sources.kept import kept
 
 _INTERVAL = "round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, round(stddev_samp(mean), 9) AS se"
 
@@ -37,3 +39,68 @@ def exact_bootstrap_strata(t: Tables) -> DataFrame:
     both = e.unionByName(every)
     low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
     return both.groupBy("stratum").agg(F.round(low, 9).alias("low"), F.round(high, 9).alias("high"), F.round(F.stddev_samp("mean"), 9).alias("se"), F.max("n").alias("n"), F.count_if(F.col("taken") == F.col("n")).alias("exact_draws"))
+
+
+_RISK = """r AS (SELECT l_suppkey AS unit, l_suppkey % 2 AS half, ln(q / (1 - q)) AS x, n, y FROM (SELECT l_suppkey, least(greatest(l_discount * 10, 0.005), 0.995)::DOUBLE AS q, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS y FROM lineitem GROUP BY ALL))"""
+
+
+@query(f"""WITH RECURSIVE {_RISK}, w AS (SELECT unit, draw, {digest_weight_sql("unit")} AS w FROM (SELECT DISTINCT unit FROM r) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw)),
+c AS (SELECT draw, half, x, sum(w * n)::DOUBLE AS n, sum(w * y)::DOUBLE AS y FROM r JOIN w USING (unit) GROUP BY ALL HAVING sum(w * n) > 0),
+it(k, draw, half, a, b) AS (SELECT DISTINCT 0, draw, half, 0::DOUBLE, 0::DOUBLE FROM c UNION ALL
+SELECT k + 1, draw, half, a + (sxx * r0 - sx * r1) / (s * sxx - sx * sx), b + (s * r1 - sx * r0) / (s * sxx - sx * sx) FROM (
+SELECT k, draw, half, a, b, sum(v) AS s, sum(v * x) AS sx, sum(v * x * x) AS sxx, sum(r) AS r0, sum(r * x) AS r1 FROM (
+SELECT k, draw, half, a, b, x, n * p * (1 - p) AS v, y - n * p AS r FROM (SELECT it.*, x, n, y, 1 / (1 + exp(-(a + b * x))) AS p FROM it JOIN c USING (draw, half) WHERE k < 9)) GROUP BY ALL)),
+l AS (SELECT draw, half, a, b FROM it WHERE k = 9),
+s AS (SELECT draw, l.half AS half, a, b, sum(-(y * ln(p) + (n - y) * ln(1 - p))) / sum(n) AS loss FROM (SELECT l.draw, l.half, a, b, n, y, least(greatest(1 / (1 + exp(-(a + b * x))), 1e-9), 1 - 1e-9) AS p FROM l JOIN c ON c.draw = l.draw AND c.half = 1 - l.half) l GROUP BY ALL)
+SELECT half::INT AS fitted_on, count(*) AS draws, {", ".join(f"round(quantile_cont({c}, {q}), 6) AS {n}_{side}" for n, c in (("intercept", "a"), ("slope", "b"), ("loss", "loss")) for side, q in (("low", 0.025), ("high", 0.975)))} FROM s GROUP BY 1""")
+def recalibrated_draws(t: Tables) -> DataFrame:
+    """BOOT-11: intercept and slope fitted on each half of the suppliers in every draw, and the loss on the other half: intervals over draws."""
+    p = values.clipped(F.col("l_discount") * 10)
+    lines = t.lineitem.select("l_suppkey", (F.col("l_suppkey") % 2).alias("half"), values.log_odds(p).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    units = lines.groupBy("l_suppkey", "half", "x").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    packed = units.groupBy("l_suppkey").agg(F.collect_list(F.struct("half", "x", "n", "y")).alias("cells"))
+    spread = resampling.over_draws(packed, "l_suppkey", DRAWS, resampling.digest_weight).where("_w > 0").select("draw", "_w", F.inline("cells"))
+    cells = kept(spread.groupBy("draw", "half", "x").agg(F.sum(F.col("_w") * F.col("n")).alias("n"), F.sum(F.col("_w") * F.col("y")).alias("y")), "recalibration")
+    fits = least_squares.logistic_draws(cells, ["draw", "half"], "x", "n", "y").select("draw", (1 - F.col("half")).alias("half"), F.col("half").alias("fitted_on"), "intercept", "slope")
+    q = values.clipped(1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("x")))), 1e-9)
+    loss = -(F.col("y") * F.log(q) + (F.col("n") - F.col("y")) * F.log(1 - q))
+    scored = cells.join(fits, ["draw", "half"]).groupBy("draw", "fitted_on", "intercept", "slope").agg((F.sum(loss) / F.sum("n")).alias("loss"))
+    ends = [F.round(F.percentile(c, q), 6).alias(f"{c}_{side}") for c in ("intercept", "slope", "loss") for side, q in (("low", 0.025), ("high", 0.975))]
+    return scored.groupBy(F.col("fitted_on").cast("int").alias("fitted_on")).agg(F.count("*").alias("draws"), *ends)
+
+
+_TERMS = """x AS (SELECT l_linenumber AS g, l_quantity::DOUBLE / 10 AS a, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity::DOUBLE / 20 + 1 ELSE l_discount::DOUBLE * 10 END AS b, l_tax::DOUBLE * 10 AS c, l_extendedprice::DOUBLE / 1e4 AS y FROM lineitem)"""
+
+
+@query(f"""WITH {_TERMS}, m AS (SELECT *, a - avg(a) OVER w AS a1, b - avg(b) OVER w AS b1, c - avg(c) OVER w AS c1, y - avg(y) OVER w AS y1 FROM x WINDOW w AS (PARTITION BY g)),
+k AS (SELECT g, count(*) AS n, sum(a1 * b1) / sum(a1 * a1) AS ab, sum(a1 * c1) / sum(a1 * a1) AS ac, sum(a1 * y1) / sum(a1 * a1) AS ay FROM m GROUP BY 1),
+r AS (SELECT g, n, ab, ac, ay, b1 - ab * a1 AS b2, c1 - ac * a1 AS c2, y1 - ay * a1 AS y2, b1 FROM m JOIN k USING (g)),
+s AS (SELECT g, n, ab, ac, ay, sum(b2 * b2) > 1e-9 * sum(b1 * b1) AS full_rank, sum(b2 * b2) AS bb, sum(b2 * c2) AS bc, sum(c2 * c2) AS cc, sum(b2 * y2) AS yb, sum(c2 * y2) AS yc FROM r GROUP BY ALL),
+t AS (SELECT *, CASE WHEN full_rank THEN (yc * bb - bc * yb) / (cc * bb - bc * bc) ELSE yc / cc END AS tax FROM s),
+u AS (SELECT *, CASE WHEN full_rank THEN (yb - bc * tax) / bb END AS other FROM t)
+SELECT g AS l_linenumber, n, round(ay - coalesce(ab * other, 0) - ac * tax, 6) AS quantity, round(other, 6) AS other, round(tax, 6) AS tax FROM u""")
+def joint_least_squares(t: Tables) -> DataFrame:
+    """AGG-34: three terms fitted together in each group; a term that the others determine is left out and null."""
+    fixed = F.col("l_linenumber") % 3 == 0
+    terms = {"quantity": F.col("l_quantity") / 10, "tax": F.col("l_tax") * 10, "other": F.when(fixed, F.col("l_quantity").cast("double") / 20 + 1).otherwise(F.col("l_discount").cast("double") * 10)}
+    fits = least_squares.joint_slopes(t.lineitem, ["l_linenumber"], terms, F.col("l_extendedprice") / 1e4)
+    return fits.select("l_linenumber", F.col("n").cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("quantity", "other", "tax")])
+
+
+#: Draws of refits, and the penalty of their slopes.
+REFITS, RIDGE = 300, 1.0
+
+
+@query()
+def spline_refits(t: Tables, draws: int = REFITS) -> DataFrame:
+    """BOOT-14, CMP-52: a penalised spline fit of each draw from its units' normal matrices; medians and knots are those of a subset."""
+    rows = t.orders.select("o_custkey", F.log1p("o_totalprice").alias("price"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey").cast("double")).alias("account"), (F.col("o_orderstatus") == "F").cast("double").alias("y"))
+    subset = rows.where(F.xxhash64("o_custkey") % 3 != 0)
+    basis, names, _ = models.spline_design(subset, ["price", "account"])
+    designed = rows.select("o_custkey", "y", *basis)
+    sums = least_squares.products([F.col(c) for c in names], F.col("y"))
+    units = designed.groupBy("o_custkey").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    spread = resampling.over_draws(units, "o_custkey", draws, resampling.digest_weight)
+    drawn = spread.groupBy("draw").agg(*[F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums])
+    fits = least_squares.solved(drawn, ["draw"], names, RIDGE)
+    return fits.select("draw", F.round("n").cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("intercept", *names)])
