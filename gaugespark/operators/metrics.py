@@ -26,7 +26,7 @@ def weighted_kappa(df: DataFrame, truth: str, answer: str, levels: int) -> DataF
         *[F.sum(F.col("n") * F.col(c) * F.col(c)).alias(f"q_{k}") for k, c in (("t", truth), ("a", answer))],
     )
     # sum over all pairs of levels of (t - a)^2 p_t p_a, from the two margins' moments
-    expected = F.col("q_t") + F.col("q_a") - 2 * F.col("s_t") * F.col("s_a") / F.col("n")
+    expected = F.col("q_t") + F.col("q_a") - F.try_divide(2 * F.col("s_t") * F.col("s_a"), F.col("n"))
     return sums.select("n", (1 - F.col("observed") / F.nullif(expected, F.lit(0.0))).alias("kappa"))
 
 
@@ -44,10 +44,10 @@ def auroc_variance(df: DataFrame, score: str, positive: Column) -> DataFrame:
     rows = df.where(F.col(score).isNotNull() & positive.isNotNull())
     per = running(rows, score, {"pos": positive.cast("int"), "neg": (~positive).cast("int")})
     total = per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    placed = per.join(F.broadcast(total)).withColumn("v", (F.col("neg_before") + F.col("neg") / 2.0) / F.col("q")).withColumn("w", (F.col("p") - F.col("pos_before") - F.col("pos") / 2.0) / F.col("p"))
+    placed = per.join(F.broadcast(total)).withColumn("v", F.try_divide(F.col("neg_before") + F.col("neg") / 2.0, F.col("q"))).withColumn("w", F.try_divide(F.col("p") - F.col("pos_before") - F.col("pos") / 2.0, F.col("p")))
     sums = placed.agg(F.max("p").alias("p"), F.max("q").alias("q"), *[F.sum(F.col(n) * F.col(x)).alias(f"{x}1") for n, x in (("pos", "v"), ("neg", "w"))], *[F.sum(F.col(n) * F.col(x) * F.col(x)).alias(f"{x}2") for n, x in (("pos", "v"), ("neg", "w"))])
-    var = lambda x, n: (F.col(f"{x}2") - F.col(f"{x}1") * F.col(f"{x}1") / F.col(n)) / (F.col(n) - 1) / F.col(n)
-    return sums.select((F.col("v1") / F.col("p")).alias("auroc"), (var("v", "p") + var("w", "q")).alias("variance"))
+    var = lambda x, n: F.try_divide(F.try_divide(F.col(f"{x}2") - F.try_divide(F.col(f"{x}1") * F.col(f"{x}1"), F.col(n)), F.col(n) - 1), F.col(n))
+    return sums.select(F.try_divide("v1", "p").alias("auroc"), (var("v", "p") + var("w", "q")).alias("variance"))
 
 
 def reliability(df: DataFrame, confidence: str, correct: Column, tie: str, bins: int = 10) -> DataFrame:
@@ -60,7 +60,7 @@ def reliability(df: DataFrame, confidence: str, correct: Column, tie: str, bins:
 
 def calibration_error(table: DataFrame) -> DataFrame:
     gap = F.abs(F.col("accuracy") - F.col("confidence"))
-    return table.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("largest"))
+    return table.agg(F.try_divide(F.sum(F.col("n") * gap), F.sum("n")).alias("ece"), F.max(gap).alias("largest"))
 
 
 def deciles(df: DataFrame, value: str, tie: str, tiles: int = 10) -> DataFrame:
@@ -90,17 +90,17 @@ def intraclass(df: DataFrame, item: str, rater: str, value: str) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     total = F.col("q") - n * k * F.col("g") * F.col("g")
     ssr, ssc = n * k * F.col("vr"), n * k * F.col("vc")
-    msr, msc, mse = ssr / (n - 1), ssc / (k - 1), (total - ssr - ssc) / ((n - 1) * (k - 1))
-    return both.select("n", "k", ((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n)).alias("icc"))
+    msr, msc, mse = F.try_divide(ssr, n - 1), F.try_divide(ssc, k - 1), F.try_divide(total - ssr - ssc, (n - 1) * (k - 1))
+    return both.select("n", "k", F.try_divide(msr - mse, msr + (k - 1) * mse + k * F.try_divide(msc - mse, n)).alias("icc"))
 
 
 def fleiss(df: DataFrame, item: str, answer: str) -> DataFrame:
     """Fleiss' kappa of items with the same number of answers each."""
     per = df.groupBy(item, answer).agg(F.count("*").alias("c"))
     items = per.groupBy(item).agg(F.sum("c").alias("r"), F.sum(F.col("c") * F.col("c")).alias("s"))
-    agreed = items.agg(F.avg((F.col("s") - F.col("r")) / (F.col("r") * (F.col("r") - 1))).alias("seen"), F.sum("r").alias("total"))
+    agreed = items.agg(F.avg(F.try_divide(F.col("s") - F.col("r"), F.col("r") * (F.col("r") - 1))).alias("seen"), F.sum("r").alias("total"))
     shares = per.groupBy(answer).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("squares"))
-    chance = F.col("squares") / (F.col("total") * F.col("total"))
+    chance = F.try_divide(F.col("squares"), F.col("total") * F.col("total"))
     return agreed.join(F.broadcast(shares)).select(((F.col("seen") - chance) / F.nullif(1 - chance, F.lit(0.0))).alias("kappa"))
 
 
@@ -111,7 +111,7 @@ def pooled_spread(df: DataFrame, item: str, value: str) -> DataFrame:
 
 
 def origin_slope(df: DataFrame, group: str, y: str, x: str) -> DataFrame:
-    return df.groupBy(group).agg((F.sum(F.col(y) * F.col(x)) / F.sum(F.col(x) * F.col(x))).alias("slope"))
+    return df.groupBy(group).agg(F.try_divide(F.sum(F.col(y) * F.col(x)), F.sum(F.col(x) * F.col(x))).alias("slope"))
 
 
 def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:

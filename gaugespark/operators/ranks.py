@@ -127,8 +127,8 @@ def tile(nth: Column, n: Column, tiles: int) -> Column:
 
 
 def first_rank_decile(nth: Column, n: Column, tiles: int = 10) -> Column:
-    """The quantile bin, from 1, of place nth of n when edges are linear quantiles of places."""
-    return F.greatest(F.lit(1), F.ceil(tiles * (nth - 1) / (n - 1))).cast("int")
+    """The quantile bin, from 1, of place nth of n when edges are linear quantiles of places; 1 for a lone row."""
+    return F.greatest(F.lit(1), F.ceil(F.try_divide(tiles * (nth - 1), n - 1))).cast("int")
 
 
 def range_minima(df: DataFrame, entity: str, time: str, value: str, frames: dict[str, tuple[int, int]]) -> DataFrame:

@@ -51,7 +51,7 @@ def drawn_means(df: DataFrame, unit: str, value: Column, draws: int, weight, gro
     packed = units.groupBy(unit).agg(F.collect_list(F.struct(*group, "_s", "_n")).alias("_g"))
     spread = over_draws(packed, unit, draws, weight).select("draw", "_w", F.inline("_g"))
     sums = spread.groupBy("draw", *group).agg(F.sum("_w").alias("_t"), F.sum(F.col("_w") * F.col("_s")).alias("_s"), F.sum(F.col("_w") * F.col("_n")).alias("_n"))
-    return sums.where("_t > 0").select("draw", *group, (F.col("_s") / F.col("_n")).alias("mean"))
+    return sums.where("_t > 0").select("draw", *group, F.try_divide("_s", "_n").alias("mean"))
 
 
 def interval(draws: DataFrame, value: str, group: list[str] | None = None, level: float = 0.95) -> DataFrame:

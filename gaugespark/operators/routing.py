@@ -35,7 +35,7 @@ def threshold_grid(df: DataFrame, confidence: str, first_ok: Column, second_ok:
     counted = df.groupBy(F.col(confidence).alias("_c")).agg(F.count("*").alias("_n"), right(first_ok).alias("_a"), right(second_ok).alias("_b"))
     grid = counted.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn("_keeps", F.coalesce(F.col("_c") >= F.col("threshold") - TOLERANCE, F.lit(False)))
     kept = F.coalesce(F.sum(F.when(F.col("_keeps"), F.col("_n"))), F.lit(0))
-    return grid.groupBy("threshold").agg(kept.alias("kept"), (F.sum(F.when(F.col("_keeps"), F.col("_a")).otherwise(F.col("_b"))) / F.sum("_n")).alias("accuracy"))
+    return grid.groupBy("threshold").agg(kept.alias("kept"), F.try_divide(F.sum(F.when(F.col("_keeps"), F.col("_a")).otherwise(F.col("_b"))), F.sum("_n")).alias("accuracy"))
 
 
 def decile_grid(df: DataFrame, confidence: str, first_ok: Column, second_ok: Column, first_cost: Column, second_cost: Column, margin: float) -> DataFrame:
@@ -80,7 +80,7 @@ def pairing(df: DataFrame, group: str, keeps: Column, first_ok: Column, second_o
         F.count_if(keeps & ~F.coalesce(first_ok, F.lit(False))).alias("kept_wrong"),
         F.avg(F.coalesce(second_ok, F.lit(False)).cast("double")).alias("alone"),
         F.avg(ok.cast("double")).alias("paired"),
-        (F.sum(cost) / F.sum(second_cost)).alias("cost_share"),
+        F.try_divide(F.sum(cost), F.sum(second_cost)).alias("cost_share"),
     )
 
 
@@ -111,14 +111,18 @@ def drawn_gains(cells: DataFrame, unit: str, confidence: str, n: str, first: str
     """partner, draw, threshold, gain: a hybrid's accuracy less the partner's alone, in each bootstrap draw.
 
     cells has the counts of a unit's items by confidence: n, those right by the
-    first system and by each partner. Draws multiply cells, never items, and
-    thresholds meet the sums over units only.
+    first system and by each partner. A confidence counts by the thresholds that
+    it reaches, so a unit has at most one cell more than there are thresholds,
+    however fine its confidences; draws multiply these, never items.
     """
-    spread = over_draws(cells, unit, draws, digest_weight)
-    sums = spread.groupBy("draw", confidence).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in (n, first, *partners)])
-    grid = sums.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    keeps = F.coalesce(F.col(confidence) >= F.col("threshold") - TOLERANCE, F.lit(False))
-    gains = [F.struct(F.lit(p).alias("partner"), (F.sum(F.when(keeps, F.col(first) - F.col(p)).otherwise(0)) / F.sum(n)).alias("gain")) for p in partners]
+    levels = [float(t) for t in sorted(thresholds)]
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: F.coalesce(F.col(confidence) >= t - TOLERANCE, F.lit(False))))
+    binned = cells.groupBy(unit, reached.alias("_reached")).agg(*[F.sum(c).alias(c) for c in (n, first, *partners)])
+    spread = over_draws(binned, unit, draws, digest_weight)
+    sums = spread.groupBy("draw", "_reached").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in (n, first, *partners)])
+    grid = sums.select("*", F.posexplode(F.array(*[F.lit(t) for t in levels])).alias("_nth", "threshold"))
+    keeps = F.col("_nth") < F.col("_reached")
+    gains = [F.struct(F.lit(p).alias("partner"), F.try_divide(F.sum(F.when(keeps, F.col(first) - F.col(p)).otherwise(0)), F.sum(n)).alias("gain")) for p in partners]
     out = grid.groupBy("draw", "threshold").agg(F.sum(n).alias("_n"), F.array(*gains).alias("g")).where("_n > 0")
     return out.select("draw", "threshold", F.explode("g").alias("g")).select("g.partner", "draw", "threshold", "g.gain")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.functions import values
-from gaugespark.operators import exact_draws, least_squares, models, resampling
+from gaugespark.operators import distributions, documents, exact_draws, least_squares, models, provenance, resampling
 from gaugespark.queries.base import Tables, digest_weight_sql, query
 from gaugespark.queries.statistics import DRAWS
 from gaugespark.sources.kept import kept
@@ -104,3 +104,70 @@ def spline_refits(t: Tables, draws: int = REFITS) -> DataFrame:
     drawn = spread.groupBy("draw").agg(*[F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums])
     fits = least_squares.solved(drawn, ["draw"], names, RIDGE)
     return fits.select("draw", F.round("n").cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("intercept", *names)])
+
+
+_DOCUMENTS = """d AS (SELECT event_id, '{"type": "' || event_type || '", "props": ' || props || ', "history": [' || user_id || ', {"seen": null, "odd name": []}, ' || CASE WHEN event_id % 3 = 0 THEN 'true' ELSE '"' || event_type || '"' END || ']}' AS doc FROM events),
+x AS (SELECT event_id, fullkey AS path, CASE type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+CASE WHEN type = 'VARCHAR' THEN atom ->> '$' WHEN type IN ('ARRAY', 'OBJECT') THEN '[]' ELSE nullif(atom::VARCHAR, 'null') END AS value
+FROM (SELECT event_id, t.fullkey, t.type, t.atom, json_array_length(doc, t.fullkey) AS n FROM d, json_tree(d.doc) t) WHERE type <> 'OBJECT' AND (type <> 'ARRAY' OR n = 0))"""
+
+
+def _documents(t: Tables) -> DataFrame:
+    """A nested document of each event, as text."""
+    last = F.when(F.col("event_id") % 3 == 0, "true").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    parts = (F.lit('{"type": "'), F.col("event_type"), F.lit('", "props": '), F.col("props"), F.lit(', "history": ['), F.col("user_id"), F.lit(', {"seen": null, "odd name": []}, '), last, F.lit("]}"))
+    return t.events.select("event_id", F.concat(*parts).alias("doc"))
+
+
+@query(f"""WITH {_DOCUMENTS} SELECT path, kind, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS least FROM x GROUP BY path, kind""")
+def document_leaves(t: Tables) -> DataFrame:
+    """ARR-01, STR-23: the leaf paths of nested documents at any depth, with kinds and values."""
+    found = documents.leaves(_documents(t), ["event_id"], "doc")
+    return found.groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"), F.min("value").alias("least"))
+
+
+@query(f"""WITH {_DOCUMENTS}, l AS (SELECT * FROM x WHERE event_id % 5 > 0), r AS (SELECT event_id - 1 AS event_id, path, kind, value FROM x WHERE (event_id - 1) % 5 > 0),
+b AS (SELECT coalesce(l.event_id, r.event_id) AS event_id, coalesce(l.path, r.path) AS path, CASE WHEN l.event_id IS NULL THEN 'added' WHEN r.event_id IS NULL THEN 'removed' WHEN l.kind <> r.kind OR l.value IS DISTINCT FROM r.value THEN 'changed' END AS change
+FROM l FULL JOIN r ON l.event_id = r.event_id AND l.path = r.path)
+SELECT path, change, CASE WHEN path LIKE '$.type%' THEN 'blocking' WHEN path LIKE '$.props%' THEN 'harmless' ELSE 'notable' END AS severity, count(*) AS n, min(event_id) AS first FROM b WHERE change IS NOT NULL GROUP BY ALL""")
+def document_differences(t: Tables) -> DataFrame:
+    """STR-22: the structural differences of each event's document and the next one's, with those that block."""
+    docs = _documents(t)
+    later = docs.withColumn("event_id", F.col("event_id") - 1)
+    of = lambda df: df.where(F.col("event_id") % 5 > 0)
+    found = documents.differences(of(docs), of(later), ["event_id"], "doc", blocking=[r"^\$\.type"], harmless=[r"^\$\.props"])
+    return found.groupBy("path", "change", "severity").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+_PART = "SELECT l_suppkey, {c}::VARCHAR AS label, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY l_suppkey) AS p FROM lineitem GROUP BY l_suppkey, {c}"
+
+
+@query(f"""WITH a AS ({_PART.format(c="l_returnflag")}), b AS ({_PART.format(c="l_linestatus")}), c AS ({_PART.format(c="(l_linenumber % 3)")}),
+j AS (SELECT l_suppkey, CASE WHEN a.label = 'N' AND c.label = '0' THEN NULL WHEN b.label = 'O' THEN 'open ' || c.label ELSE a.label || c.label END AS level, a.p * b.p * c.p AS p FROM a JOIN b USING (l_suppkey) JOIN c USING (l_suppkey)),
+s AS (SELECT l_suppkey, level, sum(p) AS p FROM j WHERE level IS NOT NULL GROUP BY ALL)
+SELECT l_suppkey, level, round(p / sum(p) OVER (PARTITION BY l_suppkey), 9) AS p FROM s""")
+def joint_levels(t: Tables) -> DataFrame:
+    """STR-09: the product of three parts' distributions folded to levels, given that there is a level."""
+
+    def part(c, name: str) -> DataFrame:
+        counted = t.lineitem.groupBy("l_suppkey", c.cast("string").alias("label")).agg(F.count("*").alias("n"))
+        listed = counted.groupBy("l_suppkey").agg(F.collect_list(F.struct("label", "n")).alias("x"), F.sum("n").alias("all"))
+        return listed.select("l_suppkey", F.transform("x", lambda x: F.struct(x["label"].alias("label"), (x["n"].cast("double") / F.col("all")).alias("p"))).alias(name))
+
+    parts = part(F.col("l_returnflag"), "a").join(part(F.col("l_linestatus"), "b"), "l_suppkey").join(part(F.col("l_linenumber") % 3, "c"), "l_suppkey")
+    one, two, three = (lambda x: F.get(x, F.lit(0))), (lambda x: F.get(x, F.lit(1))), (lambda x: F.get(x, F.lit(2)))
+    level = lambda x: F.when((one(x) == "N") & (three(x) == "0"), F.lit(None).cast("string")).when(two(x) == "O", F.concat(F.lit("open "), three(x))).otherwise(F.concat(one(x), three(x)))
+    told = parts.select("l_suppkey", distributions.level_distribution(distributions.joint([F.col(c) for c in "abc"]), level).alias("levels"))
+    return told.select("l_suppkey", F.explode("levels").alias("level", "p")).withColumn("p", F.round("p", 9))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, round(sum(l_quantity), 2) AS quantity, max(l_linestatus) AS mode FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 997 = 5 THEN quantity + 1 ELSE quantity END AS quantity, CASE WHEN l_orderkey % 1499 = 3 THEN NULL ELSE mode END AS mode FROM a WHERE l_orderkey % 1999 <> 7),
+j AS (SELECT a.l_orderkey, a.l_linenumber, b.l_orderkey IS NULL AS gone, a.quantity AS q1, b.quantity AS q2, a.mode AS m1, b.mode AS m2 FROM a LEFT JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)
+SELECT l_orderkey, l_linenumber, 'quantity' AS "column", CASE WHEN gone THEN 'removed' ELSE 'changed' END AS change FROM j WHERE gone OR q1 <> q2
+UNION ALL SELECT l_orderkey, l_linenumber, 'mode', CASE WHEN gone THEN 'removed' ELSE 'changed' END FROM j WHERE (gone AND m1 IS NOT NULL) OR (NOT gone AND m1 IS DISTINCT FROM m2)""")
+def changed_cells(t: Tables) -> DataFrame:
+    """CMP-27: the cells in which two result sets differ, found by descent from digests of blocks of them."""
+    a = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.max("l_linestatus").alias("mode"))
+    key = F.col("l_orderkey")
+    b = a.where(key % 1999 != 7).withColumn("quantity", F.when(key % 997 == 5, F.col("quantity") + 1).otherwise(F.col("quantity"))).withColumn("mode", F.when(key % 1499 != 3, F.col("mode")))
+    return provenance.changed(a, b, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "column", "change")
