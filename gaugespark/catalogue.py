@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugespark.queries import composites, inference, records, refits, relational, statistics, textual  # noqa: F401  (they register)
+from gaugespark.queries import composites, inference, records, refits, relational, statistics, textual, verdicts  # noqa: F401  (they register)
 from gaugespark.queries.base import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

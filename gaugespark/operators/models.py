@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from gaugespark.functions.values import spline_basis
 
 
+#: The most lines that are fitted from the driver, and categories of a multinomial fit.
+MOST_FITS, MOST_CATEGORIES = 10_000, 200
+
+
 def logistic_line(df: DataFrame, x: Column, y: Column, w: Column, rounds: int = 30, ridge: float = 1e-8, stop: float = 1e-8) -> tuple[float, float]:
     """Intercept and slope of a weighted logistic fit; each round is one aggregation of six sums."""
     rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w")).where("x is not null and y is not null and w > 0")
@@ -36,19 +40,22 @@ def logistic_line(df: DataFrame, x: Column, y: Column, w: Column, rounds: int =
 def logistic_lines(df: DataFrame, fit: str, x: str, y: str, w: Column | None = None, rounds: int = 30, ridge: float = 1e-8, stop: float = 1e-8) -> DataFrame:
     """fit, intercept, slope: a weighted logistic line for each value of fit, all in one aggregation a round.
 
-    Fits are few (halves, groups, draws): their coefficients are on the driver.
+    Fits are few (halves, groups, draws): their coefficients are on the driver,
+    and more than MOST_FITS are refused (least_squares.logistic_draws has any number).
     """
     spark = df.sparkSession
     rows = df.select(fit, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), (F.lit(1.0) if w is None else w.cast("double")).alias("_w")).where(f"{fit} is not null and _x is not null and _y is not null and _w > 0")
     kind = dict(df.dtypes)[fit]
     schema = f"{fit} {kind}, intercept double, slope double"
-    beta = {r[0]: np.zeros(2) for r in rows.select(fit).distinct().collect()}
-    told = lambda: spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in beta.items()], schema)
+    beta = {r[0]: np.zeros(2) for r in rows.select(fit).distinct().limit(MOST_FITS + 1).collect()}
+    if len(beta) > MOST_FITS:
+        raise ValueError(f"more than {MOST_FITS} fits")
+    told = lambda of: spark.createDataFrame([(k, float(b[0]), float(b[1])) for k, b in beta.items() if k in of], schema)
     open_fits = set(beta)
     for _ in range(rounds):
         if not open_fits:
             break
-        placed = rows.join(F.broadcast(told().where(F.col(fit).isin(list(open_fits)))), fit)
+        placed = rows.join(F.broadcast(told(open_fits)), fit)
         p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("_x"))))
         v, r = F.col("_w") * p * (1 - p), F.col("_w") * (F.col("_y") - p)
         for s in placed.groupBy(fit).agg(F.sum(v), F.sum(v * F.col("_x")), F.sum(v * F.col("_x") * F.col("_x")), F.sum(r), F.sum(r * F.col("_x"))).collect():
@@ -57,7 +64,7 @@ def logistic_lines(df: DataFrame, fit: str, x: str, y: str, w: Column | None = N
             beta[k] = beta[k] + step
             if np.abs(step).max() < stop:
                 open_fits.discard(k)
-    return told()
+    return told(beta)
 
 
 def preparation(numbers: list[str], labels: list[str]) -> list:
@@ -135,7 +142,9 @@ def category_probabilities(df: DataFrame, numbers: list[str], category: str, lea
 
     Categories with fewer than `least` rows are left out of the fit and the map.
     """
-    names = sorted(r[0] for r in df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n")).where(F.col("n") >= least).collect())
+    names = sorted(r[0] for r in df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n")).where(F.col("n") >= least).limit(MOST_CATEGORIES + 1).collect())
+    if len(names) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories")
     place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(category))
     indexed = df.withColumn("_label", F.when(place > 0, (place - 1).cast("double")))
     fitted = Pipeline(stages=[*preparation(numbers, []), LogisticRegression(labelCol="_label", family="multinomial", regParam=1e-4)]).fit(indexed.where("_label is not null"))

@@ -154,7 +154,7 @@ def exposure_summary(t: Tables) -> DataFrame:
 SELECT part, count(*) AS n, round(avg(ok), 6) AS accuracy, round(avg(wrong), 6) AS wrong_parts, round(avg(joint), 6) AS joint
 FROM (SELECT unnest(['a', 'b', 'c']) AS part, unnest([(a = ta)::INT, (b = tb)::INT, (c = tc)::INT]) AS ok, 3 - (a = ta)::INT - (b = tb)::INT - (c = tc)::INT AS wrong, pa * pb AS joint FROM r) GROUP BY 1""")
 def part_accuracy(t: Tables) -> DataFrame:
-    """CMP-24, CMP-25, STR-09: parts of an answer, wrong parts per row, joint confidence if all are known."""
+    """CMP-24, CMP-25: parts of an answer, wrong parts per row, joint confidence if all are known."""
     right = {"a": F.col("l_linenumber") % 4 == F.col("l_partkey") % 4, "b": F.col("l_quantity").cast("int") % 3 == F.col("l_partkey") % 3, "c": F.col("l_linestatus") == "F"}
     joint = F.when(F.col("l_tax") > 0, F.col("l_discount") * 10) * 0.5
     rows = t.lineitem.select(*[c.cast("int").alias(k) for k, c in right.items()], joint.alias("joint")).withColumn("wrong", 3 - F.col("a") - F.col("b") - F.col("c"))
@@ -229,7 +229,7 @@ _DRAWS = f"(SELECT unnest(range({DRAWS})) AS draw)"
 w AS (SELECT *, {digest_weight_sql("o_custkey")} AS w FROM u CROSS JOIN {_DRAWS})
 SELECT draw::INT AS draw, round((sum(w * n) * sum(w * xy) - sum(w * x) * sum(w * y)) / (sum(w * n) * sum(w * xx) - sum(w * x) ** 2), 6) AS slope FROM w GROUP BY 1""")
 def refit_slopes(t: Tables, draws: int = DRAWS) -> DataFrame:
-    """BOOT-14, CMP-52: a model refitted on each draw, from sums of its resampling units."""
+    """BOOT-14: a straight line refitted on each draw, from sums of its resampling units."""
     x, y = F.col("o_totalprice") / 1e5, (F.col("o_orderstatus") == "F").cast("double")
     units = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y).alias("y"))
     spread = resampling.over_draws(units, "o_custkey", draws, resampling.digest_weight)
@@ -273,7 +273,7 @@ l AS (SELECT *, (truth = 1)::INT AS y, abs(n - 0.5) >= 0.3 - 1e-9 AS keeps FROM
 SELECT count(*) AS n, count(*) FILTER (keeps) AS kept, round(avg(-(y * ln(qn) + (1 - y) * ln(1 - qn))), 6) AS first_loss, round(avg(-(y * ln(qa) + (1 - y) * ln(1 - qa))), 6) AS second_loss,
 round(avg(-(y * ln(CASE WHEN keeps THEN qn ELSE qa END) + (1 - y) * ln(1 - CASE WHEN keeps THEN qn ELSE qa END))), 6) AS paired_loss, round(coalesce(sum(least(ta / 3, ta)) FILTER (NOT keeps), 0), 4) AS tokens FROM m""")
 def hybrid_log_loss(t: Tables) -> DataFrame:
-    """HYB-05, HYB-14, CMP-29, CMP-31: a hybrid scored by log-loss on common records, and its tokens."""
+    """HYB-14, CMP-29: a hybrid scored by log-loss on common records, and its tokens."""
     first = _first(t)
     pick = lambda s, c: F.max(F.when(F.col("system") == s, F.col(c)))
     w = first.groupBy("item").agg(pick("N", "p").alias("n"), pick("A", "p").alias("a"), pick("R", "p").alias("r"), pick("A", "tokens").alias("ta"), F.max("truth").alias("truth")).where("n is not null and a is not null and r is not null")
@@ -338,7 +338,7 @@ def leave_group_out(t: Tables) -> DataFrame:
 @query("""WITH m AS (SELECT l_partkey, l_linestatus AS edit, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), d AS (SELECT f.v - o.v AS d FROM m f JOIN m o USING (l_partkey) WHERE f.edit = 'F' AND o.edit = 'O')
 SELECT count(*) AS n, round(avg(d), 6) AS mean, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.25), 6) AS q1, round(quantile_cont(d, 0.75), 6) AS q3, round(quantile_cont(d, 0.05), 6) AS p05, round(quantile_cont(d, 0.95), 6) AS p95 FROM d""")
 def reference_change(t: Tables) -> DataFrame:
-    """CMP-10, AGG-38: the distribution of a reference's change under an edit."""
+    """CMP-10: the distribution of a reference's change under an edit."""
     side = lambda v: F.avg(F.when(F.col("l_linestatus") == v, F.col("l_quantity")))
     d = t.lineitem.groupBy("l_partkey").agg(side("F").alias("f"), side("O").alias("o")).where("f is not null and o is not null").select((F.col("f") - F.col("o")).alias("d"))
     p = ranks.percentiles(d, "d", (0.5, 0.25, 0.75, 0.05, 0.95)).join(F.broadcast(d.agg(_mean(F.col("d"), "mean"))))

@@ -59,7 +59,7 @@ def decile_hybrid(t: Tables) -> DataFrame:
     return out.select(F.round("threshold", 9).alias("threshold"), *[F.round(c, 6).alias(c) for c in ("share", "accuracy", "cost", "random_line")], "within_margin")
 
 
-PARTNERS = {"first": ("l_quantity", 10), "second": ("l_quantity", 5), "third": ("l_tax", 0.02)}
+PARTNERS = {"first": ("l_quantity", 10), "second": ("l_quantity", 5), "third": ("l_tax", 0.02)} | {f"partner_{q}": ("l_quantity", q) for q in (15, 20, 25, 30, 35, 40, 45)}
 _GAIN = ", ".join(f"sum(CASE WHEN top >= th - 1e-9 THEN w * a ELSE w * {p} END - w * {p})::DOUBLE / sum(w * n) AS {p}" for p in PARTNERS)
 
 

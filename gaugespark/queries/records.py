@@ -140,11 +140,17 @@ def median_fallback(t: Tables) -> DataFrame:
     return v.join(m, "c_nationkey", "left").select("c_custkey", F.coalesce("x", "median").alias("filled"))
 
 
+#: The most kinds that a full grid may have.
+MOST_KINDS = 10_000
+
+
 @query("""WITH k AS (SELECT DISTINCT user_id, event_type FROM events), u AS (SELECT user_id, event_type FROM (SELECT DISTINCT user_id FROM k) CROSS JOIN (SELECT DISTINCT event_type FROM k))
 SELECT user_id, event_type, 'missing' AS status FROM u ANTI JOIN k USING (user_id, event_type) UNION ALL SELECT user_id, event_type, 'present' FROM k""")
 def candidate_fill(t: Tables) -> DataFrame:
     """JON-23, PIV-06, CMP-55: keys of the full grid that have no row, and those that have."""
     kinds = t.events.agg(F.array_sort(F.collect_set("event_type")).alias("every"))
+    # the grid's second side is a list of kinds, broadcast; a table with more of them is refused
+    kinds = kinds.select(F.when(F.size("every") <= MOST_KINDS, F.col("every")).otherwise(F.raise_error(F.lit(f"more than {MOST_KINDS} kinds")).cast("array<string>")).alias("every"))
     per = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("own")).join(F.broadcast(kinds))
     long = per.select("user_id", "own", F.explode("every").alias("event_type"))
     return long.select("user_id", "event_type", F.when(F.array_contains("own", F.col("event_type")), "present").otherwise("missing").alias("status"))

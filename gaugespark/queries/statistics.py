@@ -187,7 +187,7 @@ def observed_expected(t: Tables) -> DataFrame:
 
 @query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 9) AS r2 FROM lineitem GROUP BY 1""")
 def regression_slope(t: Tables) -> DataFrame:
-    """AGG-33, AGG-34: least squares as aggregates."""
+    """AGG-33: least squares as aggregates."""
     y, x = "l_extendedprice", "l_quantity"
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 9).alias("r2"))
 
@@ -294,7 +294,7 @@ def bootstrap_p(t: Tables, draws: int = DRAWS) -> DataFrame:
 m AS (SELECT max(abs(mean - centre) / se) AS t FROM d JOIN s USING (o_orderpriority) WHERE se > 0 GROUP BY draw), c AS (SELECT quantile_cont(t, 0.95) AS c FROM m)
 SELECT o_orderpriority, round(mean, 9) AS mean, round(mean - c * se, 6) AS low, round(mean + c * se, 6) AS high FROM p JOIN s USING (o_orderpriority) CROSS JOIN c""")
 def simultaneous_intervals(t: Tables, draws: int = DRAWS) -> DataFrame:
-    """BOOT-06, AGG-23: intervals that hold for a whole family."""
+    """BOOT-06: intervals that hold for a whole family."""
     point = t.orders.groupBy("o_orderpriority").agg(F.avg((F.col("o_totalprice") > 150000).cast("double")).alias("mean"))
     out = resampling.simultaneous(_drawn(t, draws, ["o_orderpriority"]), point, "o_orderpriority", "mean")
     return out.select("o_orderpriority", F.round("mean", 9).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
@@ -311,7 +311,7 @@ def holm_adjusted(t: Tables) -> DataFrame:
 @query(f"""WITH {_DRAWN_BY}, b AS (SELECT o_orderpriority, quantile_cont(0.5 - mean, 0.025) AS low, quantile_cont(0.5 - mean, 0.975) AS high, quantile_cont(0.5 - mean, 0.005) AS bonferroni FROM d GROUP BY 1)
 SELECT o_orderpriority, round(bonferroni, 9) AS bonferroni, CASE WHEN high < 0.02 THEN CASE WHEN high < 0 THEN 'better' ELSE 'non-inferior' END WHEN low > 0.02 THEN 'worse' ELSE 'inconclusive' END AS verdict FROM b""")
 def margin_verdict(t: Tables, draws: int = DRAWS) -> DataFrame:
-    """BOOT-09, BOOT-15, BOOT-16, CMP-39: bounds for a family of five and verdicts at a margin."""
+    """BOOT-09, BOOT-15: bounds for a family of five and verdicts at a margin."""
     drawn = _drawn(t, draws, ["o_orderpriority"]).withColumn("difference", 0.5 - F.col("mean"))
     bounds = drawn.groupBy("o_orderpriority").agg(F.percentile("difference", 0.025).alias("low"), F.percentile("difference", 0.975).alias("high"), F.percentile("difference", 0.025 / 5).alias("bonferroni"))
     return bounds.select("o_orderpriority", F.round("bonferroni", 9).alias("bonferroni"), resampling.verdict(F.col("low"), F.col("high"), 0.02).alias("verdict"))
@@ -378,7 +378,7 @@ def _routes(t: Tables) -> DataFrame:
 SELECT grp, count(*) AS n, count(*) FILTER (keeps) AS kept, count(*) FILTER (keeps AND NOT first_ok) AS kept_wrong, round(avg(second_ok::INT), 6) AS alone, round(avg((CASE WHEN keeps THEN first_ok ELSE second_ok END)::INT), 6) AS paired,
 round(sum(first_cost + CASE WHEN keeps THEN 0 ELSE second_cost END) / sum(second_cost), 6) AS cost_share FROM k GROUP BY 1""")
 def route_pairing(t: Tables) -> DataFrame:
-    """HYB-02, HYB-10, HYB-11, HYB-12, CMP-33: two systems paired at a certainty threshold, by group."""
+    """HYB-02, HYB-10, HYB-11, CMP-33: two systems paired at a certainty threshold, by group."""
     r = _routes(t)
     out = routing.pairing(r, "grp", routing.certain(F.col("top"), 0.8), *[F.col(c) for c in ("first_ok", "second_ok", "first_cost", "second_cost")])
     return _rounded(out, "alone", "paired", "cost_share")

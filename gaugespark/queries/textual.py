@@ -111,7 +111,7 @@ def template_fill(t: Tables) -> DataFrame:
 
 @query("""SELECT '$.k' AS path, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY ALL""")
 def json_leaves(t: Tables) -> DataFrame:
-    """ARR-01, STR-23, SET-05: paths and values of JSON objects."""
+    """SET-05: paths and values of flat JSON objects."""
     leaves = t.events.select(F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
     return leaves.groupBy(F.concat(F.lit("$."), F.col("path")).alias("path"), "value").agg(F.count("*").alias("n"))
 
@@ -124,7 +124,7 @@ def first_difference(t: Tables) -> DataFrame:
 
 @query("""SELECT problems, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN NOT o_totalprice > 1000 THEN 'price' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'priority' END], lambda x: x IS NOT NULL), '; ') AS problems FROM orders) GROUP BY 1""")
 def request_problems(t: Tables) -> DataFrame:
-    """DFL-10, STR-22: what is wrong with each request, as a list."""
+    """DFL-10: what is wrong with each request, as a list."""
     found = texts.problems((F.col("o_totalprice") > 1000, "price"), (F.col("o_orderstatus") != "P", "pending"), (~F.col("o_orderpriority").startswith("5"), "priority"))
     return t.orders.groupBy(F.array_join(found, "; ").alias("problems")).agg(F.count("*").alias("n"))
 
