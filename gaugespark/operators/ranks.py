@@ -13,11 +13,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugespark.sources.kept import kept
+
 #: About how many rows a range has, and the most ranges (each has a number on the driver).
 ROWS, MOST = 500_000, 1024
 _INFINITE = float("inf")
 
 
+def _ranges(df: DataFrame, order: str) -> int:
+    """How many ranges a table is cut into."""
+    return max(1, min(MOST, -(-df.agg(F.count(order)).first()[0] // ROWS)))
+
+
 def _ranged(df: DataFrame, order: str, name: str) -> tuple[DataFrame, list]:
     """df with the range, from 0, that its value of a numeric column falls in, and the hot values.
 
@@ -25,7 +32,7 @@ def _ranged(df: DataFrame, order: str, name: str) -> tuple[DataFrame, list]:
     fill more than one range are hot: the ranges that begin with them hold them
     first. Nulls are in the first range.
     """
-    ranges = max(1, min(MOST, -(-df.agg(F.count(order)).first()[0] // ROWS)))
+    ranges = _ranges(df, order)
     if ranges == 1:
         return df.withColumn(name, F.lit(0)), []
     chosen = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
@@ -45,7 +52,12 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], group: Sequence[
     all rows of the group's smaller values).
     """
     group = list(group)
-    ranged, _ = _ranged(df.groupBy(*group, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), order, "_range")
+    # counted once: the ranges, their totals and the sums within them read this table
+    values = kept(df.groupBy(*group, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]), "values")
+    if _ranges(values, order) == 1:
+        before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return values.select(*group, order, *sums, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums])
+    ranged, _ = _ranged(values, order, "_range")
     totals = ranged.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     # at most MOST rows a group
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
