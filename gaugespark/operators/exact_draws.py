@@ -3,7 +3,7 @@
 A stratum's n picks are split down a binary tree over the hash range of its
 units: of the c picks at a node, those whose number (a hash of draw, node and
 pick) falls under the share of units in the node's left half go left. Nodes are
-split until a leaf has some hundred units; there each pick takes one of them.
+split until a leaf has some thousand units; there each pick takes one of them.
 Counts are multinomial, every draw's sum to n, and no unit has to know its rank
 among all. What is shuffled is a row for each draw and node, not for each unit.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gaugespark.sources.kept import kept
 
 #: About how many units a leaf has, and how many picks a row splits at once.
-LEAF, PICKS = 1024, 4096
+LEAF, PICKS = 16384, 4096
 _FACTOR, _RANGE = 73244475, 1 << 32
 
 
