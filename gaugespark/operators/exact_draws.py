@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gaugespark.sources.kept import kept
 
-#: About how many units a leaf has, and how many picks a row splits at once.
+#: About how many units a leaf has, and how many picks are made into rows at once.
 LEAF, PICKS = 1024, 4096
 _FACTOR, _RANGE = 73244475, 1 << 32
 
@@ -39,9 +39,15 @@ def text_hash(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _stirred(x: Column) -> Column:
-    """mixed of a column that is worked out once for all its uses in it."""
-    return F.aggregate(F.array(F.lit(_FACTOR), F.lit(_FACTOR), F.lit(1)), x.cast("long"), lambda a, f: F.shiftright(a, 16).bitwiseXOR(a) * f % _RANGE)
+def _picks(nodes: DataFrame) -> DataFrame:
+    """nodes with a row for each of its c picks, numbered k.
+
+    The rows live inside one generated loop, from the join to the partial sums:
+    they are neither shuffled nor copied, and hashes of rows are compiled where
+    those of a lambda are not.
+    """
+    parts = nodes.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(PICKS).cast("long"))))
+    return parts.withColumn("k", F.explode(F.sequence("at", F.least(F.col("at") + PICKS - 1, F.col("c") - 1)))).drop("at")
 
 
 def exact_sums(units: DataFrame, unit: str, sums: list[str], draws: int, stratum: str | None = None, leaf: int = LEAF) -> DataFrame:
@@ -66,27 +72,20 @@ def exact_sums(units: DataFrame, unit: str, sums: list[str], draws: int, stratum
     strata = kept(leaves.groupBy("stratum").agg(F.sum(F.size("units")).cast("long").alias("n")), "strata")
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     state = strata.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(tasks, "stratum", "draw")
-    state = state.select("stratum", "draw", "n", F.lit(1).cast("long").alias("node"), F.col("n").alias("c"), _stirred((text_hash(F.col("stratum")) + F.col("draw")) % _RANGE).alias("seed"))
+    state = state.select("stratum", "draw", "n", F.lit(1).cast("long").alias("node"), F.col("n").alias("c"), mixed((text_hash(F.col("stratum")) + F.col("draw")) % _RANGE).alias("seed"))
     for level in reversed(sizes[1:]):
-        at = state.join(level, ["stratum", "node"]).withColumn("key", _stirred(F.col("seed").bitwiseXOR(F.col("node"))))
-        parts = at.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(PICKS).cast("long"))))
-        picks = F.sequence(F.col("at"), F.least(F.col("at") + PICKS - 1, F.col("c") - 1))
-        went = F.aggregate(picks, F.lit(0).cast("long"), lambda sum_, k: sum_ + F.when(_stirred((F.col("key") + k) % _RANGE) * F.col("m") < F.col("left") * F.lit(_RANGE), 1).otherwise(0))
-        split = parts.withColumn("went", went).groupBy("stratum", "draw", "n", "node", "c", "seed").agg(F.sum("went").alias("went"))
+        at = state.join(level, ["stratum", "node"]).withColumn("key", mixed(F.col("seed").bitwiseXOR(F.col("node"))))
+        goes = mixed((F.col("key") + F.col("k")) % _RANGE) * F.col("m") < F.col("left") * F.lit(_RANGE)
+        split = _picks(at).groupBy("stratum", "draw", "n", "node", "c", "seed").agg(F.count_if(goes).alias("went"))
         both = F.array(F.struct((2 * F.col("node")).alias("node"), F.col("went").alias("c")), F.struct((2 * F.col("node") + 1).alias("node"), (F.col("c") - F.col("went")).alias("c")))
         state = split.select("stratum", "draw", "n", "seed", F.inline(both)).where("c > 0").select("stratum", "draw", "n", "node", "c", "seed")
     # a leaf's own picks have other keys than a node's
-    met = state.join(leaves, ["stratum", "node"]).withColumn("key", _stirred(F.col("seed").bitwiseXOR((F.col("node") + (1 << 31)) % _RANGE)))
+    met = state.join(leaves, ["stratum", "node"]).withColumn("key", mixed(F.col("seed").bitwiseXOR((F.col("node") + (1 << 31)) % _RANGE)))
     kinds = dict(rows.dtypes)
     wide = {c: "double" if kinds[c] in ("double", "float") else "decimal(38,6)" if kinds[c].startswith("decimal") else "long" for c in sums}
-    nothing = F.struct(*[F.lit(0).cast(wide[c]).alias(c) for c in sums])
-
-    def taken(total: Column, k: Column) -> Column:
-        one = F.get("units", F.shiftright(_stirred((F.col("key") + k) % _RANGE) * F.size("units"), 32).cast("int"))
-        return F.struct(*[(total[c] + one[c]).cast(wide[c]).alias(c) for c in sums])
-
-    found = met.withColumn("s", F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), nothing, taken))
-    return found.groupBy("draw", "stratum", "n").agg(F.sum("c").alias("taken"), *[F.sum(f"s.{c}").alias(c) for c in sums])
+    place = F.shiftright(mixed((F.col("key") + F.col("k")) % _RANGE) * F.size("units"), 32).cast("int")
+    picked = _picks(met).withColumn("one", F.get("units", place))
+    return picked.groupBy("draw", "stratum", "n").agg(F.count("*").alias("taken"), *[F.sum(F.col("one")[c].cast(wide[c])).alias(c) for c in sums])
 
 
 def exact_sums_sql(units: str, sums: list[str], draws: int, leaf: int = LEAF) -> str:

@@ -22,8 +22,8 @@ def exact_bootstrap(t: Tables) -> DataFrame:
     units = t.orders.groupBy("o_custkey").agg(F.count_if(F.col("o_totalprice") > 150000).alias("s"), F.count("*").alias("k"))
     drawn = exact_draws.exact_sums(units, "o_custkey", ["s", "k"], DRAWS)
     d = drawn.select((F.col("s").cast("double") / F.col("k")).alias("mean"), "taken")
-    interval = resampling.interval(d, "mean").select(*[F.round(c, 9).alias(c) for c in ("low", "high", "se")])
-    return interval.join(F.broadcast(d.agg(F.min("taken").alias("least_taken"), F.max("taken").alias("most_taken"))))
+    low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
+    return d.agg(F.round(low, 9).alias("low"), F.round(high, 9).alias("high"), F.round(F.stddev_samp("mean"), 9).alias("se"), F.min("taken").alias("least_taken"), F.max("taken").alias("most_taken"))
 
 
 @query(f"""WITH RECURSIVE u AS (SELECT c_custkey AS unit, c_mktsegment AS stratum, (c_acctbal > 5000)::BIGINT AS y FROM customer),
@@ -34,7 +34,7 @@ def exact_bootstrap_strata(t: Tables) -> DataFrame:
     """BOOT-02, BOOT-12: customers resampled within their segment by exact counts; each segment's interval, and (no name) that of all."""
     units = t.customer.select("c_custkey", "c_mktsegment", (F.col("c_acctbal") > 5000).cast("long").alias("y"))
     drawn = exact_draws.exact_sums(units, "c_custkey", ["y"], DRAWS, "c_mktsegment")
-    e = drawn.select("draw", "stratum", "n", "taken", (F.col("y").cast("double") / F.col("taken")).alias("mean"))
+    e = kept(drawn.select("draw", "stratum", "n", "taken", (F.col("y").cast("double") / F.col("taken")).alias("mean")), "draws")
     every = e.groupBy("draw").agg(F.lit("").alias("stratum"), F.sum("n").alias("n"), F.sum("taken").alias("taken"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
     both = e.unionByName(every)
     low, high = F.percentile("mean", 0.025), F.percentile("mean", 0.975)
