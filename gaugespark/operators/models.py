@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -12,12 +14,16 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from gaugespark.functions.values import spline_basis
+from gaugespark.sources.kept import kept
 
 
 #: The most lines that are fitted from the driver, and categories of a multinomial fit.
 MOST_FITS, MOST_CATEGORIES = 10_000, 200
+#: Folds that are fitted at a time.
+FITS = 5
 
 
 def logistic_line(df: DataFrame, x: Column, y: Column, w: Column, rounds: int = 30, ridge: float = 1e-8, stop: float = 1e-8) -> tuple[float, float]:
@@ -114,21 +120,30 @@ def spline_design(train: DataFrame, numbers: list[str], skewed: Sequence[str] =
 
 
 def crossfitted(df: DataFrame, key: str, y: str, numbers: list[str], labels: list[str], folds: int = 10, skewed: Sequence[str] = (), c: float = 10.0) -> DataFrame:
-    """key, y, fold, p: each row scored by a penalised spline fit of the other folds."""
-    placed = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")).withColumn(y, F.col(y).cast("double"))
+    """key, y, fold, p: each row scored by a penalised spline fit of the other folds.
+
+    The rows are kept as a table, so what they come from is worked out once for
+    all passes of all fits; FITS folds are fitted at a time, each with its own jobs.
+    A fold whose other folds are empty has no predictions.
+    """
+    placed = kept(df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")).withColumn(y, F.col(y).cast("double")), "folds")
     if labels:  # which labels there are isn't learnt from the outcomes, so it is told once for all folds
         coded = [StringIndexer(inputCols=labels, outputCols=[f"{x}_x" for x in labels], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{x}_x" for x in labels], outputCols=[f"{x}_o" for x in labels])]
         placed = Pipeline(stages=coded).fit(placed).transform(placed)
-    out = None
-    for k in range(folds):
+
+    def scored(k: int) -> DataFrame:
         train, held = placed.where(F.col("fold") != k), placed.where(F.col("fold") == k)
         basis, names, n = spline_design(train, numbers, skewed)
+        if not n:
+            return held.select(key, y, "fold", F.lit(None).cast("double").alias("p")).limit(0)
         assembled = VectorAssembler(inputCols=[*names, *[f"{x}_o" for x in labels]], outputCol="features")
-        fit = LogisticRegression(labelCol=y, regParam=1 / (c * max(n, 1)), standardization=False, maxIter=30, tol=1e-5)
+        fit = LogisticRegression(labelCol=y, regParam=1 / (c * n), standardization=False, maxIter=30, tol=1e-5)
         model = Pipeline(stages=[assembled, fit]).fit(train.select("*", *basis))
-        part = predicted(model, held.select("*", *basis), [key, y, "fold"])
-        out = part if out is None else out.unionByName(part)
-    return out
+        return predicted(model, held.select("*", *basis), [key, y, "fold"])
+
+    with ThreadPool(FITS) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(scored), range(folds))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hazard_logistic(numbers: list[str], period: str, event: str) -> Pipeline:
