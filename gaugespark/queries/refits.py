@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.functions import values
-from gaugespark.operators import distributions, documents, exact_draws, least_squares, models, provenance, resampling
+from gaugespark.operators import distributions, documents, exact_draws, least_squares, metrics, models, provenance, resampling, slopes
 from gaugespark.queries.base import Tables, digest_weight_sql, query
 from gaugespark.queries.statistics import DRAWS
 from gaugespark.sources.kept import kept
@@ -171,3 +171,19 @@ def changed_cells(t: Tables) -> DataFrame:
     key = F.col("l_orderkey")
     b = a.where(key % 1999 != 7).withColumn("quantity", F.when(key % 997 == 5, F.col("quantity") + 1).otherwise(F.col("quantity"))).withColumn("mode", F.when(key % 1499 != 3, F.col("mode")))
     return provenance.changed(a, b, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "column", "change")
+
+
+@query(f"""WITH r AS (SELECT l_suppkey AS unit, l_returnflag AS system, l_linenumber::VARCHAR AS edit, sum(l_discount - 0.02::DOUBLE) AS y, sum(l_tax) AS x, count(*) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT unit, draw, {digest_weight_sql("unit")} AS w FROM (SELECT DISTINCT unit FROM r) CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw)),
+m AS (SELECT draw, system, edit, sum(w * y) / sum(w * n) AS y, sum(w * x) / sum(w * n) AS x FROM r JOIN w USING (unit) GROUP BY ALL HAVING sum(w * n) > 0 UNION ALL SELECT -1, system, edit, sum(y) / sum(n), sum(x) / sum(n) FROM r GROUP BY ALL),
+o AS (SELECT DISTINCT system, edit AS without FROM r UNION ALL SELECT DISTINCT system, '' FROM r),
+s AS (SELECT draw, system, without, sum(y * x) / nullif(sum(x * x), 0) AS slope FROM m JOIN o USING (system) WHERE edit <> without GROUP BY ALL),
+e AS (SELECT system, without, stddev_samp(slope) AS se, avg(slope) AS centre FROM s WHERE draw >= 0 GROUP BY ALL),
+c AS (SELECT without, quantile_cont(t, 0.95) AS c FROM (SELECT without, draw, max(abs(slope - centre) / se) AS t FROM s JOIN e USING (system, without) WHERE draw >= 0 AND se > 0 GROUP BY ALL) GROUP BY 1)
+SELECT without, system, round(slope, 9) AS slope, round(slope - c * se, 6) AS low, round(slope + c * se, 6) AS high FROM s JOIN e USING (system, without) JOIN c USING (without) WHERE draw = -1""")
+def slopes_without(t: Tables) -> DataFrame:
+    """CMP-54, AGG-26, BOOT-06: each system's slope over edits with each edit left out, after the slopes kept of another path (means of edits, then sums) have come out again."""
+    means = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.avg(F.col("l_discount") - 0.02).alias("y"), F.avg("l_tax").alias("x"))
+    stored = kept(metrics.origin_slope(means, "l_returnflag", "y", "x").withColumnRenamed("l_returnflag", "system"), "reported-slopes")
+    out = slopes.slopes_without(t.lineitem, "l_suppkey", "l_returnflag", "l_linenumber", F.col("l_discount") - 0.02, F.col("l_tax"), stored, DRAWS, resampling.digest_weight)
+    return out.select("without", "system", F.round("slope", 9).alias("slope"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
