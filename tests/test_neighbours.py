@@ -91,3 +91,21 @@ def test_query_of_support(spark):
         assert abs(got[r["vec_id"]].distance - e) < 1e-4
         if abs(e - limit) > 1e-9:
             assert got[r["vec_id"]].supported == (e <= limit)
+
+
+def test_a_row_is_kept_once_whatever_it_reaches(spark, monkeypatch):
+    """Where bounds leave all cells open, rows are not repeated for each cell, and batches of them stay small."""
+    rng, seen = np.random.default_rng(8), {}
+    rows = [(i, [float(x) for x in rng.normal(size=32)]) for i in range(300)]
+    plain = neighbours.kept
+
+    def watched(df, name):
+        out = plain(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "kept", watched)
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    got = neighbours.nearest(df, df, "k", "v", 64, 100).collect()
+    same([(r.k, r.distance) for r in got], brute(rows, rows))
+    assert seen["reached"] == [300, 300]
