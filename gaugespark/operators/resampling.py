@@ -3,21 +3,32 @@
 A draw is a number, and a row's weight in a draw is a function of both, so no
 weights are stored or sent: rows are first reduced to the sums of their
 resampling unit, then spread over the draws, and summed with partial sums.
+Where weights are digests, a task works out those of some hundred units at a
+time as a matrix, and its sums over all draws are products with it.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator, Sequence
+from hashlib import md5 as _md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugespark.sources.kept import kept
+
+#: Units whose weights are one matrix, elements of a digest's steps at once, and sums that a task holds before it passes them on.
+_UNITS, _STEP, _SUMS = 256, 1 << 15, 1 << 22
+
 
 def poisson_count(u: Column) -> Column:
     """The Poisson(1) count, 8 at most, of a uniform number from 0 to 1."""
-    out, p, cumulative = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        cumulative += p
-        out = out + (u >= cumulative).cast("int")
-        p /= k
+    out = F.lit(0)
+    for bound in _poisson_bounds():
+        out = out + (u >= bound).cast("int")
     return out
 
 
@@ -32,6 +43,137 @@ def digest_weight(unit: Column, draw: Column) -> Column:
     return poisson_count(u / 4294967296.0)
 
 
+def _poisson_bounds() -> list[float]:
+    out, p, cumulative = [], 0.36787944117144233, 0.0
+    for k in range(1, 9):
+        cumulative += p
+        out.append(cumulative)
+        p /= k
+    return out
+
+
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_PLACES = [(1, 0), (5, 1), (3, 5), (7, 0)]
+_FIRST = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _leading(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the MD5 of each prefix with each suffix: words of one padded block, the two or-ed."""
+    shape = (len(prefix), len(suffix))
+    words = [prefix[:, g, None] | suffix[None, :, g] if prefix[:, g].any() and (suffix[:, g] != suffix[0, g]).any() else prefix[:, g, None] | suffix[:1, g] if (suffix[:, g] == suffix[0, g]).all() else suffix[None, :, g] for g in range(16)]
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _FIRST)
+    t, u = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    # the last three steps don't reach the first word
+    for i in range(61):
+        kind = i // 16
+        if kind == 0:
+            np.bitwise_xor(c, d, out=t), np.bitwise_and(t, b, out=t), np.bitwise_xor(t, d, out=t)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=t), np.bitwise_and(t, d, out=t), np.bitwise_xor(t, c, out=t)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=t), np.bitwise_xor(t, d, out=t)
+        else:
+            np.invert(d, out=t), np.bitwise_or(t, b, out=t), np.bitwise_xor(t, c, out=t)
+        times, plus = _PLACES[kind]
+        turn = _TURNS[kind][i % 4]
+        t += a
+        t += words[(times * i + plus) % 16] + np.uint32(_SINES[i])
+        np.right_shift(t, np.uint32(32 - turn), out=u)
+        t <<= np.uint32(turn)
+        t |= u
+        np.add(t, b, out=a)
+        a, b, c, d = d, a, b, c
+    return (b + np.uint32(_FIRST[0])).byteswap()
+
+
+def digest_counts(units: Sequence[str | None], draws: int) -> np.ndarray:
+    """digest_weight of each unit (as text) in each of the draws, a row for each unit."""
+    bounds = np.array([math.ceil(x * 2**32) for x in _poisson_bounds()], np.uint32)
+    out = np.zeros((len(units), draws), np.uint8)
+    prefixes = [b"" if u is None else u.encode() + b":" for u in units]
+    sizes = np.array([len(p) for p in prefixes])
+    numbers = [str(x).encode() for x in range(draws)]
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        for digits in range(1, len(str(max(draws - 1, 0))) + 1):
+            first, last = (10 ** (digits - 1) if digits > 1 else 0), min(10**digits, draws)
+            length = size + digits
+            if length > 55:  # more than one block
+                number = np.array([[int.from_bytes(_md5(prefixes[r] + numbers[x]).digest()[:4], "big") for x in range(first, last)] for r in rows], np.uint32)
+                out[rows, first:last] = (number[..., None] >= bounds).sum(-1)
+                continue
+            suffix = np.zeros((last - first, 64), np.uint8)
+            suffix[:, size:length] = np.frombuffer(b"".join(numbers[first:last]), np.uint8).reshape(-1, digits)
+            suffix[:, length], suffix[:, 56], suffix[:, 57] = 0x80, 8 * length & 255, 8 * length >> 8
+            prefix = np.zeros((len(rows), 64), np.uint8)
+            prefix[:, :size] = np.frombuffer(b"".join(prefixes[r] for r in rows), np.uint8).reshape(len(rows), size)
+            at_once = max(1, _STEP // len(suffix))
+            for k in range(0, len(rows), at_once):
+                number = _leading(prefix[k : k + at_once].view("<u4"), suffix.view("<u4"))
+                count = np.zeros(number.shape, np.uint8)
+                for bound in bounds:
+                    count += number >= bound
+                out[rows[k : k + at_once], first:last] = count
+    return out
+
+
+def drawn_sums(cells: DataFrame, unit: str, keys: Sequence[str], sums: Sequence[str], draws: int, weight) -> DataFrame:
+    """draw, keys, _t, sums: the sums over all cells of a key, each times its unit's weight in the draw, as doubles; _t is that of weights.
+
+    cells has a row for each unit and keys; nulls count as 0. Weights other than
+    digests are spread over the draws as rows. A key whose units a draw all leaves
+    out has a row of zeros.
+    """
+    keys, sums = list(keys), list(sums)
+    packed = cells.groupBy(F.col(unit).cast("string").alias("_unit")).agg(F.collect_list(F.struct(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums], F.lit(1.0).alias("_t"))).alias("_g"))
+    every = ["_t", *sums]
+    if weight is not digest_weight:
+        spread = over_draws(packed, "_unit", draws, weight).select("draw", "_w", F.inline("_g"))
+        return spread.groupBy("draw", *keys).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in every])
+    kinds = dict(cells.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types, nan = None, float("nan")
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, found in held.items():
+                columns = [pa.array(np.arange(draws, dtype=np.int32)), *[pa.array([x] * draws, kind) for x, kind in zip(name, types)], *[pa.array(x) for x in found]]
+                yield pa.RecordBatch.from_arrays(columns, names=["draw", *keys, *every])
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, _UNITS):
+                part = batch.slice(at, _UNITS)
+                listed = part.column(1)
+                fields = listed.flatten()
+                types = [fields.field(c).type for c in keys]
+                owner = np.repeat(np.arange(part.num_rows), np.diff(listed.offsets.to_numpy()))
+                # not a number is one key, as Spark groups it
+                names = [tuple(nan if x != x else x for x in name) for name in zip(*[fields.field(c).to_pylist() for c in keys])] if keys else [()] * len(owner)
+                numbers = {name: i for i, name in enumerate(dict.fromkeys(names))}
+                place = np.array([numbers[name] for name in names], np.int64)
+                values = np.zeros((part.num_rows, len(numbers), len(every)))
+                for i, c in enumerate(every):
+                    np.add.at(values, (owner, place, i), fields.field(c).to_numpy(zero_copy_only=False))
+                weights = digest_counts(part.column(0).to_pylist(), draws).astype(np.float64)
+                found = (values.reshape(part.num_rows, -1).T @ weights).reshape(len(numbers), len(every), draws)
+                for name, i in numbers.items():
+                    if name in held:
+                        held[name] += found[i]
+                    else:
+                        held[name] = found[i].copy()
+                if len(held) * len(every) * draws > _SUMS:
+                    yield from told()
+        yield from told()
+
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(["draw int", *[f"`{c}` {kinds[c]}" for c in keys], *[f"`{c}` double" for c in every]])
+    parts = packed.repartition(tasks, "_unit").mapInArrow(run, schema)
+    return parts.groupBy("draw", *keys).agg(*[F.sum(c).alias(c) for c in every])
+
+
 def over_draws(units: DataFrame, unit: str, draws: int, weight) -> DataFrame:
     """units once for each draw, with draw and its weight _w, zeros included.
 
@@ -48,10 +190,9 @@ def drawn_means(df: DataFrame, unit: str, value: Column, draws: int, weight, gro
     """draw, mean (for each group): weighted means of all draws; weight(unit, draw) gives a count."""
     group = group or []
     units = df.groupBy(unit, *group).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    packed = units.groupBy(unit).agg(F.collect_list(F.struct(*group, "_s", "_n")).alias("_g"))
-    spread = over_draws(packed, unit, draws, weight).select("draw", "_w", F.inline("_g"))
-    sums = spread.groupBy("draw", *group).agg(F.sum("_w").alias("_t"), F.sum(F.col("_w") * F.col("_s")).alias("_s"), F.sum(F.col("_w") * F.col("_n")).alias("_n"))
-    return sums.where("_t > 0").select("draw", *group, F.try_divide("_s", "_n").alias("mean"))
+    sums = drawn_sums(units, unit, group, ["_s", "_n"], draws, weight).where("_t > 0")
+    # a table: intervals that hold for a family read it more than once
+    return kept(sums.select("draw", *group, F.try_divide("_s", "_n").alias("mean")), "draws")
 
 
 def interval(draws: DataFrame, value: str, group: list[str] | None = None, level: float = 0.95) -> DataFrame:
@@ -117,7 +258,8 @@ def stratified_means(units: DataFrame, unit: str, stratum: str, value: Column, d
 
     A stratum that a draw leaves empty is left out of that draw's mean.
     """
-    sums = over_draws(units.select(unit, stratum, value.alias("_y")), unit, draws, weight).groupBy("draw", stratum).agg(F.sum("_w").alias("_t"), F.sum(F.col("_w") * F.col("_y")).alias("_s")).where("_t > 0")
+    cells = units.groupBy(unit, stratum).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    sums = drawn_sums(cells, unit, [stratum], ["_n", "_s"], draws, weight).where("_n > 0").select("draw", stratum, F.col("_n").alias("_t"), "_s")
     total = units.agg(F.count("*").alias("_all"))
     shares = units.groupBy(stratum).agg(F.count("*").alias("_n")).join(F.broadcast(total)).select(stratum, (F.col("_n").cast("double") / F.col("_all")).alias("_share"))
     return sums.join(F.broadcast(shares), stratum).groupBy("draw").agg((F.sum(F.col("_share") * F.col("_s").cast("double") / F.col("_t")) / F.sum("_share")).alias("mean"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugespark.operators.ranks import numbered, percentiles
-from gaugespark.operators.resampling import digest_weight, over_draws
+from gaugespark.operators.resampling import digest_weight, drawn_sums
 
 #: Certainty is compared with this tolerance.
 TOLERANCE = 1e-9
@@ -118,8 +118,7 @@ def drawn_gains(cells: DataFrame, unit: str, confidence: str, n: str, first: str
     levels = [float(t) for t in sorted(thresholds)]
     reached = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: F.coalesce(F.col(confidence) >= t - TOLERANCE, F.lit(False))))
     binned = cells.groupBy(unit, reached.alias("_reached")).agg(*[F.sum(c).alias(c) for c in (n, first, *partners)])
-    spread = over_draws(binned, unit, draws, digest_weight)
-    sums = spread.groupBy("draw", "_reached").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in (n, first, *partners)])
+    sums = drawn_sums(binned, unit, ["_reached"], [n, first, *partners], draws, digest_weight)
     grid = sums.select("*", F.posexplode(F.array(*[F.lit(t) for t in levels])).alias("_nth", "threshold"))
     keeps = F.col("_nth") < F.col("_reached")
     gains = [F.struct(F.lit(p).alias("partner"), F.try_divide(F.sum(F.when(keeps, F.col(first) - F.col(p)).otherwise(0)), F.sum(n)).alias("gain")) for p in partners]

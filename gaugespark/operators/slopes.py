@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugespark.operators.resampling import over_draws
+from gaugespark.operators.resampling import drawn_sums
 from gaugespark.sources.kept import kept
 
 #: What stands for no edit in the column without, and for the point estimate in draw.
@@ -23,12 +23,9 @@ def drawn_slopes(df: DataFrame, unit: str, system: str, edit: str, y: Column, x:
     are summed to their unit before they meet the draws.
     """
     rows = df.select(F.col(unit).alias("unit"), F.col(system).cast("string").alias("system"), F.col(edit).cast("string").alias("edit"), y.cast("double").alias("y"), x.cast("double").alias("x"))
-    units = rows.dropna().groupBy("unit", "system", "edit").agg(F.sum("y").alias("y"), F.sum("x").alias("x"), F.count("*").alias("n"))
-    packed = kept(units.groupBy("unit").agg(F.collect_list(F.struct("system", "edit", "y", "x", "n")).alias("cells")), "unit-cells")
-    spread = over_draws(packed, "unit", draws, weight).select("draw", "_w", F.inline("cells"))
-    of = lambda c: F.sum(F.col("_w") * F.col(c)).alias(c)
-    drawn = spread.groupBy("draw", "system", "edit").agg(of("y"), of("x"), of("n")).where("n > 0")
-    point = packed.select(F.inline("cells")).groupBy("system", "edit").agg(*[F.sum(c).alias(c) for c in ("y", "x", "n")])
+    units = kept(rows.dropna().groupBy("unit", "system", "edit").agg(F.sum("y").alias("y"), F.sum("x").alias("x"), F.count("*").alias("n")), "unit-cells")
+    drawn = drawn_sums(units, "unit", ["system", "edit"], ["y", "x", "n"], draws, weight).where("n > 0").drop("_t")
+    point = units.groupBy("system", "edit").agg(*[F.sum(c).alias(c) for c in ("y", "x", "n")])
     means = drawn.unionByName(point.withColumn("draw", F.lit(POINT))).withColumn("e", F.struct("edit", (F.col("y") / F.col("n")).alias("y"), (F.col("x") / F.col("n")).alias("x")))
     family = means.groupBy("draw", "system").agg(F.sort_array(F.collect_list("e")).alias("e"))
     each = family.withColumn("without", F.explode(F.concat(F.array(F.lit(WHOLE)), "e.edit")))

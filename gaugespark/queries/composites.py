@@ -232,8 +232,7 @@ def refit_slopes(t: Tables, draws: int = DRAWS) -> DataFrame:
     """BOOT-14: a straight line refitted on each draw, from sums of its resampling units."""
     x, y = F.col("o_totalprice") / 1e5, (F.col("o_orderstatus") == "F").cast("double")
     units = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y).alias("y"))
-    spread = resampling.over_draws(units, "o_custkey", draws, resampling.digest_weight)
-    s = spread.groupBy("draw").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("n", "x", "xy", "xx", "y")]).where("n > 0")
+    s = resampling.drawn_sums(units, "o_custkey", [], ["n", "x", "xy", "xx", "y"], draws, resampling.digest_weight).where("n > 0")
     n, x, xy, xx, y = (F.col(c) for c in ("n", "x", "xy", "xx", "y"))
     return s.select("draw", F.round((n * xy - x * y) / (n * xx - x * x), 6).alias("slope"))
 
@@ -251,11 +250,10 @@ def auroc_by_draw(t: Tables, draws: int = DRAWS) -> DataFrame:
     """
     pos = F.col("l_returnflag") == "R"
     units = t.lineitem.groupBy("l_suppkey", F.col("l_quantity").alias("s")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("q"))
-    spread = resampling.over_draws(units, "l_suppkey", draws, resampling.digest_weight)
-    c = spread.groupBy("draw", "s").agg(F.sum(F.col("_w") * F.col("p")).alias("p"), F.sum(F.col("_w") * F.col("q")).alias("q"))
+    c = resampling.drawn_sums(units, "l_suppkey", ["s"], ["p", "q"], draws, resampling.digest_weight)
     upto = Window.partitionBy("draw").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = c.withColumn("under", F.sum("q").over(upto) - F.col("q") / 2)
-    return b.groupBy("draw").agg(F.round(F.sum(F.col("p") * F.col("under")) / F.nullif((F.sum("p") * F.sum("q")).cast("double"), F.lit(0.0)), 6).alias("auroc"))
+    return b.groupBy("draw").agg(F.round(F.sum(F.col("p") * F.col("under")) / F.nullif(F.sum("p") * F.sum("q"), F.lit(0.0)), 6).alias("auroc"))
 
 
 @query("""WITH p AS (SELECT rep, test, ('0x' || substr(md5(rep || ':' || test), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS p FROM (SELECT unnest(range(400)) AS rep) CROSS JOIN (SELECT unnest(range(5)) AS test))

@@ -58,9 +58,7 @@ def recalibrated_draws(t: Tables) -> DataFrame:
     p = values.clipped(F.col("l_discount") * 10)
     lines = t.lineitem.select("l_suppkey", (F.col("l_suppkey") % 2).alias("half"), values.log_odds(p).alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
     units = lines.groupBy("l_suppkey", "half", "x").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    packed = units.groupBy("l_suppkey").agg(F.collect_list(F.struct("half", "x", "n", "y")).alias("cells"))
-    spread = resampling.over_draws(packed, "l_suppkey", DRAWS, resampling.digest_weight).where("_w > 0").select("draw", "_w", F.inline("cells"))
-    cells = kept(spread.groupBy("draw", "half", "x").agg(F.sum(F.col("_w") * F.col("n")).alias("n"), F.sum(F.col("_w") * F.col("y")).alias("y")), "recalibration")
+    cells = kept(resampling.drawn_sums(units, "l_suppkey", ["half", "x"], ["n", "y"], DRAWS, resampling.digest_weight).where("_t > 0").drop("_t"), "recalibration")
     fits = least_squares.logistic_draws(cells, ["draw", "half"], "x", "n", "y").select("draw", (1 - F.col("half")).alias("half"), F.col("half").alias("fitted_on"), "intercept", "slope")
     q = values.clipped(1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * F.col("x")))), 1e-9)
     loss = -(F.col("y") * F.log(q) + (F.col("n") - F.col("y")) * F.log(1 - q))
@@ -100,8 +98,7 @@ def spline_refits(t: Tables, draws: int = REFITS) -> DataFrame:
     designed = rows.select("o_custkey", "y", *basis)
     sums = least_squares.products([F.col(c) for c in names], F.col("y"))
     units = designed.groupBy("o_custkey").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    spread = resampling.over_draws(units, "o_custkey", draws, resampling.digest_weight)
-    drawn = spread.groupBy("draw").agg(*[F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums])
+    drawn = resampling.drawn_sums(units, "o_custkey", [], list(sums), draws, resampling.digest_weight)
     fits = least_squares.solved(drawn, ["draw"], names, RIDGE)
     return fits.select("draw", F.round("n").cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("intercept", *names)])
 

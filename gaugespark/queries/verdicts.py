@@ -10,6 +10,7 @@ from gaugespark.operators import resampling
 from gaugespark.queries.base import Tables, digest_weight_sql, query
 from gaugespark.queries.composites import FIRST, _first
 from gaugespark.queries.statistics import DRAWS
+from gaugespark.sources.kept import kept
 
 #: Each workflow: whether it is right, and what it costs, of three systems a, b, c with a certainty `top` of the first.
 WORKFLOWS = {
@@ -42,8 +43,8 @@ def workflow_verdicts(t: Tables) -> DataFrame:
     )
     sums = [F.sum(F.expr(e).cast("double")).alias(f"{k}_{name}") for name, (right, cost) in WORKFLOWS.items() for k, e in (("r", right), ("c", cost))]
     units = items.groupBy("l_suppkey").agg(F.count("*").cast("double").alias("n"), *sums)
-    spread = resampling.over_draws(units, "l_suppkey", DRAWS, resampling.digest_weight)
-    weighed = spread.groupBy("draw").agg(F.sum(F.col("_w") * F.col("n")).alias("n"), *[F.sum(F.col("_w") * (F.col(f"r_{w}") - F.col("r_second"))).alias(w) for w in WORKFLOWS]).where("n > 0")
+    drawn = resampling.drawn_sums(units, "l_suppkey", [], ["n", *[f"r_{w}" for w in WORKFLOWS]], DRAWS, resampling.digest_weight).where("n > 0")
+    weighed = drawn.select("draw", "n", *[(F.col(f"r_{w}") - F.col("r_second")).alias(w) for w in WORKFLOWS])
     long = weighed.select(F.explode(F.array(*[F.struct(F.lit(w).alias("workflow"), (F.col(w) / F.col("n")).alias("d")) for w in WORKFLOWS])).alias("x")).select("x.*")
     bounds = long.groupBy("workflow").agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
     n, of = F.sum("n"), lambda c: F.sum(c)
@@ -77,9 +78,8 @@ def loss_hybrids(t: Tables) -> DataFrame:
     gap = values.log_loss(F.col("n").cast("double"), y, 0.01) - values.log_loss(F.col("a").cast("double"), y, 0.01)
     wide = w.select("item", *[F.when(F.abs(F.col("n") - 0.5) >= s - 1e-9, gap).otherwise(0.0).alias(f"d{i}") for i, s in enumerate(STAYS)])
     long = lambda df, *also: df.select(*also, F.explode(F.array(*[F.struct(F.lit(s).alias("stays"), F.col(f"d{i}").alias("d")) for i, s in enumerate(STAYS)])).alias("x")).select(*also, "x.*")
-    spread = resampling.over_draws(wide, "item", DRAWS, resampling.digest_weight)
-    drawn = spread.groupBy("draw").agg(F.sum("_w").alias("t"), *[F.sum(F.col("_w") * F.col(f"d{i}")).alias(f"s{i}") for i in range(len(STAYS))]).where("t > 0")
-    drawn = long(drawn.select("draw", *[(F.col(f"s{i}") / F.col("t")).alias(f"d{i}") for i in range(len(STAYS))]), "draw")
+    drawn = resampling.drawn_sums(wide, "item", [], [f"d{i}" for i in range(len(STAYS))], DRAWS, resampling.digest_weight).where("_t > 0")
+    drawn = kept(long(drawn.select("draw", *[(F.col(f"d{i}") / F.col("_t")).alias(f"d{i}") for i in range(len(STAYS))]), "draw"), "draws")
     point = long(wide.agg(*[F.avg(f"d{i}").alias(f"d{i}") for i in range(len(STAYS))]))
     out = resampling.simultaneous(drawn, point, "stays", "d")
     return out.select("stays", F.round("d", 6).alias("difference"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
@@ -95,9 +95,7 @@ def unit_equivalents(t: Tables) -> DataFrame:
     high = F.col("l_discount") > 0.05
     price = F.col("l_extendedprice").cast("double")
     units = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(F.sum(F.when(high, price).otherwise(0.0)).alias("a"), F.count_if(high).alias("na"), F.sum(F.when(~high, price).otherwise(0.0)).alias("b"), F.count_if(~high).alias("nb"))
-    packed = units.groupBy("l_suppkey").agg(F.collect_list(F.struct("l_linenumber", "a", "na", "b", "nb")).alias("g"))
-    spread = resampling.over_draws(packed, "l_suppkey", DRAWS, resampling.digest_weight).where("_w > 0").select("draw", "_w", F.inline("g"))
-    drawn = spread.groupBy("l_linenumber", "draw").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("a", "na", "b", "nb")]).where("na > 0 and nb > 0")
+    drawn = resampling.drawn_sums(units, "l_suppkey", ["l_linenumber"], ["a", "na", "b", "nb"], DRAWS, resampling.digest_weight).where("na > 0 and nb > 0")
     gap = F.col("a") / F.col("na") - F.col("b") / F.col("nb")
     ends = drawn.withColumn("d", gap).groupBy("l_linenumber").agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"))
     point = units.groupBy("l_linenumber").agg((F.try_divide(F.sum("a"), F.sum("na")) - F.try_divide(F.sum("b"), F.sum("nb"))).alias("effect"))
