@@ -11,14 +11,14 @@ least c(a, b) = ceil(percent * (a + b) / (100 + percent)) elements.
   all hash values, by the number of sets that hold the element (the rarest first),
   then the others by hash. Only that part's elements are counted; a set with too
   few of them takes its next ones.
-* The boundary is where the subsets of light sets, and the lists that heavy sets
-  would scan, cost least together, as counted in the table itself.
+* The boundary is fixed by the similarity, whatever the table: the largest sets of
+  which none has more subsets than KEYS. Sets above it would have many times as many.
 
 Who meets under a key, a subset or an element, is told apart without pairing
 everybody: all are held against the key's smallest document, the nearest first;
 keys whose members are one component by then are done. In the others, members
 outside the key's largest component are held against all its members of like
-size, in blocks. Pairs are held against each other by parity sketches first: two
+size, in blocks, once for all keys that the same documents meet under. Pairs are held against each other by parity sketches first: two
 sketches differ in no more bits than two sets in elements, so none is lost.
 Every link is confirmed on whole sets. A key whose many members are all unlike
 costs the square of their number, in sketch comparisons, not in rows.
@@ -45,8 +45,10 @@ from gaugespark.llm.textarrays import byte_views, lowered, mix, shingles, word_h
 SMALL = 24
 #: Sixteenths of all hash values whose elements are counted.
 COUNTED = 4
+#: The most subsets of a light set.
+KEYS = 16
 #: Documents in a block of those that are held against each other.
-BLOCK = 256
+BLOCK = 2048
 #: Sets that a task remembers, so that it sends the elements of copies once.
 _REMEMBERED = 1 << 16
 
@@ -154,18 +156,15 @@ def prefix_lists(signed: DataFrame, percent: int) -> DataFrame:
     return held.join(facts, "doc_id").where(inside).select("key", "doc_id", "n", "holders")
 
 
-def boundary(lists: DataFrame, signed: DataFrame, percent: int) -> int:
-    """The largest light sets: those up to there by subsets, and the others by lists, cost least."""
-    scans = {r.n: r.cost for r in lists.where(F.col("n") <= SMALL).groupBy("n").agg(F.sum(F.col("holders") + 1).alias("cost")).collect()}  # at most SMALL rows
-    sets = {r.n: r.sets for r in signed.where("whole is not null").groupBy("n").agg(F.count("*").alias("sets")).collect()}
-    cost = {x: sum(sets.get(n, 0) * subset_count(n, percent) for n in range(1, x + 1)) + sum(scans.get(n, 0) for n in range(x + 1, SMALL + 1)) for x in range(SMALL + 1)}
-    return min(cost, key=lambda x: (cost[x], x))
+def boundary(percent: int) -> int:
+    """The largest light sets: up to there no set has more than KEYS subsets."""
+    return next((n for n in range(SMALL) if subset_count(n + 1, percent) > KEYS), SMALL)
 
 
 def meetings(signed: DataFrame, percent: int) -> DataFrame:
     """key, doc_id: what any two linked sets have at least one of in common."""
     lists = stored(prefix_lists(signed, percent), "prefix-lists")
-    light = boundary(lists, signed, percent)
+    light = boundary(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,6 +199,14 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(like).select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long, far long")
 
 
+def _once(spanning: DataFrame) -> DataFrame:
+    """The rows of one key of each set of members."""
+    told = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"h{i}") for i in range(2)]
+    same = spanning.groupBy("key").agg(F.count("*").alias("members"), *told)
+    first = stored(same.groupBy("members", "h0", "h1").agg(F.min("key").alias("key")).select("key"), "keys-of-own")
+    return spanning.join(first.hint("merge"), "key")
+
+
 def _across(spanning: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs that may be linked of documents outside their key's main component with all others of the key."""
     band = F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int")
@@ -265,7 +272,7 @@ def _links(meet: DataFrame, sets: DataFrame, docs: DataFrame, shingle_words: int
     # a key of two members has no other pair than the one tested
     larger = members.where("members > 2").select("key", "id")
     named = labels if labels is not None else larger.sparkSession.createDataFrame([], "id long, comp long")
-    spanning = open_keys(larger, named)
+    spanning = stored(_once(open_keys(larger, named)), "spanning")
     if not spanning.isEmpty():
         more = stored(apart(_across(spanning, sets, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")), "pairs")
         if not more.isEmpty():

@@ -99,3 +99,14 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = brute(rows, 4, 85)
     assert {r.doc_id: r.component_id for r in queries.op12_ngram_jaccard_join(spark, sf).collect()} == want
+
+
+def test_boundary_and_blocks_are_the_same_for_any_table(spark):
+    """Subsets grow with the table and no faster; keys of the same members are one."""
+    assert heavy_light.boundary(85) == 13
+    for percent in (60, 80, 85):
+        light = heavy_light.boundary(percent)
+        assert all(heavy_light.subset_count(n, percent) <= heavy_light.KEYS for n in range(1, light + 1))
+    rows = [(key, i, i, 0) for key in (5, 6, 9) for i in range(4)] + [(7, i, i, 0) for i in range(3)]
+    got = heavy_light._once(spark.createDataFrame(rows, "key long, id long, comp long, main long")).collect()
+    assert sorted({r.key for r in got}) == [5, 7] and len(got) == 7
