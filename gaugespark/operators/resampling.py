@@ -170,7 +170,8 @@ def drawn_sums(cells: DataFrame, unit: str, keys: Sequence[str], sums: Sequence[
 
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(["draw int", *[f"`{c}` {kinds[c]}" for c in keys], *[f"`{c}` double" for c in every]])
-    parts = packed.repartition(tasks, "_unit").mapInArrow(run, schema)
+    # a hash of the unit: dealt by the unit itself, as packed already is, the rows would stay in as few tasks as their bytes ask for
+    parts = packed.repartition(tasks, F.xxhash64("_unit")).mapInArrow(run, schema)
     return parts.groupBy("draw", *keys).agg(*[F.sum(c).alias(c) for c in every])
 
 

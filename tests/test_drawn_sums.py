@@ -34,3 +34,10 @@ def test_draws_are_no_rows(spark):
     cells = spark.range(300).select((F.col("id") % 100).alias("u"), F.col("id").alias("a"))
     plan = resampling.drawn_sums(cells, "u", [], ["a"], 2000, resampling.digest_weight)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_weights_are_worked_out_by_all_tasks(spark):
+    """Few bytes of units are many digests: adaptive execution must not put them together again."""
+    cells = spark.range(300).select((F.col("id") % 100).alias("u"), F.col("id").alias("a"))
+    plan = resampling.drawn_sums(cells, "u", [], ["a"], 2000, resampling.digest_weight)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
