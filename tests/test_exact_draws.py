@@ -2,9 +2,11 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugespark.operators import exact_draws
 
@@ -80,3 +82,31 @@ def test_counts_are_those_of_a_multinomial(spark):
 
 def test_empty(spark):
     assert exact_draws.exact_sums(spark.createDataFrame([], "u long, x long"), "u", ["x"], 10).count() == 0
+
+
+@pytest.mark.parametrize("picks", [3, 8, 1 << 15])
+def test_numbers_of_picks_come_in_parts(picks, monkeypatch):
+    monkeypatch.setattr(exact_draws, "PICKS", picks)
+    keys, counts = np.array([M - 2, 5, 77, 1 << 31], np.uint32), np.array([9, 1, 20, 3])
+    got = [[] for _ in keys]
+    for first, stop, starts, numbers in exact_draws._numbers(keys, counts):
+        assert len(numbers) <= picks or stop == first + 1
+        for row, some in zip(range(first, stop), np.split(numbers, starts[1:])):
+            got[row] += some.tolist()
+    assert got == [[mix((int(key) + k) % M) for k in range(c)] for key, c in zip(keys, counts)]
+
+
+def test_picks_are_no_rows(spark):
+    """One Generate for the draws, and none for their picks."""
+    df = spark.range(64).select(F.col("id").alias("u"), F.col("id").alias("x"))
+    plan = exact_draws.exact_sums(df, "u", ["x"], 10, leaf=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1
+
+
+def test_large_values_stay_whole(spark):
+    rows = [(i, (1 << 62) // 40 - i, Decimal(10) ** 20 + Decimal(i) / 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "u long, x long, d decimal(30,2)")
+    want = by_hand([(i, "") for i in range(40)], 6, 8)
+    for r in exact_draws.exact_sums(df, "u", ["x", "d"], 6, leaf=8).collect():
+        taken = want[r.draw, ""]
+        assert r.x == sum(rows[u][1] * c for u, c in taken.items()) and r.d == sum(rows[u][2] * c for u, c in taken.items())
