@@ -4,8 +4,8 @@ A text becomes an array of tokens, each typed by a vocabulary (a layer of the
 bowel wall, an organ, a distant site, a number in digits or words, a denial, a
 mark), and one fold over the array carries what has been read. A clause decides
 what it says when it ends, a sentence its node counts, a scan's clause its sites,
-so that a denial holds for its own clause only. Everything is one expression in
-the row: no shuffle and no Python.
+so that a denial holds for its own clause only. Reading is one expression in the row,
+without Python; texts are made distinct before it, as it costs far more than a shuffle.
 
 Fixed values, by the published staging rules: Tis, T1 (submucosa), T2 (muscle),
 T3 (through it), T4a (serosa, perforation), T4b (another organ invaded; being
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugespark.sources.kept import kept
+
 DEPTHS = ("Tis", "T1", "T2", "T3", "T4a", "T4b")
 _MUSCLE, _SEROSA, _ORGAN = 3, 5, 6
 #: Words of each kind; a layer's and a number's are followed by its value, a site's by its name.
@@ -64,13 +66,20 @@ _KINDS = {
 _TOKEN = r"[a-z]+|[0-9]+|[\n.;,/]"
 
 
-def _vocabulary() -> Column:
+def _entries() -> list[tuple[str, tuple[str, int, str]]]:
+    """Each word with its kind, value and name."""
     entries = [(w, (kind.strip(), 0, "")) for kind, words in _KINDS.items() for w in (words.split() or [words])]
     entries += [(w, ("layer", v, "")) for v, words in _LAYERS.items() for w in words.split()]
     entries += [(w, ("site", 0, name)) for name, words in _SITES.items() for w in words.split()]
-    entries += [(w, ("number", v, "")) for v, w in enumerate(_NUMBERS.split())]
+    return entries + [(w, ("number", v, "")) for v, w in enumerate(_NUMBERS.split())]
+
+
+def _vocabulary() -> Column:
+    """Maps of words by their first letter: a map is searched from its begin, so each is short."""
     token = lambda kind, v, name: F.struct(F.lit(kind).alias("kind"), F.lit(v).alias("v"), F.lit(name).alias("name"))
-    return F.create_map(*[x for w, t in entries for x in (F.lit(w), token(*t))])
+    entries = _entries()
+    own = lambda letter: F.create_map(*[x for w, t in entries if w[0] == letter for x in (F.lit(w), token(*t))])
+    return F.create_map(*[x for letter in sorted({w[0] for w, _ in entries}) for x in (F.lit(letter), own(letter))])
 
 
 def tokens(text: Column) -> Column:
@@ -78,9 +87,11 @@ def tokens(text: Column) -> Column:
     low = F.lower(text)
     joined = F.regexp_replace(F.regexp_replace(low, r"\bnon-?\s?regional", "nonregional"), r"\bpara-?\s?aortic", "paraaortic")
     plain = F.concat(F.regexp_replace(joined, r"[0-9]+\.[0-9]+", " "), F.lit("\n"))
+    is_number = lambda w: (w >= "0") & (w < ":") & (F.length(w) <= 9)
     number = lambda w: F.struct(F.lit("number").alias("kind"), w.try_cast("int").alias("v"), F.lit("").alias("name"))
-    typed = F.transform(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda w: F.when(w.rlike("^[0-9]{1,9}$"), number(w)).otherwise(F.try_element_at(_vocabulary(), w)))
-    return F.filter(typed, lambda t: t.isNotNull())
+    # most words mean nothing: a set of all words tells them before any map is searched
+    known = F.filter(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda w: w.isin([w for w, _ in _entries()]) | is_number(w))
+    return F.transform(known, lambda w: F.when(is_number(w), number(w)).otherwise(F.try_element_at(F.try_element_at(_vocabulary(), F.left(w, F.lit(1))), w)))
 
 
 #: What is carried along, with its type; numbers begin as null but for the depth and the layer.
@@ -164,11 +175,14 @@ def node_category(involved: Column, deposits: Column) -> Column:
 def read_reports(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, t, n, m, involved, examined, deposits, sites: what each report says, null where it doesn't.
 
-    A null or empty report says nothing. m is M0 only where the scan's line
+    Equal texts are read once. A null or empty report says nothing. m is M0 only where the scan's line
     denies something and names no site.
     """
     start = F.struct(*[(F.lit("line") if k == "before" else _nothing(k)).alias(k) for k in _REPORT | _OF_SENTENCE | _OF_CLAUSE])
-    read = df.select(key, F.aggregate(tokens(F.coalesce(F.col(text), F.lit(""))), start, _step).alias("r"))
+    given = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    # a table: it is small enough to broadcast, or both sides are shuffled and a text of many reports can be split
+    texts = kept(given.select("_text").distinct().select("_text", F.aggregate(tokens(F.col("_text")), start, _step).alias("r")), "reports")
+    read = given.join(texts, "_text").select(key, "r")
     sites = F.col("r.sites")
     m = F.when(F.array_contains(sites, "peritoneum"), "M1c").when(F.size(sites) > 1, "M1b").when(F.size(sites) == 1, "M1a").when(F.col("r.cleared"), "M0")
     t = F.get(F.array(*[F.lit(d) for d in DEPTHS]), F.col("r.depth") - 1)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from gaugespark.operators import staging
 
@@ -38,3 +39,19 @@ def read(spark):
 @pytest.mark.parametrize("i", range(len(REPORTS)))
 def test_report(read, i):
     assert read[i] == REPORTS[i][1]
+
+
+def test_equal_reports_are_read_once(spark):
+    """The expression stands over distinct texts, and each report gets what its text says."""
+    df = spark.range(40).selectExpr("id", "concat('Three of 14 nodes are involved. Size ', id % 2, '.') AS report")
+    read = staging.read_reports(df, "id", "report")
+    assert "aggregate(" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n, r.involved, r.examined) for r in read.collect()} == {("N1b", 3, 14)} and read.count() == 40
+
+
+def test_words_are_looked_up_in_short_maps(spark):
+    """All words of the vocabulary have their own token, and a number too long for one has none."""
+    words = [w for w, _ in staging._entries() if w.isalpha()]
+    got = spark.createDataFrame([(" ".join(words) + " 1234567890 123456789 zz",)], "t string").select(staging.tokens(F.col("t")).alias("x")).first().x
+    assert [tuple(x) for x in got[:-2]] == [t for w, t in staging._entries() if w.isalpha()]
+    assert [tuple(x) for x in got[-2:]] == [("number", 123456789, ""), ("line", 0, "")]
