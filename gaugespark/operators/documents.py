@@ -1,7 +1,7 @@
 """Nested documents as rows of their leaves, at any depth, and the differences of two documents.
 
-Texts become Spark's VARIANT, and each round opens one level of all documents at
-once; what is a leaf stays out of the next round. A path is `$.name[place].name`,
+Texts become Spark's VARIANT, and each round opens some levels of all documents at
+once, a leaf standing for itself; what is a leaf stays out of the next round. A path is `$.name[place].name`,
 with names in quotes where they are not plain.
 """
 
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from gaugespark.sources.kept import kept
 
-_CONTAINERS = ("OBJECT", "ARRAY")
+#: Levels that a round opens.
+LEVELS = 4
 
 
-def _kind(v: Column) -> Column:
-    """object, array, text, number, boolean or null: what a VARIANT holds."""
-    told = F.schema_of_variant(v)
+def _kind(told: Column) -> Column:
+    """object, array, text, number, boolean or null: what a VARIANT of that schema holds."""
     number = told.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
     return (
         F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "STRING", "text")
@@ -35,21 +35,25 @@ def leaves(df: DataFrame, keys: Sequence[str], document: str) -> DataFrame:
     value is its JSON without quotes around texts, null for null. A document that
     is null or no JSON has one row, with path `$` and kind `unreadable`.
     """
-    keys = list(keys)
-    now = kept(df.select(*keys, F.lit("$").alias("path"), F.try_parse_json(F.col(document)).alias("v")), "documents")
-    found = [now.where("v is null").select(*keys, "path", F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("value"))]
-    now = now.where("v is not null")
+    keys, spark = list(keys), df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes of text are many leaves, so documents are dealt to all tasks
+    now = df.select(*keys, F.col(document).alias("_doc")).repartition(tasks).select(*keys, F.lit("$").alias("path"), F.try_parse_json("_doc").alias("v"))
+    found = []
     while True:
-        told = now.withColumn("kind", _kind(F.col("v"))).withColumn("text", F.to_json("v"))
+        for _ in range(LEVELS):
+            step = now.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
+            plain = F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+            name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).when(plain, F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit('."'), F.col("key"), F.lit('"')))
+            # what can't be opened has no value below it
+            now = step.select(*keys, F.when(F.col("value").isNull(), F.col("path")).otherwise(F.concat("path", name)).alias("path"), F.coalesce("value", "v").alias("v"))
+        told = now.withColumn("_told", F.schema_of_variant("v")).withColumn("text", F.to_json("v"))
+        told = told.withColumn("kind", F.when(F.col("v").isNull(), "unreadable").otherwise(_kind(F.col("_told"))))
         full = F.col("kind").isin("object", "array") & ~F.col("text").isin("{}", "[]")
         value = F.when(F.col("kind") == "text", F.variant_get("v", "$", "string")).when(F.col("kind") != "null", F.col("text"))
-        found.append(told.where(~full).select(*keys, "path", "kind", value.alias("value")))
-        spark = df.sparkSession
-        opened = told.where(full).select(*keys, F.col("path").alias("above"), F.col("v").alias("whole"), F.col("kind").alias("container"))
-        step = opened.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
-        plain = F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_]*$")
-        name = F.when(F.col("container") == "array", F.concat(F.lit("["), F.col("pos"), F.lit("]"))).when(plain, F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit('."'), F.col("key"), F.lit('"')))
-        now = kept(step.select(*keys, F.concat("above", name).alias("path"), F.col("value").alias("v")), "level")
+        level = kept(told.select(*keys, "path", "kind", full.alias("_full"), F.when(~full, value).alias("value"), F.when(full, F.col("v")).alias("v")), "level")
+        found.append(level.where(~F.col("_full")).select(*keys, "path", "kind", "value"))
+        now = level.where("_full").select(*keys, "path", "v")
         if now.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)

@@ -131,3 +131,15 @@ def test_nothing_to_divide_by(spark):
     got = routing.pairing(lone, "g", F.lit(True), F.col("ok"), F.col("ok"), F.lit(1.0), F.lit(0.0)).first()
     assert (got.paired, got.cost_share) == (1.0, None)
     assert metrics.auroc_variance(lone, "x", F.col("ok")).first().variance is None
+
+
+def test_several_levels_are_one_round(spark, monkeypatch):
+    """A document of three levels is written once, and a deeper one as often as its rounds."""
+    written, real = [], documents.kept
+    monkeypatch.setattr(documents, "kept", lambda df, name: written.append(name) or real(df, name))
+    flat = spark.createDataFrame([(1, '{"a": {"b": [1, {}]}}'), (2, "[]"), (3, "no")], "k int, d string")
+    assert {(r.k, r.path, r.kind, r.value) for r in documents.leaves(flat, ["k"], "d").collect()} == {(1, "$.a.b[0]", "number", "1"), (1, "$.a.b[1]", "object", "{}"), (2, "$", "array", "[]"), (3, "$", "unreadable", None)}
+    assert len(written) == 1
+    deep = spark.createDataFrame([(1, "[" * 11 + "null" + "]" * 11)], "k int, d string")
+    assert [tuple(r) for r in documents.leaves(deep, ["k"], "d").collect()] == [(1, "$" + "[0]" * 11, "null", None)]
+    assert len(written) == 4
