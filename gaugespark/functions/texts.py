@@ -87,8 +87,9 @@ def words(c: Column) -> Column:
 
 
 def word_runs(ws: Column, k: int) -> Column:
-    """All runs of k words, as texts."""
-    return F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i: F.array_join(F.slice(ws, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of k words, as texts; words are bound to a name, as a lambda works out what it takes from outside for each run."""
+    runs = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    return F.get(F.transform(F.array(ws), runs), F.lit(0))
 
 
 def sentences(c: Column) -> Column:

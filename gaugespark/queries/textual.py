@@ -70,9 +70,13 @@ r AS (SELECT conv_id, turn, CASE WHEN len(w) >= 3 THEN list_transform(range(1, l
 SELECT a.conv_id, a.turn, len(list_distinct(a.r))::INT AS runs, len(list_intersect(a.r, b.r))::INT AS shared FROM r a JOIN r b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1""")
 def shared_runs(t: Tables) -> DataFrame:
     """AGG-62: word runs that a turn shares with the turn before it."""
-    r = t.conversations.select("conv_id", "turn", F.array_distinct(texts.word_runs(texts.words(F.col("text")), 3)).alias("r"))
-    before = r.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r").alias("b"))
-    return r.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.size("r").alias("runs"), F.size(F.array_intersect("r", "b")).alias("shared"))
+    # texts are dealt out, and made into runs after they have met: runs are some times as large, and few bytes of text are many runs
+    tasks = int(t.conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = t.conversations.select("conv_id", "turn", F.col("text").alias("a"))
+    both = a.join(t.conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
+    runs = lambda c: F.array_distinct(texts.word_runs(texts.words(F.col(c)), 3))
+    r = both.repartition(tasks, F.xxhash64("conv_id", "turn", "a")).select("conv_id", "turn", runs("a").alias("r"), texts.word_runs(texts.words(F.col("b")), 3).alias("b"))
+    return r.select("conv_id", "turn", F.size("r").alias("runs"), F.size(F.array_intersect("r", "b")).alias("shared"))
 
 
 @query(r"""SELECT lang, CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'license' WHEN regexp_matches(text, '[0-9]{3}') THEN 'numbers' WHEN contains(text, '?') THEN 'question' ELSE 'prose' END AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL""")

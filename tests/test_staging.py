@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gaugespark.functions import texts
 from gaugespark.operators import staging
 
 CT = "\nStaging CT chest and abdomen: "
@@ -55,3 +56,10 @@ def test_words_are_looked_up_in_short_maps(spark):
     got = spark.createDataFrame([(" ".join(words) + " 1234567890 123456789 zz",)], "t string").select(staging.tokens(F.col("t")).alias("x")).first().x
     assert [tuple(x) for x in got[:-2]] == [t for w, t in staging._entries() if w.isalpha()]
     assert [tuple(x) for x in got[-2:]] == [("number", 123456789, ""), ("line", 0, "")]
+
+
+def test_runs_of_words_split_their_text_once(spark):
+    df = spark.createDataFrame([("a b c d",), ("a b",), ("",), (None,)], "t string")
+    read = df.select(texts.word_runs(texts.words(F.col("t")), 3).alias("r"))
+    assert [r.r for r in read.collect()] == [["a b c", "b c d"], [], [], []]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
