@@ -83,6 +83,16 @@ def preparation(numbers: list[str], labels: list[str]) -> list:
     return [*stages, VectorAssembler(inputCols=parts, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features")]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a table of as many parts as there are cores, read in as many tasks.
+
+    What rows come from is worked out once for all passes of a fit, and its few bytes
+    don't leave hundreds of jobs to one task, nor to a task for each of a shuffle's parts.
+    """
+    spark = df.sparkSession
+    return kept(df, "rows").repartition(max(1, spark.sparkContext.defaultParallelism))
+
+
 def boosted(numbers: list[str], labels: list[str], y: str, rounds: int = 100) -> Pipeline:
     estimator = GBTClassifier(labelCol=y, maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20, seed=7)
     return Pipeline(stages=[*preparation(numbers, labels), estimator])

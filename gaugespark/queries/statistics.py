@@ -456,7 +456,7 @@ def crossfit_logistic(t: Tables) -> DataFrame:
 @query()
 def boosted_contrast(t: Tables) -> DataFrame:
     """MDL-03, MDL-08, PRJ-29: log-odds with one field edited minus without, by record."""
-    rows = _pages_of_risk(t).withColumn("y", F.col("y").cast("double"))
+    rows = models.spread(_pages_of_risk(t).withColumn("y", F.col("y").cast("double")))
     fitted = models.boosted(["c_acctbal", "spent"], ["c_mktsegment"], "y").fit(rows)
     before = models.predicted(fitted, rows, ["c_custkey"])
     after = models.predicted(fitted, rows.withColumn("spent", F.col("spent") * 1.1), ["c_custkey"]).withColumnRenamed("p", "q")

@@ -174,3 +174,10 @@ def test_spline_design_follows_a_bend(spark):
     middle = out.p[[by[i] is not None and abs(by[i] - 0.5) < 0.15 for i in out.id]].mean()
     outer = out.p[[by[i] is not None and abs(by[i] - 0.5) > 0.35 for i in out.id]].mean()
     assert len(out) == 1500 and middle > 0.75 and outer < 0.3 and out.p[[by[i] is None for i in out.id]].mean() > 0.9
+
+
+def test_rows_of_a_boosted_fit_are_dealt_to_all_cores(spark):
+    from gaugespark.operators import models
+
+    rows = models.spread(spark.range(50).coalesce(1))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 50
