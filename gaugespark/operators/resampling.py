@@ -56,40 +56,61 @@ _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 _PLACES = [(1, 0), (5, 1), (3, 5), (7, 0)]
 _FIRST = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Numbers as arrays: a ufunc takes them faster than scalars.
+_SHIFTS = [np.array(i, np.uint32) for i in range(33)]
 
 
 def _leading(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The first 32 bits of the MD5 of each prefix with each suffix: words of one padded block, the two or-ed."""
+    """The first 32 bits of the MD5 of each prefix with each suffix: words of one padded block, the two or-ed.
+
+    The first four steps are those of prefixes alone as far as words are; the
+    others go over flat arrays in place, few enough that a core's cache holds them.
+    """
     shape = (len(prefix), len(suffix))
     words = [prefix[:, g, None] | suffix[None, :, g] if prefix[:, g].any() and (suffix[:, g] != suffix[0, g]).any() else prefix[:, g, None] | suffix[:1, g] if (suffix[:, g] == suffix[0, g]).all() else suffix[None, :, g] for g in range(16)]
-    a, b, c, d = (np.full(shape, x, np.uint32) for x in _FIRST)
-    t, u = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    same = [int(w[0, 0]) if (w == w[0, 0]).all() else None for w in words]
+    a, b, c, d = (np.full((1, 1), x, np.uint32) for x in _FIRST)
+    for i in range(4):
+        x = (d ^ (b & (c ^ d))) + (words[i] + np.uint32(_SINES[i])) + a
+        a, b, c, d = d, (x << _SHIFTS[_TURNS[0][i]] | x >> _SHIFTS[32 - _TURNS[0][i]]) + b, b, c
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        out = np.empty(shape, np.uint32)
+        out[:] = x
+        return out.reshape(-1)
+
+    a, b, c, d = whole(a), whole(b), whole(c), whole(d)
+    varied = [whole(w) if s is None else None for w, s in zip(words, same)]
+    t, u = np.empty_like(a), np.empty_like(a)
+    add, both, either, xor, left, right = np.add, np.bitwise_and, np.bitwise_or, np.bitwise_xor, np.left_shift, np.right_shift
     # the last three steps don't reach the first word
-    for i in range(61):
+    for i in range(4, 61):
         kind = i // 16
         if kind == 0:
-            np.bitwise_xor(c, d, out=t), np.bitwise_and(t, b, out=t), np.bitwise_xor(t, d, out=t)
+            xor(c, d, u), both(u, b, u), xor(u, d, u)
         elif kind == 1:
-            np.bitwise_xor(b, c, out=t), np.bitwise_and(t, d, out=t), np.bitwise_xor(t, c, out=t)
-        elif kind == 2:
-            np.bitwise_xor(b, c, out=t), np.bitwise_xor(t, d, out=t)
+            xor(b, c, u), both(u, d, u), xor(u, c, u)
+        elif kind == 2 and i % 2 == 0:
+            xor(b, c, t), xor(t, d, u)
+        elif kind == 2:  # t is c ^ d, of the step before
+            xor(t, b, u)
         else:
-            np.invert(d, out=t), np.bitwise_or(t, b, out=t), np.bitwise_xor(t, c, out=t)
+            np.invert(d, u), either(u, b, u), xor(u, c, u)
         times, plus = _PLACES[kind]
-        turn = _TURNS[kind][i % 4]
-        t += a
-        t += words[(times * i + plus) % 16] + np.uint32(_SINES[i])
-        np.right_shift(t, np.uint32(32 - turn), out=u)
-        t <<= np.uint32(turn)
-        t |= u
-        np.add(t, b, out=a)
+        g, turn = (times * i + plus) % 16, _TURNS[kind][i % 4]
+        add(a, u, a)
+        if same[g] is None:
+            add(a, varied[g], a)
+        add(a, np.array(_SINES[i] + (same[g] or 0) & 0xFFFFFFFF, np.uint32), a)
+        right(a, _SHIFTS[32 - turn], u), left(a, _SHIFTS[turn], a), either(a, u, a), add(a, b, a)
         a, b, c, d = d, a, b, c
-    return (b + np.uint32(_FIRST[0])).byteswap()
+    return (b + np.uint32(_FIRST[0])).byteswap().reshape(shape)
 
 
 def digest_counts(units: Sequence[str | None], draws: int) -> np.ndarray:
     """digest_weight of each unit (as text) in each of the draws, a row for each unit."""
     bounds = np.array([math.ceil(x * 2**32) for x in _poisson_bounds()], np.uint32)
+    steps = [np.array(x) for x in bounds]
     out = np.zeros((len(units), draws), np.uint8)
     prefixes = [b"" if u is None else u.encode() + b":" for u in units]
     sizes = np.array([len(p) for p in prefixes])
@@ -112,8 +133,8 @@ def digest_counts(units: Sequence[str | None], draws: int) -> np.ndarray:
             for k in range(0, len(rows), at_once):
                 number = _leading(prefix[k : k + at_once].view("<u4"), suffix.view("<u4"))
                 count = np.zeros(number.shape, np.uint8)
-                for bound in bounds:
-                    count += number >= bound
+                for bound in steps:
+                    count += (number >= bound).view(np.uint8)
                 out[rows[k : k + at_once], first:last] = count
     return out
 
@@ -168,7 +189,9 @@ def drawn_sums(cells: DataFrame, unit: str, keys: Sequence[str], sums: Sequence[
                     yield from told()
         yield from told()
 
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # digests keep cores busy, not disks: fewer parts than cores would leave some idle
+    session = cells.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     schema = ", ".join(["draw int", *[f"`{c}` {kinds[c]}" for c in keys], *[f"`{c}` double" for c in every]])
     # a hash of the unit: dealt by the unit itself, as packed already is, the rows would stay in as few tasks as their bytes ask for
     parts = packed.repartition(tasks, F.xxhash64("_unit")).mapInArrow(run, schema)

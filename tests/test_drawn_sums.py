@@ -1,5 +1,8 @@
 """Weights of digests as matrices, and sums over draws, against the same as columns and rows."""
 
+import re
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from gaugespark.operators import resampling
@@ -41,3 +44,27 @@ def test_weights_are_worked_out_by_all_tasks(spark):
     cells = spark.range(300).select((F.col("id") % 100).alias("u"), F.col("id").alias("a"))
     plan = resampling.drawn_sums(cells, "u", [], ["a"], 2000, resampling.digest_weight)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_weights_are_dealt_to_every_core(spark):
+    """Fewer shuffle parts than cores must leave no core idle; the sums stay the same."""
+    cells = spark.range(300).select((F.col("id") % 100).alias("u"), F.col("id").alias("a"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = resampling.drawn_sums(cells, "u", [], ["a"], 120, resampling.digest_weight)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", plan)[1] == str(spark.sparkContext.defaultParallelism)
+        assert sorted(map(str, got.collect())) == sorted(map(str, spread(cells, "u", [], ["a"], 120).select(got.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_counts_wherever_unit_and_draw_meet_in_the_block():
+    """Units of every size, several a block, one, and more than a block: words of the unit, of the draw, of both."""
+    units = [str(7 * 10**k + i) for k in range(0, 52, 3) for i in range(3)]
+    draws = [0, 9, 10, 99, 100, 999, 1000, 1999]
+    bounds = resampling._poisson_bounds()
+    want = [[sum(int(md5(f"{u}:{d}".encode()).hexdigest()[:8], 16) / 2**32 >= x for x in bounds) for d in draws] for u in units]
+    assert resampling.digest_counts(units, 2000)[:, draws].tolist() == want
+    assert resampling.digest_counts(units[:1], 2000)[:, draws].tolist() == want[:1]
