@@ -2,9 +2,11 @@
 
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from gaugespark import catalogue
 from gaugespark.operators import distributions, documents, metrics, provenance, ranks, routing
 from gaugespark.sources import snapshots
 from gaugespark.streaming import incremental
@@ -143,3 +145,18 @@ def test_several_levels_are_one_round(spark, monkeypatch):
     deep = spark.createDataFrame([(1, "[" * 11 + "null" + "]" * 11)], "k int, d string")
     assert [tuple(r) for r in documents.leaves(deep, ["k"], "d").collect()] == [(1, "$" + "[0]" * 11, "null", None)]
     assert len(written) == 4
+
+
+def test_every_event_is_compared_with_the_next(spark, tmp_path):
+    """Also events whose number a filter might leave out, here those that 5 divides."""
+    rows = [(n, 7, "click" if 5 < n <= 10 else "view", '{"k": %d}' % ((n - 1) // 5)) for n in range(4, 13)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    df = catalogue.QUERIES["document_differences"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.select("path", "change", "severity", "n", "first").collect())
+    paths = [("$.type", "blocking"), ("$.props.k", "harmless"), *[(p, "notable") for p in ("$.history[0]", '$.history[1]."odd name"', "$.history[1].seen", "$.history[2]")]]
+    ends = [(p, change, s, 1, first) for p, s in paths for change, first in (("added", 3), ("removed", 12))]
+    # types and numbers change from 5 to 6 and from 10 to 11, the last entry also beside each number that 3 divides
+    assert got == sorted([*ends, ("$.type", "changed", "blocking", 2, 5), ("$.props.k", "changed", "harmless", 2, 5), ("$.history[2]", "changed", "notable", 6, 5)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(f'SELECT path, change, severity, n, "first" FROM ({catalogue.ORACLES["document_differences"]})').fetchall())
